@@ -1,6 +1,6 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from quern.llm import chat, urlfilter, warc
+from quern.llm import chat, langid, packing, urlfilter, warc
 
 
 def queries() -> dict:
@@ -8,6 +8,8 @@ def queries() -> dict:
         "op1_chat_formatting": chat.op1_chat_formatting,
         "op7_warc": warc.op7_warc,
         "op8_url_filters": urlfilter.op8_url_filters,
+        "op9_packing": packing.op9_packing,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
