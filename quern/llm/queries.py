@@ -1,11 +1,12 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from quern.llm import chat, langid, packing, urlfilter, warc
+from quern.llm import chat, langid, packing, quality, urlfilter, warc
 
 
 def queries() -> dict:
     return {
         "op1_chat_formatting": chat.op1_chat_formatting,
+        "op6_quality_rules": quality.op6_quality_rules,
         "op7_warc": warc.op7_warc,
         "op8_url_filters": urlfilter.op8_url_filters,
         "op9_packing": packing.op9_packing,
