@@ -1,12 +1,13 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from quern.llm import chat, debruijn, langid, packing, quality, urlfilter, warc
+from quern.llm import chat, debruijn, langid, packing, quality, sigtree, urlfilter, warc
 
 
 def queries() -> dict:
     return {
         "op1_chat_formatting": chat.op1_chat_formatting,
         "op3_substring_dedup": debruijn.op3_substring_dedup,
+        "op5_ngram_jaccard_join": sigtree.op5_ngram_jaccard_join,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_warc": warc.op7_warc,
         "op8_url_filters": urlfilter.op8_url_filters,
