@@ -1,11 +1,12 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from quern.llm import chat, debruijn, decontam, langid, packing, quality, sigtree, urlfilter, warc
+from quern.llm import brown, chat, debruijn, decontam, langid, packing, quality, sigtree, urlfilter, warc
 
 
 def queries() -> dict:
     return {
         "op1_chat_formatting": chat.op1_chat_formatting,
+        "op2_lm_scoring": brown.op2_lm_scoring,
         "op3_substring_dedup": debruijn.op3_substring_dedup,
         "op4_decontamination": decontam.op4_decontamination,
         "op5_ngram_jaccard_join": sigtree.op5_ngram_jaccard_join,
