@@ -233,19 +233,43 @@ def find_passages(docs: DataFrame, items: DataFrame, columns: tuple[str, ...] =
     stands. Null and empty texts and items have none; repeated items are found each, repeated
     rows too; empty tables give no rows. Items travel with the tasks in blocks of at most ITEM_BYTES.
     """
-    cells = items.select("item_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     source = docs.select(*columns, F.col("text").cast("string").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    kind = cells.schema["item_id"].dataType.simpleString()
+    kind = items.schema["item_id"].dataType.simpleString()
     schema = f"{fields}, item_id {kind}, start_word long, n_words long, distance long, item_words long"
+    out = None
+    for index in _indexes(items):
+        found = source.mapInArrow(_searcher(index, columns), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def without_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose text has no passage of an item as find_passages() finds them."""
+    source = docs.withColumn("__text", F.col("text").cast("string"))
+
+    def drop(index: Index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in T.slices(batch, "__text"):
+                    hit = {f[0] for f in search(part.column("__text").combine_chunks(), index)} if len(index.ids) else set()
+                    yield from part.filter(pa.array([i not in hit for i in range(part.num_rows)])).to_batches()
+
+        return run
+
+    for index in _indexes(items):
+        source = source.mapInArrow(drop(index), source.schema)
+    return source.drop("__text")
+
+
+def _indexes(items: DataFrame) -> Iterator[Index]:
+    """One index for each block of items, one at least."""
+    cells = items.select("item_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     size = int(cells.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0)
     parts = max(1, -(-size // ITEM_BYTES))
-    out = None
     for p in range(parts):
         block = cells.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text").collect()
-        found = source.mapInArrow(_searcher(build_index([tuple(r) for r in block]), columns), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield build_index([tuple(r) for r in block])
 
 
 def _searcher(index: Index, columns: tuple[str, ...]):

@@ -383,6 +383,22 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     )
 
 
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, extra...) without near duplicates: of each component the row with the smallest doc_id.
+
+    Rows are told apart by their place in their block, so a repeated doc_id is handled row by row.
+    """
+    chosen = jaccard_components(docs, k, num, den).filter("rank = 1").select((F.col("rid") / F.lit(1 << 32)).cast("int").alias("m"), F.col("rid").bitwiseAND((1 << 32) - 1).alias("row"))
+    b, _ = blocked(docs, extra)
+    types = {f.name: f.dataType.simpleString() for f in b.schema.fields}
+
+    def take(left, right):
+        rows = ordered(left).take(pa.array(np.sort(right.column("row").to_numpy()))) if right.num_rows else left.slice(0, 0)
+        return rows.select(["doc_id", "text", *extra])
+
+    return b.groupBy("m").cogroup(chosen.groupBy("m")).applyInArrow(take, ", ".join(f"`{c}` {types[c]}" for c in ("doc_id", "text", *extra)))
+
+
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """All documents with the component of links of Jaccard 0.9 over three-word shingles."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
