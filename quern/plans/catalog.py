@@ -1,9 +1,531 @@
-"""Named queries over the test tables and their SQL."""
+"""Named queries over the test tables, each on whole tables, and their SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import text as X
+from quern.operators import embed, judge, match, score, select
+from quern.plans import storage
+from quern.sources import jsonl, writers
+from quern.streaming import scoring
+
+#: A license line of the documents, as a template to leave out.
+TEMPLATE = "Licensed under the Apache License, Version 2.0."
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def side(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """(ord, id, text) of documents or benchmark."""
+    key = {"documents": "doc_id", "benchmark": "item_id"}[name]
+    return table(spark, d, name).select(F.col(key).alias("ord"), F.col(key).cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def chats(spark: SparkSession, d: str) -> DataFrame:
+    """(ord, id, messages, text) of conversations."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("t"))
+    rows = turns.select(F.col("conv_id").alias("ord"), F.col("conv_id").cast("string").alias("id"), F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    return rows.withColumn("text", X.message_text(F.col("messages")))
+
+
+def scored_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with scores: ifd = n_chars / 6000, length = n_chars, step = n_chars in steps of 500."""
+    n = F.col("n_chars").cast("double")
+    scores = F.create_map(F.lit("ifd"), n / 6000, F.lit("length"), n, F.lit("step"), F.floor(n / 500).cast("double"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), "text", "source", "lang", scores.alias("scores"))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as rows with a score."""
+    scores = F.create_map(F.lit("rank"), F.pmod(F.col("vec_id") * 7919, F.lit(1009)).cast("double"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), F.col("vec_id").cast("string").alias("id"), F.col("vec_id").cast("string").alias("text"), F.col("embedding").cast("array<double>").alias("vector"), scores.alias("scores"))
+
+
+def counting_provider(asked: DataFrame) -> DataFrame:
+    """Losses that follow from sizes, to exercise the ratio."""
+    n = F.length("target")
+    return asked.withColumn("nll", F.when(F.size("prefix") > 0, (1 + F.pmod(n, F.lit(97))) / (1 + F.size("prefix"))).otherwise((1 + F.pmod(n, F.lit(89))) / F.lit(3.0)))
+
+
+def answered(spark: SparkSession, d: str) -> DataFrame:
+    return chats(spark, d).filter(F.element_at("messages", -1)["role"] == "assistant")
+
+
+def judgments(spark: SparkSession, d: str) -> DataFrame:
+    """Every label judged under three seeds by a rule."""
+    votes = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.explode(F.array(*[F.lit(s) for s in (42, 43, 44)])).alias("seed"), "quality")
+    k = F.pmod(F.col("id") * 7 + F.col("seed") * 13 + F.col("quality"), F.lit(5))
+    return votes.select("id", "seed", F.lit("random").alias("baseline"), F.when(k < 2, "selected").when(k == 2, "tie").otherwise("random").alias("winner"), (k == 3).alias("order_disagreement"), F.lit("j").alias("judge_sha256"), F.lit("paper").alias("order_policy"))
+
+
+def hits(df: DataFrame) -> DataFrame:
+    return df.select("train_id", "eval_id", "level", F.round("value", 6).alias("value"), "evidence")
+
+
+def decisions(df: DataFrame) -> DataFrame:
+    return df.select("example_id", "decision", "reason")
+
+
+def tokens_count(spark, d):
+    return side(spark, d, "documents").select(F.col("ord").alias("doc_id"), X.words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"))
+
+
+def approx_token_count(spark, d):
+    return side(spark, d, "documents").select(F.col("ord").alias("doc_id"), X.approx_tokens(F.col("text")).cast("long").alias("n_tokens"))
+
+
+def approx_token_count_unicode(spark, d):
+    return side(spark, d, "documents").select(F.col("ord").alias("doc_id"), X.exact_approx_tokens(F.col("text")).cast("long").alias("n_tokens"))
+
+
+def shingle_set_size(spark, d):
+    w = side(spark, d, "documents").select(F.col("ord").alias("doc_id"), X.words(F.col("text")).alias("w"))
+    return w.select("doc_id", F.size(X.shingles(F.col("w"), 5)).cast("long").alias("n_shingles"))
+
+
+def word_bins(spark, d):
+    return embed.term_bins(side(spark, d, "benchmark")).select("word", "bin").distinct()
+
+
+def exact_hits_13(spark, d):
+    return hits(match.exact_hits(side(spark, d, "documents"), side(spark, d, "benchmark")))
+
+
+def exact_hits_5(spark, d):
+    return hits(match.exact_hits(side(spark, d, "documents"), side(spark, d, "benchmark"), 5))
+
+
+def exact_hits_template(spark, d):
+    return hits(match.exact_hits(side(spark, d, "documents"), side(spark, d, "benchmark"), 5, (TEMPLATE, "the")))
+
+
+def near_hits_documents(spark, d):
+    rows = side(spark, d, "documents")
+    return hits(match.near_hits(rows, rows))
+
+
+def near_hits_low(spark, d):
+    return hits(match.near_hits(side(spark, d, "documents"), side(spark, d, "benchmark"), 0.3, 3, 64, 64))
+
+
+def semantic_hits(spark, d):
+    rows = vectors(spark, d)
+    return match.semantic_hits(rows, rows, 0.35).select("train_id", "eval_id", F.round("value", 4).alias("value"), "evidence")
+
+
+def hit_counts_by_level(spark, d):
+    report = match.check(side(spark, d, "documents"), side(spark, d, "benchmark"), (match.ngram_matcher(5), match.minhash_matcher(0.3, 3, 64, 64)))
+    levels = spark.createDataFrame([(level,) for level in match.LEVELS], "level string")
+    return levels.join(report.hits.groupBy("level").agg(F.count(F.lit(1)).alias("n")), "level", "left").select("level", F.coalesce("n", F.lit(0)).cast("long").alias("hits"))
+
+
+def report_summary(spark, d):
+    report = match.check(side(spark, d, "documents"), side(spark, d, "benchmark"), (match.ngram_matcher(),))
+    return spark.createDataFrame([(report.train_records, report.eval_records, report.ok)], "train_records long, eval_records long, ok boolean")
+
+
+def duplicate_ids(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def length_scores(spark, d):
+    rows = score.score_rows(chats(spark, d), (score.length_scorer(),))
+    return rows.select("id", F.col("scores")["length"].alias("length"), F.round(F.col("scores")["response_ratio"], 6).alias("response_ratio"), F.col("scores")["turns"].alias("turns"))
+
+
+def response_split(spark, d):
+    rows = score.split_response(answered(spark, d))
+    return rows.select("id", F.size("prefix").cast("long").alias("n_prefix"), "target")
+
+
+def ifd_scores(spark, d):
+    rows = score.score_rows(answered(spark, d), (score.ifd_scorer(counting_provider),))
+    s = F.col("scores")
+    return rows.select("id", F.round(s["ifd"], 6).alias("ifd"), F.round(s["conditional_nll"], 6).alias("conditional_nll"), F.round(s["unconditional_nll"], 6).alias("unconditional_nll"), F.array_join("flags", ",").alias("flags"))
+
+
+def ifd_fixed(spark, d):
+    rows = score.score_rows(answered(spark, d), (score.ifd_scorer(score.fixed_provider()),))
+    return rows.select("id", F.col("scores")["ifd"].alias("ifd"), F.size("flags").cast("long").alias("n_flags"))
+
+
+def nll_cache_misses(spark, d):
+    asked = table(spark, d, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"))
+    known = table(spark, d, "conversations").filter("role = 'assistant'").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"))
+    return score.cache_misses(asked, known)
+
+
+def nll_cache_reuse(spark, d):
+    """Scores through a cache on a second pass, all of which it has."""
+    path = f"{storage.shared_dir(spark)}/quern-nll-{storage.uuid.uuid4().hex}"
+    provider = score.cached_provider(counting_provider, path, "sizes")
+    score.score_rows(answered(spark, d), (score.ifd_scorer(provider),))
+    again = score.cached_provider(lambda asked: asked.withColumn("nll", F.raise_error(F.lit("not in the cache")).cast("double")), path, "sizes")
+    rows = score.score_rows(answered(spark, d), (score.ifd_scorer(again),))
+    return rows.select("id", F.round(F.col("scores")["ifd"], 6).alias("ifd"))
+
+
+def topk_count(spark, d):
+    return decisions(select.top_k(scored_documents(spark, d), select.Budget(100), "length", False))
+
+
+def topk_fraction(spark, d):
+    return decisions(select.top_k(scored_documents(spark, d), select.Budget(0.2)))
+
+
+def topk_ties(spark, d):
+    return decisions(select.top_k(scored_documents(spark, d), select.Budget(0.29), "step", False))
+
+
+def topk_exclude_above_one(spark, d):
+    return decisions(select.top_k(scored_documents(spark, d), select.Budget(1.0), "length"))
+
+
+def stratified_source(spark, d):
+    return decisions(select.stratified(scored_documents(spark, d), select.Budget(0.33), "ifd", "source"))
+
+
+def stratified_lang(spark, d):
+    return decisions(select.stratified(scored_documents(spark, d), select.Budget(77), "length", "lang"))
+
+
+def stratified_turns(spark, d):
+    rows = score.score_rows(chats(spark, d), (score.length_scorer(),))
+    return decisions(select.stratified(rows, select.Budget(0.4), "length", "turns"))
+
+
+def stratum_quotas(spark, d):
+    groups = scored_documents(spark, d).filter(select.eligible()).groupBy(F.col("source").alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+    return select.quotas(groups, 123)
+
+
+def diverse_greedy(spark, d):
+    return decisions(select.diverse_greedy(vectors(spark, d), select.Budget(0.5), lambda rows: rows, "rank", 0.3, False))
+
+
+def diverse_tfidf(spark, d):
+    rows = side(spark, d, "benchmark").withColumn("scores", F.create_map(F.lit("n"), F.length("text").cast("double")))
+    return decisions(select.diverse_greedy(rows, select.Budget(0.5), embed.hashed_tfidf(), "n", 0.2, False))
+
+
+def tfidf_df(spark, d):
+    return embed.bin_frequencies(embed.term_bins(side(spark, d, "documents")))
+
+
+def tfidf_vectors(spark, d):
+    rows = embed.hashed_tfidf()(side(spark, d, "benchmark"))
+    cells = rows.select("id", F.posexplode("vector").alias("bin", "x")).filter("x <> 0")
+    return cells.select("id", "bin", F.round("x", 6).alias("x"))
+
+
+def tfidf_cosine(spark, d):
+    rows = embed.hashed_tfidf()(side(spark, d, "benchmark"))
+    return match.semantic_hits(rows, rows, 0.15).select("train_id", "eval_id", F.round("value", 5).alias("value"))
+
+
+def cosine_pairs(spark, d):
+    a = vectors(spark, d).select(F.col("id").alias("a"), F.col("vector").alias("x"), (F.col("ord") + 1).alias("next"))
+    b = vectors(spark, d).select(F.col("ord").alias("next"), F.col("id").alias("b"), F.col("vector").alias("y"))
+    return a.join(b, "next").select("a", "b", F.round(X.cosine(F.col("x"), F.col("y")), 5).alias("value"))
+
+
+def union_eval_sets(spark, d):
+    return side(spark, d, "documents").select("id", "text").union(side(spark, d, "benchmark").select("id", "text")).select("id", F.length("text").cast("long").alias("size"))
+
+
+def set_difference_eval(spark, d):
+    return table(spark, d, "documents").select("doc_id").exceptAll(table(spark, d, "labels").select("doc_id"))
+
+
+def combined(spark, d, policy):
+    x = table(spark, d, "labels").select("doc_id", "quality", "toxic")
+    verdict = lambda k: F.when(k == 0, "selected").when(k == 1, "tie").otherwise("full")
+    one, two = verdict(F.pmod(F.col("doc_id") * 5 + F.col("quality"), F.lit(3))), verdict(F.pmod(F.col("doc_id") * 7 + F.col("toxic"), F.lit(3)))
+    return x.select("doc_id", judge.combine_orders(one, two, F.lit("full"), policy).alias("winner"))
+
+
+def combine_orders_strict(spark, d):
+    return combined(spark, d, "strict")
+
+
+def combine_orders_paper(spark, d):
+    return combined(spark, d, "paper")
+
+
+def judgment_preference(spark, d):
+    got = judge.preference(judgments(spark, d))
+    return got.withColumn("preference", F.round("preference", 9))
+
+
+def wilson_95(spark, d):
+    got = judge.wilson(judgments(spark, d))
+    return got.withColumns({c: F.round(c, 9) for c in ("win_rate", "lower", "upper")})
+
+
+def bootstrap_95(spark, d):
+    lower, upper, met = judge.bootstrap_interval(judgments(spark, d), samples=1000)
+    return spark.createDataFrame([(lower, upper, met)], "lower double, upper double, criterion_met boolean")
+
+
+def quantiles_lower(spark, d):
+    return judge.lower_quantiles(table(spark, d, "orders"), "o_totalprice")
+
+
+def selection_curve(spark, d):
+    rows = scored_documents(spark, d).select(F.col("scores")["ifd"].alias("ifd"))
+    return judge.selection_curve(rows, "ifd").withColumn("mean", F.round("mean", 9))
+
+
+def spearman(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") / 100).alias("price"), "o_custkey")
+    return judge.spearman(rows, "price", "o_custkey", "o_orderkey").withColumn("spearman", F.round("spearman", 9))
+
+
+def average_ranks(spark, d):
+    return judge.average_ranks(table(spark, d, "documents"), "n_chars", "doc_id").select("doc_id", "avg_rank")
+
+
+def nested_budgets(spark, d):
+    got = judge.nested_budgets(table(spark, d, "documents").select(F.col("doc_id").alias("ord")), (10, 50, 100))
+    return got.groupBy("budget").agg(F.count(F.lit(1)).alias("n"))
+
+
+def random_sample(spark, d):
+    """A sampling operator: 25 positions by Python's generator, then an index join."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("ord"))
+    picks = spark.createDataFrame([(i,) for i in judge.sample_positions(rows.count(), 25)], "index long")
+    return judge.rows_at(rows, picks).select(F.col("ord").alias("doc_id"))
+
+
+def arms(spark, d):
+    x = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), F.lit("q").alias("instruction"), F.lit("r").alias("reference"), "quality", "toxic")
+    return x.select("id", "instruction", "reference", F.col("quality").cast("string").alias("answer")), x.select("id", "instruction", "reference", F.col("toxic").cast("string").alias("answer"))
+
+
+def paired_answers(spark, d):
+    return judge.pair_answers(*arms(spark, d)).select("id", "first", "second")
+
+
+def identical_answers(spark, d):
+    return judge.identical_answers(judge.pair_answers(*arms(spark, d)))
+
+
+def not_judged(spark, d):
+    judged = judgments(spark, d).filter("winner = 'tie'").select(F.col("id").cast("string").alias("id"))
+    return judge.not_judged(judge.pair_answers(*arms(spark, d)), judged).select("id")
+
+
+def new_folder(spark, name: str) -> str:
+    return f"{storage.shared_dir(spark)}/quern-{name}-{storage.uuid.uuid4().hex}"
+
+
+def format_detection(spark, d):
+    """Conversations in each of the record formats as JSON, and what the parser makes of them."""
+    c = chats(spark, d)
+    openai = F.to_json(F.struct("messages", F.col("ord").alias("n")))
+    sharegpt = F.to_json(F.struct(F.transform("messages", lambda m: F.struct(F.when(m["role"] == "user", "human").when(m["role"] == "assistant", "gpt").otherwise(m["role"]).alias("from"), m["content"].alias("value"))).alias("conversations"), F.col("ord").alias("n")))
+    first = F.element_at("messages", 1)["content"]
+    alpaca = F.to_json(F.struct(first.alias("instruction"), F.lit("x").alias("input"), F.element_at("messages", -1)["content"].alias("output")))
+    rows = c.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("format"), j.alias("line")) for n, j in (("openai", openai), ("sharegpt", sharegpt), ("alpaca", alpaca))])).alias("r"))
+    read = rows.select("id", "r.format", jsonl.parse(F.col("r.line")).alias("p"))
+    return read.select("id", "format", F.size("p.messages").cast("long").alias("n_messages"), X.message_text(F.col("p.messages")).alias("text"), F.transform("p.messages", lambda m: m["role"]).alias("roles")).withColumn("roles", F.array_join("roles", ","))
+
+
+def jsonl_roundtrip(spark, d):
+    """Conversations written as JSON Lines and read again."""
+    path = new_folder(spark, "jsonl")
+    chats(spark, d).select(F.to_json(F.struct(F.col("ord").alias("conv_id"), "messages")).alias("value")).write.option("compression", "gzip").text(path)
+    got = jsonl.read_jsonl(spark, path)
+    return got.select(F.col("metadata")["conv_id"].alias("conv_id"), F.size("messages").cast("long").alias("n_messages"), "text")
+
+
+def scored_roundtrip(spark, d):
+    """Scored conversations with decisions, written and read again."""
+    path = new_folder(spark, "scored")
+    rows = storage.stash(score.score_rows(chats(spark, d), (score.length_scorer(),)), "rows")
+    writers.write_scored_table(path, rows, select.top_k(rows, select.Budget(0.5), "length"))
+    got = jsonl.read_scored(spark, path)
+    note = F.from_json(F.get_json_object("original", "$." + jsonl.ANNOTATION), "id string, decision string, reason string")
+    return got.select(note["id"].alias("id"), F.col("scores")["length"].alias("length"), F.col("scores")["turns"].alias("turns"), note["decision"].alias("decision"), note["reason"].alias("reason"))
+
+
+def stream_length_scores(spark, d):
+    """Conversations as a stream of JSON Lines, scored and appended to a table."""
+    source, target, state = (new_folder(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+    chats(spark, d).select(F.to_json(F.struct(F.col("ord").alias("conv_id"), "messages")).alias("value")).write.text(source)
+    scored = scoring.score_stream(scoring.read_stream(spark, source), score.length_scorer())
+    scoring.write_stream(scored.select("metadata", "length", "turns"), target, state, once=True).awaitTermination()
+    return spark.read.parquet(target).select(F.col("metadata")["conv_id"].alias("conv_id"), "length", "turns")
+
+
+def run_pipeline(spark, d):
+    """Score conversations, keep the longest fifth, and check those against the benchmark."""
+    from quern.plans import pipeline
+
+    got = pipeline.process(spark, chats(spark, d), side(spark, d, "benchmark"), (score.length_scorer(),), select.top_k_selector("length"), 0.2, (match.ngram_matcher(3),))
+    told = got.report.hits.groupBy("train_id").agg(F.count(F.lit(1)).alias("hits")).withColumnRenamed("train_id", "example_id")
+    return decisions(got.decisions).join(told, "example_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+
+
+def markdown_cells(spark, d):
+    """Page titles as cells of a Markdown table, by the report's replacements."""
+    cell = F.col("url")
+    for a, b in writers.ESCAPES:
+        cell = F.replace(cell, F.lit(a), F.lit(b))
+    return table(spark, d, "pages").select("page_id", cell.alias("cell"))
+
+
+FOLD = "regexp_extract_all(replace(lower(nfc_normalize(coalesce(text, ''))), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')"
+
+
+def _words(name: str, key: str, text: str = "coalesce(text, '')") -> str:
+    return f"(SELECT {key}::VARCHAR AS id, {FOLD.replace("coalesce(text, '')", text)} AS w FROM {name})"
+
+
+def _grams(size: int, rel: str) -> str:
+    return f"(SELECT DISTINCT id, array_to_string(w[i:i+{size - 1}], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - {size - 2})) AS i FROM {rel}))"
+
+
+def _exact(size: int, text: str = "coalesce(text, '')") -> str:
+    fold = "replace(lower(nfc_normalize(coalesce(text, ''))), 'ß', 'ss')"
+    docs, items = (_words(n, k) for n, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    if text != "coalesce(text, '')":
+        docs, items = (x.replace(fold, text.replace("$", fold)) for x in (docs, items))
+    return f"""SELECT a.id AS train_id, b.id AS eval_id, 'EXACT' AS level, 1.0::DOUBLE AS value, min(a.g) AS evidence
+FROM {_grams(size, docs)} a JOIN {_grams(size, items)} b USING (g) GROUP BY 1, 2"""
+
+
+def _near(size: int, threshold: float, right: tuple[str, str]) -> str:
+    a, b = _grams(size, _words("documents", "doc_id")), _grams(size, _words(*right))
+    return f"""WITH a AS MATERIALIZED {a}, b AS MATERIALIZED {b}, na AS (SELECT id, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT id, count(*) AS n FROM b GROUP BY 1),
+p AS (SELECT a.id AS x, b.id AS y, count(*) AS c, min(a.g) AS evidence FROM a JOIN b USING (g) GROUP BY 1, 2)
+SELECT x AS train_id, y AS eval_id, 'NEAR' AS level, round(c / (na.n + nb.n - c)::DOUBLE, 6) AS value, evidence
+FROM p JOIN na ON na.id = x JOIN nb ON nb.id = y WHERE c / (na.n + nb.n - c)::DOUBLE >= {threshold}"""
+
+
+_DOCS = "(SELECT doc_id AS ord, doc_id::VARCHAR AS id, source, lang, n_chars / 6000.0::DOUBLE AS ifd, n_chars::DOUBLE AS length, floor(n_chars / 500) AS step FROM documents)"
+
+
+def _top(by: str, keep: str, exclude: bool) -> str:
+    ok = "ifd <= 1" if exclude else "TRUE"
+    return f"""WITH d AS {_DOCS}, k AS (SELECT {keep} AS k FROM d), r AS (SELECT ord, row_number() OVER (ORDER BY {by} DESC, ord) AS rn FROM d WHERE {ok})
+SELECT d.id AS example_id, CASE WHEN rn <= k THEN 'KEEP' ELSE 'DROP' END AS decision,
+CASE WHEN rn <= k THEN 'selected' WHEN NOT ({ok}) THEN 'ifd_above_1' ELSE 'budget' END AS reason FROM d LEFT JOIN r USING (ord), k"""
+
+
+def _stratified(by: str, stratum: str, keep: str, exclude: bool, source: str = _DOCS) -> str:
+    ok = "ifd <= 1" if exclude else "TRUE"
+    return f"""WITH d AS {source}, e AS (SELECT *, {stratum} AS s FROM d WHERE {ok}), t AS (SELECT count(*) AS total FROM e), k AS (SELECT least((SELECT total FROM t), {keep}) AS k FROM d),
+g AS (SELECT s, count(*) AS n FROM e GROUP BY 1), f AS (SELECT s, n, (k * n) // total AS fl, (k * n) % total AS rest FROM g, t, k),
+q AS (SELECT s, fl + CASE WHEN row_number() OVER (ORDER BY rest DESC, s) <= (SELECT k FROM k) - (SELECT sum(fl) FROM f) THEN 1 ELSE 0 END AS quota FROM f),
+r AS (SELECT e.ord, row_number() OVER (PARTITION BY e.s ORDER BY {by} DESC, ord) <= quota AS kept FROM e JOIN q USING (s))
+SELECT d.id AS example_id, CASE WHEN kept THEN 'KEEP' ELSE 'DROP' END AS decision,
+CASE WHEN kept THEN 'selected' WHEN NOT ({ok}) THEN 'ifd_above_1' ELSE 'budget' END AS reason FROM d LEFT JOIN r USING (ord)"""
+
+
+_UNIT = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]'))"
+_LENGTHS = f"""(SELECT conv_id AS ord, conv_id::VARCHAR AS id, 0.0 AS ifd,
+coalesce(sum({_UNIT.format('text')}) FILTER (role = 'assistant'), 0)::DOUBLE AS length,
+coalesce(sum({_UNIT.format('text')}) FILTER (role <> 'assistant'), 0)::DOUBLE AS prompt,
+count(*) FILTER (role = 'assistant')::DOUBLE AS turns FROM conversations GROUP BY 1)"""
+_ANSWERED = """(SELECT conv_id::VARCHAR AS id, count(*) - 1 AS n_prefix, arg_max(text, turn) AS target FROM conversations GROUP BY conv_id HAVING arg_max(role, turn) = 'assistant')"""
+_IFD = f"""(SELECT id, CASE WHEN n_prefix > 0 THEN (1 + length(target) % 97) / (1 + n_prefix)::DOUBLE ELSE (1 + length(target) % 89) / 3.0::DOUBLE END AS c, (1 + length(target) % 89) / 3.0::DOUBLE AS u FROM {_ANSWERED})"""
+_VOTES = """(SELECT id, seed, CASE WHEN k < 2 THEN 'selected' WHEN k = 2 THEN 'tie' ELSE 'random' END AS winner, k = 3 AS differs FROM
+(SELECT doc_id AS id, seed, (doc_id * 7 + seed * 13 + quality) % 5 AS k FROM labels, (VALUES (42), (43), (44)) s(seed)))"""
+_BIN = "('0x' || substr(sha256({}), 14, 3))::BIGINT % 512"
+
+
+def _terms(name: str, key: str) -> str:
+    return f"(SELECT id, word, count(*) AS tf, {_BIN.format('word')} AS bin FROM (SELECT id, unnest(w) AS word FROM {_words(name, key)}) GROUP BY 1, 2)"
+
+
+_TFIDF = f"""t AS MATERIALIZED {_terms("benchmark", "item_id")}, f AS (SELECT bin, count(DISTINCT id) AS df FROM t GROUP BY 1), n AS (SELECT count(*) AS n FROM benchmark),
+c AS (SELECT id, bin, sum((1 + ln(tf)) * (1 + ln((1.0 + n) / (1 + df)))) AS x FROM t JOIN f USING (bin), n GROUP BY 1, 2),
+u AS MATERIALIZED (SELECT id, bin, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM c)"""
+_VECTORS = "(SELECT vec_id AS ord, vec_id::VARCHAR AS id, embedding::DOUBLE[] AS v, (vec_id * 7919) % 1009 AS s FROM embeddings)"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    both = lambda f: f"WITH x AS (SELECT doc_id, CASE (doc_id * 5 + quality) % 3 WHEN 0 THEN 'selected' WHEN 1 THEN 'tie' ELSE 'full' END AS a, CASE (doc_id * 7 + toxic) % 3 WHEN 0 THEN 'selected' WHEN 1 THEN 'tie' ELSE 'full' END AS b FROM labels) SELECT doc_id, {f} AS winner FROM x"
+    template = f"replace(replace($, {json.dumps(X.fold(TEMPLATE)).replace(chr(34), chr(39))}, ' '), 'the', ' ')"
+    return {
+        "tokens_count": f"SELECT id::BIGINT AS doc_id, len(w) AS n_words FROM {_words('documents', 'doc_id')}",
+        "approx_token_count": f"SELECT doc_id, {_UNIT.format("coalesce(text, '')")} AS n_tokens FROM documents",
+        "approx_token_count_unicode": f"SELECT doc_id, {_UNIT.format("coalesce(text, '')")} AS n_tokens FROM documents",
+        "shingle_set_size": f"SELECT d.doc_id, coalesce(n, 0) AS n_shingles FROM documents d LEFT JOIN (SELECT id::BIGINT AS doc_id, count(*) AS n FROM {_grams(5, _words('documents', 'doc_id'))} GROUP BY 1) USING (doc_id)",
+        "word_bins": f"SELECT DISTINCT word, bin::INTEGER AS bin FROM {_terms('benchmark', 'item_id')}",
+        "exact_hits_13": _exact(13),
+        "exact_hits_5": _exact(5),
+        "exact_hits_template": _exact(5, template),
+        "near_hits_documents": _near(5, 0.8, ("documents", "doc_id")),
+        "near_hits_low": _near(3, 0.3, ("benchmark", "item_id")),
+        "semantic_hits": f"SELECT a.id AS train_id, b.id AS eval_id, round(least(1, list_cosine_similarity(a.v, b.v)), 4) AS value, a.id || ' ↔ ' || b.id AS evidence FROM {_VECTORS} a, {_VECTORS} b WHERE list_cosine_similarity(a.v, b.v) >= 0.35",
+        "hit_counts_by_level": f"SELECT 'EXACT' AS level, (SELECT count(*) FROM ({_exact(5)})) AS hits UNION ALL SELECT 'NEAR', (SELECT count(*) FROM ({_near(3, 0.3, ('benchmark', 'item_id'))})) UNION ALL SELECT 'SEMANTIC', 0",
+        "report_summary": f"SELECT (SELECT count(*) FROM documents) AS train_records, (SELECT count(*) FROM benchmark) AS eval_records, (SELECT count(*) FROM ({_exact(13)})) = 0 AS ok",
+        "duplicate_ids": "SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1",
+        "length_scores": f"SELECT id, length, round(length / greatest(1, prompt), 6) AS response_ratio, turns FROM {_LENGTHS}",
+        "response_split": f"SELECT id, n_prefix, target FROM {_ANSWERED}",
+        "ifd_scores": f"SELECT id, round(c / u, 6) AS ifd, round(c, 6) AS conditional_nll, round(u, 6) AS unconditional_nll, CASE WHEN c / u > 1 THEN 'ifd_above_1' ELSE '' END AS flags FROM {_IFD}",
+        "ifd_fixed": f"SELECT id, CASE WHEN n_prefix > 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS ifd, 0 AS n_flags FROM {_ANSWERED}",
+        "nll_cache_misses": "SELECT conv_id || '/' || turn AS key FROM conversations WHERE role <> 'assistant'",
+        "nll_cache_reuse": f"SELECT id, round(c / u, 6) AS ifd FROM {_IFD}",
+        "topk_count": _top("length", "least(count(*), 100)", False),
+        "topk_fraction": _top("ifd", "floor(count(*) * 0.2::DOUBLE)", True),
+        "topk_ties": _top("step", "floor(count(*) * 0.29::DOUBLE)", False),
+        "topk_exclude_above_one": _top("length", "count(*)", True),
+        "stratified_source": _stratified("ifd", "source", "floor(count(*) * 0.33::DOUBLE)::BIGINT", True),
+        "stratified_lang": _stratified("length", "lang", "least(count(*), 77)", True),
+        "stratified_turns": _stratified("length", "turns::VARCHAR", "floor(count(*) * 0.4::DOUBLE)::BIGINT", False, _LENGTHS),
+        "stratum_quotas": f"WITH g AS (SELECT source AS stratum, count(*) AS n FROM {_DOCS} WHERE ifd <= 1 GROUP BY 1), t AS (SELECT sum(n)::BIGINT AS t FROM g), f AS (SELECT stratum, n, 123 * n // t AS fl, 123 * n % t AS rest FROM g, t) SELECT stratum, n, fl + CASE WHEN row_number() OVER (ORDER BY rest DESC, stratum) <= 123 - (SELECT sum(fl) FROM f) THEN 1 ELSE 0 END AS quota FROM f",
+        "diverse_greedy": f"""WITH RECURSIVE r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY s DESC, ord) AS rn FROM {_VECTORS}), k AS (SELECT floor(count(*) * 0.5::DOUBLE)::BIGINT AS k FROM r),
+w(rn, kept, id, reason) AS (SELECT 0::BIGINT, []::DOUBLE[][], '', '' UNION ALL
+SELECT r.rn, CASE WHEN z.why = 'selected' THEN list_append(w.kept, r.v) ELSE w.kept END, r.id, z.why FROM w JOIN r ON r.rn = w.rn + 1, k,
+LATERAL (SELECT CASE WHEN len(w.kept) >= k.k THEN 'budget' WHEN len(list_filter(w.kept, lambda x: list_cosine_similarity(x, r.v) >= 0.3)) > 0 THEN 'similarity_threshold' ELSE 'selected' END AS why) z)
+SELECT id AS example_id, CASE WHEN reason = 'selected' THEN 'KEEP' ELSE 'DROP' END AS decision, reason FROM w WHERE rn > 0""",
+        "tfidf_df": f"SELECT bin::INTEGER AS bin, count(DISTINCT id) AS df FROM {_terms('documents', 'doc_id')} GROUP BY 1",
+        "tfidf_vectors": f"WITH {_TFIDF} SELECT id, bin::INTEGER AS bin, round(x, 6) AS x FROM u",
+        "tfidf_cosine": f"WITH {_TFIDF} SELECT a.id AS train_id, b.id AS eval_id, round(least(1, sum(a.x * b.x)), 5) AS value FROM u a JOIN u b USING (bin) GROUP BY 1, 2 HAVING sum(a.x * b.x) >= 0.15",
+        "cosine_pairs": f"SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 5) AS value FROM {_VECTORS} a JOIN {_VECTORS} b ON b.ord = a.ord + 1",
+        "union_eval_sets": "SELECT doc_id::VARCHAR AS id, length(coalesce(text, '')) AS size FROM documents UNION ALL SELECT item_id::VARCHAR, length(coalesce(text, '')) FROM benchmark",
+        "set_difference_eval": "SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels",
+        "combine_orders_strict": both("CASE WHEN a = b THEN a ELSE 'tie' END"),
+        "combine_orders_paper": both("CASE WHEN a = b THEN a WHEN a = 'tie' THEN b WHEN b = 'tie' THEN a ELSE 'tie' END"),
+        "judgment_preference": f"WITH v AS {_VOTES}, m AS (SELECT id, avg(CASE winner WHEN 'selected' THEN 1 WHEN 'tie' THEN 0.5 ELSE 0 END) AS m FROM v GROUP BY 1) SELECT count(*) AS judgments, count(*) FILTER (winner = 'selected') AS selected, count(*) FILTER (winner = 'random') AS baseline, count(*) FILTER (winner = 'tie') AS tie, count(*) FILTER (differs) AS position_disagreements, (SELECT count(*) FROM m) AS prompts, (SELECT round(avg(m), 9) FROM m) AS preference FROM v",
+        "wilson_95": f"WITH c AS (SELECT count(*) FILTER (winner = 'selected') AS wins, count(*) FILTER (winner = 'random') AS losses, count(*) FILTER (winner = 'tie') AS ties, {judge.Z95}::DOUBLE AS z FROM {_VOTES}), p AS (SELECT *, (wins + losses)::DOUBLE AS n, wins / (wins + losses)::DOUBLE AS p FROM c), q AS (SELECT *, (p + z * z / (2 * n)) / (1 + z * z / n) AS mid, z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n) AS r FROM p) SELECT wins, losses, ties, round(p, 9) AS win_rate, round(mid - r, 9) AS lower, round(mid + r, 9) AS upper, mid - r > 0.5 AS criterion_met FROM q",
+        "quantiles_lower": "WITH r AS (SELECT o_totalprice AS value, row_number() OVER (ORDER BY o_totalprice) AS rn, count(*) OVER () AS n FROM orders) SELECT p::DOUBLE AS fraction, value FROM r, (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) q(p) WHERE rn = floor(p * (n - 1)) + 1",
+        "selection_curve": f"WITH v AS (SELECT ifd, count(*) OVER () AS n FROM {_DOCS}), r AS (SELECT ifd, n, row_number() OVER (ORDER BY ifd DESC) AS rn FROM v WHERE ifd <= 1) SELECT p::DOUBLE AS fraction, count(*) FILTER (rn <= floor(n * p::DOUBLE)) AS count, round(coalesce(avg(ifd) FILTER (rn <= floor(n * p::DOUBLE)), 0), 9) AS mean FROM r, (VALUES (0.1), (0.2), (0.4), (0.6), (0.8), (1.0)) q(p) GROUP BY p",
+        "spearman": "WITH r AS (SELECT rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0 AS a, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS b FROM (SELECT *, floor(o_totalprice / 100) AS price FROM orders)) SELECT round(corr(a, b), 9) AS spearman FROM r",
+        "average_ranks": "SELECT doc_id, (rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0)::DOUBLE AS avg_rank FROM documents",
+        "nested_budgets": "SELECT b AS budget, least(b, (SELECT count(*) FROM documents)) AS n FROM (VALUES (10), (50), (100)) v(b)",
+        "paired_answers": "SELECT doc_id::VARCHAR AS id, quality::VARCHAR AS first, toxic::VARCHAR AS second FROM labels",
+        "identical_answers": "SELECT count(*) AS pairs, count(*) FILTER (quality = toxic) AS identical FROM labels",
+        "not_judged": f"SELECT doc_id::VARCHAR AS id FROM labels WHERE doc_id NOT IN (SELECT id FROM {_VOTES} WHERE winner = 'tie')",
+        "format_detection": """WITH c AS (SELECT conv_id::VARCHAR AS id, count(*) AS n, string_agg(text, chr(10) ORDER BY turn) AS text, string_agg(role, ',' ORDER BY turn) AS roles, arg_min(text, turn) || chr(10) || 'x' || chr(10) || arg_max(text, turn) AS alpaca FROM conversations GROUP BY 1)
+SELECT id, 'openai' AS format, n AS n_messages, text, roles FROM c UNION ALL SELECT id, 'sharegpt', n, text, roles FROM c UNION ALL SELECT id, 'alpaca', 2, alpaca, 'user,assistant' FROM c""",
+        "jsonl_roundtrip": "SELECT conv_id::VARCHAR AS conv_id, count(*) AS n_messages, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1",
+        "scored_roundtrip": f"WITH d AS {_LENGTHS}, k AS (SELECT floor(count(*) * 0.5::DOUBLE) AS k FROM d), r AS (SELECT *, row_number() OVER (ORDER BY length DESC, ord) AS rn FROM d) SELECT id, length, turns, CASE WHEN rn <= k THEN 'KEEP' ELSE 'DROP' END AS decision, CASE WHEN rn <= k THEN 'selected' ELSE 'budget' END AS reason FROM r, k",
+        "stream_length_scores": f"SELECT id AS conv_id, length, turns FROM {_LENGTHS}",
+        "run_pipeline": f"""WITH d AS {_LENGTHS}, k AS (SELECT floor(count(*) * 0.2::DOUBLE) AS k FROM d), r AS (SELECT *, row_number() OVER (ORDER BY length DESC, ord) <= k AS kept FROM d, k),
+c AS (SELECT conv_id::VARCHAR AS conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1),
+h AS (SELECT a.id, count(DISTINCT b.id) AS hits FROM {_grams(3, _words('c', 'conv_id'))} a JOIN {_grams(3, _words('benchmark', 'item_id'))} b USING (g) GROUP BY 1)
+SELECT r.id AS example_id, CASE WHEN kept THEN 'KEEP' ELSE 'DROP' END AS decision, CASE WHEN kept THEN 'selected' ELSE 'budget' END AS reason, CASE WHEN kept THEN coalesce(h.hits, 0) ELSE 0 END AS hits FROM r LEFT JOIN h ON h.id = r.id""",
+        "markdown_cells": "SELECT page_id, replace(replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '|', '\\|'), chr(10), ' '), '`', '&#96;') AS cell FROM pages",
+    }
+
+
+def queries() -> dict:
+    named = (
+        tokens_count, approx_token_count, approx_token_count_unicode, shingle_set_size, word_bins, exact_hits_13, exact_hits_5, exact_hits_template, near_hits_documents, near_hits_low,
+        semantic_hits, hit_counts_by_level, report_summary, duplicate_ids, length_scores, response_split, ifd_scores, ifd_fixed, nll_cache_misses, nll_cache_reuse, topk_count, topk_fraction,
+        topk_ties, topk_exclude_above_one, stratified_source, stratified_lang, stratified_turns, stratum_quotas, diverse_greedy, diverse_tfidf, tfidf_df, tfidf_vectors, tfidf_cosine,
+        cosine_pairs, union_eval_sets, set_difference_eval, combine_orders_strict, combine_orders_paper, judgment_preference, wilson_95, bootstrap_95, quantiles_lower, selection_curve,
+        spearman, average_ranks, nested_budgets, random_sample, paired_answers, identical_answers, not_judged, format_detection, jsonl_roundtrip, scored_roundtrip, stream_length_scores,
+        run_pipeline, markdown_cells,
+    )
+    return {f.__name__: f for f in named}
