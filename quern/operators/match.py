@@ -154,6 +154,8 @@ def _compare(rows: list[tuple], threshold: float) -> Callable[[Iterator[pd.DataF
                     raise ValueError("embeddings must have equal nonzero dimensions and finite values")
                 value = np.clip(left @ right.T, -1.0, 1.0)
                 i, j = np.nonzero(value >= threshold)
+                if not len(i):
+                    continue
                 yield pd.DataFrame(
                     {
                         "level": "SEMANTIC", "train_ord": part["ord"].to_numpy()[i], "eval_ord": [rows[k][0] for k in j], "train_id": part["id"].to_numpy()[i],
