@@ -159,7 +159,7 @@ def exchange(bigrams: np.ndarray, start: np.ndarray, movable: np.ndarray, classe
             gain += f(d + right[target] + left[target] + own) - f(d) - (f(d + right[target]) - f(d)) - (f(d + left[target]) - f(d))
             out, inn = rows.sum(axis=1), cols.sum(axis=1)
             r, s = right.sum() + own, left.sum() + own
-            gain -= f(out + left[target] + r) - f(out) + f(inn + right[target] + s) - f(inn)
+            gain -= f(out + left[target] + r) - f(out + left[target]) + f(inn + right[target] + s) - f(inn + right[target])
             b = int(target[np.argmax(gain)])
             if gain[b] <= gain[a] + 1e-9:
                 b = int(a)
