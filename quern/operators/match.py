@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from quern.functions import text as X
+from quern.plans.storage import stash
 
 LEVELS = ("EXACT", "NEAR", "SEMANTIC")
 HIT = "level string, train_ord long, eval_ord long, train_id string, eval_id string, value double, evidence string"
@@ -59,7 +60,10 @@ def band_keys(grams: Column, permutations: int, bands: int) -> Column:
     @F.pandas_udf(S.ArrayType(S.StringType()))
     def keys(batch: pd.Series) -> pd.Series:
         def one(group):
-            raw = [g.encode() for g in group]
+            # Spark may hash before it filters, so a set without shingles has no keys here.
+            raw = [] if group is None else [g.encode() for g in group]
+            if not raw:
+                return []
             least = [min(hashlib.blake2b(g, digest_size=8, salt=s).digest() for g in raw) for s in salts]
             return [f"{b}:" + b"".join(least[b * rows : (b + 1) * rows]).hex() for b in range(bands)]
 
@@ -90,7 +94,9 @@ def near_hits(
         .groupBy("ord")
         .agg(F.count(F.lit(1)).alias("shared"))
     )
-    left = left.join(shared, "ord").filter(F.col("shared") >= F.lit(threshold) * F.size("grams") - 1e-9).drop("shared")
+    # Few records pass; only their texts are cut into shingles again.
+    passed = stash(left.select("ord", F.size("grams").alias("n")).join(shared, "ord").filter(F.col("shared") >= F.lit(threshold) * F.col("n") - 1e-9).select("ord"), "passed")
+    left = _grams(train.join(passed, "ord", "left_semi"), size, ignore)
     # Hashing is far dearer than reading, so it is spread by rows, whatever the size in bytes.
     parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left, right = left.repartition(parts, "ord"), right.repartition(parts, "ord")
