@@ -246,20 +246,23 @@ def find_passages(docs: DataFrame, items: DataFrame, columns: tuple[str, ...] =
 
 def without_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose text has no passage of an item as find_passages() finds them."""
-    source = docs.withColumn("__text", F.col("text").cast("string"))
+    cell = "__text"
+    while cell in docs.columns:
+        cell += "_"
+    source = docs.withColumn(cell, F.col("text").cast("string"))
 
     def drop(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in T.slices(batch, "__text"):
-                    hit = {f[0] for f in search(part.column("__text").combine_chunks(), index)} if len(index.ids) else set()
+                for part in T.slices(batch, cell):
+                    hit = {f[0] for f in search(part.column(cell).combine_chunks(), index)} if len(index.ids) else set()
                     yield from part.filter(pa.array([i not in hit for i in range(part.num_rows)])).to_batches()
 
         return run
 
     for index in _indexes(items):
         source = source.mapInArrow(drop(index), source.schema)
-    return source.drop("__text")
+    return source.drop(cell)
 
 
 def _indexes(items: DataFrame) -> Iterator[Index]:
