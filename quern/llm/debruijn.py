@@ -15,6 +15,7 @@ Exchanges, each between blocks of documents and buckets of hashes (see blocks.py
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +81,18 @@ class Block:
         self.table = ordered(table)
         self.k = k
         self.words = T.words(self.table.column("text"))
-        self.value, self.at = T.grams(self.words.hashes(), self.words.first, k)
+
+    @cached_property
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        return T.grams(self.words.hashes(), self.words.first, self.k)
+
+    @property
+    def value(self) -> np.ndarray:
+        return self.edges[0]
+
+    @property
+    def at(self) -> np.ndarray:
+        return self.edges[1]
 
     def short(self) -> np.ndarray:
         return np.unique(self.value >> _U(16))
@@ -199,11 +211,14 @@ def ask_verify(m: int, block: Block, spans: dict[str, np.ndarray]) -> pa.Table:
 
 
 def answer_verify(block: Block, asked: pa.Table) -> pa.Table:
-    """kind 2: whether the words at each source have the digest that the span has."""
+    """kind 2: whether the words at each source have the digest that the span has. Rows of kind 1, the block's own spans, pass through."""
     known: dict[tuple, bytes] = {}
     out = []
     for r in asked.to_pylist():
         n = r["n"]
+        if r["kind"] == 1:
+            out.append(tuple(r[c] for c, _ in SPANS))
+            continue
         ok = np.zeros(n, bool)
         for i, key in enumerate(zip(*(T.unpack(r[c], n).tolist() for c in ("row", "start", "edges")), strict=True)):
             if key not in known:
@@ -305,9 +320,8 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, keep_space: bool = False,
     def verify(left, right):
         return answer_verify(Block(left, k), right) if right.num_rows else _rows(SPANS, [])
 
-    asked = spans.filter("kind = 0").withColumn("to", F.col("src_m"))
-    verdicts = b.groupBy("m").cogroup(asked.groupBy("to")).applyInArrow(verify, fields)
-    told = spans.filter("kind = 1").unionByName(verdicts)
+    # A block's own spans have itself as src_m, so spans and questions go out by one exchange and are computed once.
+    told = b.groupBy("m").cogroup(spans.groupBy("src_m")).applyInArrow(verify, fields)
 
     def finish(left, right):
         block = Block(left, k)
