@@ -52,6 +52,16 @@ def exact_hits(train: DataFrame, evaluation: DataFrame, n: int = 13, ignore: tup
     )
 
 
+def _least_digest(base, raw: list[bytes]) -> bytes:
+    """Smallest digest of a list; a copy of a salted hash is half the work of a new one."""
+    out = []
+    for gram in raw:
+        h = base.copy()
+        h.update(gram)
+        out.append(h.digest())
+    return min(out)
+
+
 def band_keys(grams: Column, permutations: int, bands: int) -> Column:
     """One string for each band of a MinHash signature; hash p of a gram is BLAKE2b-64 salted with p as two bytes."""
     rows = permutations // bands
@@ -59,12 +69,14 @@ def band_keys(grams: Column, permutations: int, bands: int) -> Column:
 
     @F.pandas_udf(S.ArrayType(S.StringType()))
     def keys(batch: pd.Series) -> pd.Series:
+        salted = [hashlib.blake2b(digest_size=8, salt=s) for s in salts]
+
         def one(group):
             # Spark may hash before it filters, so a set without shingles has no keys here.
             raw = [] if group is None else [g.encode() for g in group]
             if not raw:
                 return []
-            least = [min(hashlib.blake2b(g, digest_size=8, salt=s).digest() for g in raw) for s in salts]
+            least = [_least_digest(base, raw) for base in salted]
             return [f"{b}:" + b"".join(least[b * rows : (b + 1) * rows]).hex() for b in range(bands)]
 
         return batch.map(one)
