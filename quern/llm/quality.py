@@ -23,6 +23,9 @@ SAMPLE_ROWS = 6000
 FLAGGED_WORDS, FLAGGED_DOCS = 64, 6
 TREES, DEPTH, RATE, BINS, MIN_LEAF, L2 = 80, 3, 0.2, 48, 12, 1.0
 
+#: Bytes of text that statistics are computed for at once; a worker needs about a hundred times as much.
+SLICE = 1 << 20
+
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _UPPER = np.zeros(256, bool)
@@ -261,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", SLICE):
                 _, x = statistics(part.column("text").combine_chunks(), flagged)
                 yield pa.RecordBatch.from_arrays([part.column("bad").combine_chunks(), *(pa.array(x[:, j]) for j in range(len(names)))], names=["bad", *names])
 
@@ -282,7 +285,7 @@ def judge(docs: DataFrame, forest: Forest, keep_columns: tuple[str, ...] = ("doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, "__text"):
+            for part in T.slices(batch, "__text", SLICE):
                 base, x = statistics(part.column("__text").combine_chunks(), forest.flagged)
                 failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
                 score = forest.score(x)
