@@ -29,3 +29,19 @@ def test_stages_on_the_test_tables(spark, data):
             texts = [r["text"] for r in docs.collect()]
             assert not any(b in t for b in bench for t in texts)
     assert docs.count() >= before
+
+
+def test_stages_by_brute_force(spark, data):
+    """Near duplicates and repeated passages of the test tables, against plain Python on what the stage before kept."""
+    import test_debruijn
+    import test_sigtree
+
+    from quern.llm.blocks import stash
+
+    docs = stash(corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{data}/documents.parquet"), data), "t")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    one = stash(corpus_pipeline.near_duplicates(spark, docs, data), "t")
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted({c for _, _, c in test_sigtree.brute(rows, 5, 80, 100)})
+    rows = sorted((r["doc_id"], r["text"]) for r in one.collect())
+    cut = corpus_pipeline.repeated_passages(spark, one, data).collect()
+    assert sorted((str(r["doc_id"]), " ".join(words(r["text"]))) for r in cut) == [(i, t) for i, t, _, _ in test_debruijn.brute(rows, 20)]
