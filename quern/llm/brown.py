@@ -230,7 +230,15 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
             for c, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c, "<i8")), pa.array(np.frombuffer(h, "<u8").view(np.int64))], names=["count", "hash"])
 
-    best = sums.select("count", "hash").mapInArrow(unfold, "count long, hash long").filter("count > 1").orderBy(F.desc("count"), "hash").limit(TOP).collect()
+    # Counts by power of two say below which count no word can be among the TOP, so the sort gets few rows from each bucket.
+    words = sums.select("count", "hash").mapInArrow(unfold, "count long, hash long").filter("count > 1").withColumn("band", F.floor(F.log2("count")))
+    bands = {r["band"]: r["n"] for r in words.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, have = 0, 0
+    for band in sorted(bands, reverse=True):
+        least, have = band, have + bands[band]
+        if have >= TOP:
+            break
+    best = words.filter(F.col("band") >= least).orderBy(F.desc("count"), "hash").limit(TOP).collect()
     top = np.array([r["hash"] for r in best], np.int64).view(_U)
     top_counts = np.array([r["count"] for r in best], np.int64)
     told = answers.filter("kind = 0").select("m", "h", "n", "count")
