@@ -1,19 +1,25 @@
 """Language-model scoring with a Brown class bigram model.
 
-P(w | previous) = P(class(w) | class(previous)) * P(w | class(w)). The TOP most frequent words get their classes by exchange
-clustering: starting from one class for each frequency band, every word in turn moves to the class
-with the greatest likelihood of the class bigrams. Rarer words, whose neighbours say too little, have
+P(w | previous) = P(class(w) | class(previous)) * P(w | class(w)). All words seen MIN_COUNT times and more take part in exchange
+clustering, in order of frequency. The TOP most frequent come first, on the driver: starting from one class for each
+frequency band, every word in turn moves to the class with the greatest likelihood of the class bigrams.
+Then, in ROUNDS rounds, the executors count for each word how often each class stands before and after it, and each word
+moves to its best class, the TOP words too. Rarer words, whose neighbours say too little, have
 one class for each power of two of their count; the end of a text and the unseen words have classes of
 their own. All counts cover every training text: word counts, and the bigram counts of words and rare-word classes.
 
+Within a round the words of a bucket move one after another, those of different buckets at the same time; a
+round after which the class bigrams are less likely than before is taken back and is the last.
+
 Smoothing is by leaving one out: in class bigrams a training token counts as a word seen once less, so
 words seen once show where unseen words stand. Within a class a word has its share of the class's
 tokens; an unseen word has one share in as many words as were seen. A class bigram is backed off to
 the class unigram.
 
 Word counts are asked for once per block of documents and distinct word (see blocks.py), so no
-vocabulary is held in one place. What reaches the driver is bounded: the TOP words and the
-bigram counts between at most TOP+RARE+2 symbols.
+vocabulary of all words is held in one place. What reaches the driver is the words seen MIN_COUNT times and more
+(16 bytes each; they grow with the vocabulary, more slowly than the text), the bigram counts between at most TOP+RARE+2 symbols,
+and those between classes. Class-neighbour counts are sparse, at most two for each word and class, and stay in the shared folder.
 """
 
 from __future__ import annotations
@@ -28,8 +34,12 @@ from pyspark.sql import functions as F
 from quern.llm import numtext as T
 from quern.llm.blocks import blocked, bucket_bounds, ordered, runs, stash
 
-#: Words with a class by exchange, classes for them, passes over them, and classes of rarer words.
+#: Words whose exchange begins on the driver, classes of all words by exchange, passes over the first, and classes of rarer words.
 TOP, CLASSES, PASSES, RARE = 1000, 48, 6, 40
+#: Words seen so often take part in exchange, and so many rounds go over all of them.
+MIN_COUNT, ROUNDS = 16, 3
+#: Tokens whose class neighbours are counted at once.
+COUNT_TOKENS = 1 << 20
 #: Added to word counts in the base score; weight of the class unigrams in class bigrams.
 WORD_DELTA, BIGRAM_WEIGHT = 0.1, 8.0
 _U = np.uint64
@@ -69,7 +79,7 @@ def _ask(m: int, tokens: Tokens, buckets: int) -> pa.Table:
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """kind 0: training counts of the words a block asked for. kind 1: distinct words and tokens of this bucket, and its TOP most frequent words."""
+    """kind 0: training counts of the words a block asked for. kind 1: distinct words and tokens of this bucket, and its words for exchange: all seen MIN_COUNT times, and its TOP most frequent."""
     h, m, n, hashes, counts = (table.column(c).to_pylist() for c in ("h", "m", "n", "hash", "count"))
     value = np.concatenate([T.unpack_sorted(x, k) for x, k in zip(hashes, n, strict=True)])
     count = np.concatenate([T.unpack(x, k) for x, k in zip(counts, n, strict=True)]).astype(np.int64)
@@ -82,7 +92,7 @@ def _answer(table: pa.Table) -> pa.Table:
     per = total[back]
     at = np.concatenate([[0], np.cumsum(n)])
     out = [(0, m[i], h[i], n[i], 0, T.pack(per[at[i] : at[i + 1]]), b"") for i in range(len(n))]
-    best = np.lexsort((word, -total))[:TOP]
+    best = np.lexsort((word, -total))[: max(TOP, int((total >= MIN_COUNT).sum()))]
     out.append((1, -1, h[0], int((total > 0).sum()), int(total.sum()), total[best].astype("<i8").tobytes(), word[best].astype("<u8").tobytes()))
     return _table(_ANSWER, out)
 
@@ -96,7 +106,7 @@ def _counts(answers: pa.Table, size: int) -> np.ndarray:
 
 
 class Symbols:
-    """Small numbers for words: 0 the unseen word, 1 the end, then rare words by power of two of their count, then the top words."""
+    """Small numbers for words: 0 the unseen word, 1 the end, then rare words by power of two of their count, then the words for exchange by frequency."""
 
     def __init__(self, top: np.ndarray):
         self.order = np.argsort(top)
@@ -104,13 +114,23 @@ class Symbols:
         self.size = 2 + RARE + len(top)
 
     def of(self, keys: np.ndarray, count: np.ndarray) -> np.ndarray:
-        out = np.where(count > 0, 2 + np.minimum(RARE - 1, np.log2(np.maximum(count, 1)).astype(np.int64)), 0)
+        out = _band(count)
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, keys), len(self.sorted) - 1)
             out = np.where(self.sorted[at] == keys, 2 + RARE + self.order[at], out)
         return np.where(keys == _U(END_HASH), 1, out)
 
 
+def _band(count: np.ndarray) -> np.ndarray:
+    """Symbols of rare words by their counts; 0 for the unseen word."""
+    return np.where(count > 0, 2 + np.minimum(RARE - 1, np.log2(np.maximum(count, 1)).astype(np.int64)), 0)
+
+
+def _coarse(symbol: np.ndarray, count: np.ndarray, top: int) -> np.ndarray:
+    """Symbols as they are while only the first words have classes: all others have the symbol of their count."""
+    return np.where(symbol < 2 + RARE + top, symbol, _band(count))
+
+
 def _encode(tokens: Tokens, answers: pa.Table, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbol of each token, its symbol with one token less, and its training count."""
     keys, back = np.unique(tokens.hash, return_inverse=True)
@@ -133,46 +153,194 @@ def exchange(bigrams: np.ndarray, start: np.ndarray, movable: np.ndarray, classe
     The likelihood of a class bigram model is sum f(N(c,d)) - sum f(N(c)) - sum f(N(d)) with f(x) = x log x; a
     word's best class is found from the rows and columns that its move would change.
     """
-    f = lambda x: x * np.log(np.maximum(x, 1e-300))
     cls = start.copy()
     total = int(cls.max()) + 1
     hot = np.zeros((len(cls), total))
     hot[np.arange(len(cls)), cls] = 1
     table = hot.T @ bigrams @ hot
-    target = np.arange(classes)
     for _ in range(passes):
         moved = 0
         for w in np.flatnonzero(movable):
-            a = cls[w]
+            a = int(cls[w])
             right = np.bincount(cls, weights=bigrams[w], minlength=total)
             left = np.bincount(cls, weights=bigrams[:, w], minlength=total)
-            own = bigrams[w, w]
-            right[a] -= own
-            left[a] -= own
-            table[a, :] -= right
-            table[:, a] -= left
-            table[a, a] -= own
-            rows, cols = table[target], table[:, target].T
-            new_rows, new_cols = rows + right, cols + left
-            gain = (f(new_rows) - f(rows)).sum(axis=1) + (f(new_cols) - f(cols)).sum(axis=1)
-            d = table[target, target]
-            gain += f(d + right[target] + left[target] + own) - f(d) - (f(d + right[target]) - f(d)) - (f(d + left[target]) - f(d))
-            out, inn = rows.sum(axis=1), cols.sum(axis=1)
-            r, s = right.sum() + own, left.sum() + own
-            gain -= f(out + left[target] + r) - f(out + left[target]) + f(inn + right[target] + s) - f(inn + right[target])
-            b = int(target[np.argmax(gain)])
-            if gain[b] <= gain[a] + 1e-9:
-                b = int(a)
-            cls[w] = b
-            table[b, :] += right
-            table[:, b] += left
-            table[b, b] += own
-            moved += b != a
+            cls[w] = _move(table, classes, a, right, left, bigrams[w, w])
+            moved += cls[w] != a
         if not moved:
             break
     return cls
 
 
+def _f(x):
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def _move(table: np.ndarray, classes: int, a: int, right: np.ndarray, left: np.ndarray, own: float) -> int:
+    """The best class for a word of class a, among 0..classes-1 and a; the table of class bigrams is changed to it.
+
+    right and left: how often each class stands after and before the word, itself included; own: how often it follows itself.
+    """
+    f = _f
+    target = np.arange(classes) if a < classes else np.append(np.arange(classes), a)
+    right[a] -= own
+    left[a] -= own
+    table[a, :] -= right
+    table[:, a] -= left
+    table[a, a] -= own
+    rows, cols = table[target], table[:, target].T
+    # Only classes beside the word change a sum.
+    r, s = np.flatnonzero(right), np.flatnonzero(left)
+    gain = (f(rows[:, r] + right[r]) - f(rows[:, r])).sum(axis=1) + (f(cols[:, s] + left[s]) - f(cols[:, s])).sum(axis=1)
+    d = table[target, target]
+    gain += f(d + right[target] + left[target] + own) - f(d) - (f(d + right[target]) - f(d)) - (f(d + left[target]) - f(d))
+    out, inn = rows.sum(axis=1), cols.sum(axis=1)
+    r, s = right.sum() + own, left.sum() + own
+    gain -= f(out + left[target] + r) - f(out + left[target]) + f(inn + right[target] + s) - f(inn + right[target])
+    k = int(np.argmax(gain))
+    stay = a if a < classes else classes
+    if gain[k] <= gain[stay] + 1e-9:
+        k = stay
+    b = int(target[k])
+    table[b, :] += right
+    table[:, b] += left
+    table[b, b] += own
+    return b
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Log-likelihood of class bigrams, but for what no class changes."""
+    return float(_f(table).sum() - _f(table.sum(axis=0)).sum() - _f(table.sum(axis=1)).sum())
+
+
+def _coded_bigrams(batch: pa.RecordBatch):
+    """(previous, next) symbols of training texts with one left out, some COUNT_TOKENS at a time."""
+    held, size = batch.column("held_out").to_pylist(), batch.column("n").to_pylist()
+    a, b = batch.column("a"), batch.column("b")
+    todo, have = [], 0
+    for d in [*range(len(size)), None]:
+        if d is not None and not held[d]:
+            todo.append(d)
+            have += size[d]
+        if todo and (d is None or have >= COUNT_TOKENS):
+            symbol = np.concatenate([T.unpack(a[i].as_py(), size[i]) for i in todo]).astype(np.int64)
+            count = np.concatenate([T.unpack(b[i].as_py(), size[i]) for i in todo]).astype(np.int64)
+            less = np.where((symbol == 1) | (symbol >= 2 + RARE), symbol, _band(count - 1))
+            before = np.empty(len(less), np.int64)
+            before[1:] = less[:-1]
+            before[np.concatenate([[0], np.cumsum([size[i] for i in todo])[:-1]])] = 1
+            yield before, less
+            todo, have = [], 0
+
+
+def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, back = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(back, weights=counts, minlength=len(keys)).astype(np.int64)
+
+
+def _pair_rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["pair", "count"])
+
+
+def refine(coded: DataFrame, cls: np.ndarray, classes: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all symbols after ROUNDS rounds of exchange over the coded texts, and the table of class bigrams.
+
+    The key of a class neighbour is (symbol*k + class)*3 + side: 0 the class after the symbol, 1 before it, 2 the symbol after itself.
+    """
+    k, movable = int(cls.max()) + 1, 2 + RARE
+    texts = coded.filter("kind = 0").select("held_out", "n", "a", "b")
+
+    def square(sums: DataFrame) -> np.ndarray:
+        rows = sums.groupBy("pair").agg(F.sum("count").alias("count")).collect()
+        table = np.zeros(k * k)
+        table[[r["pair"] for r in rows]] = [r["count"] for r in rows]
+        return table.reshape(k, k)
+
+    def class_table(cls: np.ndarray) -> np.ndarray:
+        def count(batches):
+            for batch in batches:
+                for before, less in _coded_bigrams(batch):
+                    got = np.bincount(cls[before] * k + cls[less], minlength=k * k)
+                    yield _pair_rows(np.flatnonzero(got), got[got > 0])
+
+        return square(texts.mapInArrow(count, "pair long, count long"))
+
+    def neighbours(cls: np.ndarray, name: str) -> DataFrame:
+        def count(batches):
+            for batch in batches:
+                for before, less in _coded_bigrams(batch):
+                    two, times = np.unique(before * len(cls) + less, return_counts=True)
+                    p, q = two // len(cls), two % len(cls)
+                    same = p == q
+                    keys, times = _sum_by(np.concatenate([(p * k + cls[q]) * 3, (q * k + cls[p]) * 3 + 1, (p[same] * k + cls[p[same]]) * 3 + 2]), np.concatenate([times, times, times[same]]))
+                    h = keys // (3 * k) % buckets
+                    order = np.argsort(h, kind="stable")
+                    at = np.searchsorted(h[order], np.arange(buckets + 1))
+                    keys, times = keys[order], times[order]
+                    rows = [(i, int(at[i + 1] - at[i]), T.pack_sorted(keys[at[i] : at[i + 1]].astype(_U)), T.pack(times[at[i] : at[i + 1]])) for i in range(buckets) if at[i + 1] > at[i]]
+                    yield from _table(_NEAR, rows).to_batches()
+
+        def add(part: pa.Table) -> pa.Table:
+            n, a, b = (part.column(c).to_pylist() for c in ("n", "keys", "times"))
+            keys, times = _sum_by(np.concatenate([T.unpack_sorted(x, m) for x, m in zip(a, n, strict=True)]), np.concatenate([T.unpack(x, m) for x, m in zip(b, n, strict=True)]))
+            return _table(_NEAR, [(part.column("h")[0].as_py(), len(keys), T.pack_sorted(keys), T.pack(times))])
+
+        return stash(texts.mapInArrow(count, _NEAR_SQL).groupBy("h").applyInArrow(add, _NEAR_SQL), name)
+
+    def unfold(batch: pa.RecordBatch):
+        for n, a, b in zip(*(batch.column(c).to_pylist() for c in ("n", "keys", "times")), strict=True):
+            keys = T.unpack_sorted(a, n).astype(np.int64)
+            yield keys // (3 * k), keys // 3 % k, keys % 3, T.unpack(b, n).astype(np.int64)
+
+    def near_table(near: DataFrame, cls: np.ndarray) -> np.ndarray:
+        def count(batches):
+            for batch in batches:
+                for w, c, side, times in unfold(batch):
+                    r = side == 0
+                    yield _pair_rows(*_sum_by(cls[w[r]] * k + c[r], times[r]))
+
+        return square(near.mapInArrow(count, "pair long, count long"))
+
+    def moves(near: DataFrame, cls: np.ndarray, table: np.ndarray) -> np.ndarray:
+        def move(batches):
+            for batch in batches:
+                for w, c, side, times in unfold(batch):
+                    own_table, out = table.copy(), []
+                    first, _ = runs(w)
+                    for x, y in zip(first, [*first[1:], len(w)], strict=True):
+                        a = int(cls[w[x]])
+                        if w[x] < movable:
+                            continue
+                        right, left, own = np.zeros(k), np.zeros(k), 0
+                        s, cc, tt = side[x:y], c[x:y], times[x:y]
+                        right[cc[s == 0]], left[cc[s == 1]], own = tt[s == 0], tt[s == 1], int(tt[s == 2].sum())
+                        b = _move(own_table, classes, a, right, left, own)
+                        if a != b:
+                            out.append((int(w[x]), b))
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int32())], names=["word", "cls"])
+
+        got = near.repartition(buckets, "h").mapInArrow(move, "word long, cls int").toArrow()
+        new = cls.copy()
+        new[got.column("word").to_numpy()] = got.column("cls").to_numpy()
+        return new
+
+    kept, kept_table = cls, None
+    for i in range(ROUNDS):
+        near = neighbours(cls, f"near{i}")
+        table = near_table(near, cls)
+        if kept_table is not None and likelihood(table) < likelihood(kept_table):
+            return kept, kept_table
+        kept, kept_table = cls, table
+        cls = moves(near, cls, table)
+        if (cls == kept).all():
+            return kept, kept_table
+    table = class_table(cls)
+    return (cls, table) if kept_table is None or likelihood(table) >= likelihood(kept_table) else (kept, kept_table)
+
+
+_NEAR = [("h", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("times", pa.binary())]
+_NEAR_SQL = "h int, n int, keys binary, times binary"
+
+
 class Model:
     """Classes, their bigram table in log10, and what is needed for emissions."""
 
@@ -190,15 +358,25 @@ class Model:
         k = int(start.max()) + 1
         hot = np.zeros((size, k))
         hot[np.arange(size), self.cls] = 1
-        table = hot.T @ big @ hot
-        mass = np.bincount(self.cls, weights=alone, minlength=k)
+        self.classes, self.alone = classes, alone
+        self.fit(self.cls, hot.T @ big @ hot, np.bincount(self.cls, weights=alone, minlength=k))
+
+    def extend(self, word_counts: np.ndarray) -> np.ndarray:
+        """Classes of all symbols when further words, with so many tokens, leave the symbols of their counts but not yet their classes."""
+        band = _band(word_counts)
+        self.alone = np.concatenate([self.alone - np.bincount(band, weights=word_counts, minlength=len(self.alone)), word_counts])
+        return np.concatenate([self.cls, self.cls[band]])
+
+    def fit(self, cls: np.ndarray, table: np.ndarray, mass: np.ndarray) -> None:
+        """The probabilities of these classes: bigram counts with one left out, and tokens of each class."""
+        self.cls = cls
         # With one left out a class may be empty though its words were seen, so the unigrams are the mean of both counts.
         prior = (table.sum(axis=0) + mass) / 2
         prior[self.cls[0]] += WORD_DELTA
         prior /= prior.sum()
         self.log = np.log10((table + BIGRAM_WEIGHT * prior[None, :]) / (table.sum(axis=1, keepdims=True) + BIGRAM_WEIGHT) + 1e-30)
         self.mass_log = np.log10(np.maximum(mass, 1))
-        self.unseen = -math.log10(max(1, v))
+        self.unseen = -math.log10(max(1, self.v))
 
     def score(self, first: np.ndarray, symbol: np.ndarray, count: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""
@@ -230,7 +408,7 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
             for c, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c, "<i8")), pa.array(np.frombuffer(h, "<u8").view(np.int64))], names=["count", "hash"])
 
-    # Counts by power of two say below which count no word can be among the TOP, so the sort gets few rows from each bucket.
+    # Counts by power of two say below which count no word can be among the TOP, so few rows of each bucket come to the driver besides the words seen MIN_COUNT times.
     words = sums.select("count", "hash").mapInArrow(unfold, "count long, hash long").filter("count > 1").withColumn("band", F.floor(F.log2("count")))
     bands = {r["band"]: r["n"] for r in words.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
     least, have = 0, 0
@@ -238,12 +416,15 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
         least, have = band, have + bands[band]
         if have >= TOP:
             break
-    best = words.filter(F.col("band") >= least).orderBy(F.desc("count"), "hash").limit(TOP).collect()
-    top = np.array([r["hash"] for r in best], np.int64).view(_U)
-    top_counts = np.array([r["count"] for r in best], np.int64)
+    best = words.filter((F.col("band") >= least) | (F.col("count") >= MIN_COUNT)).select("count", "hash").toArrow()
+    best_counts, best_words = best.column("count").to_numpy(), best.column("hash").to_numpy()
+    order = np.lexsort((best_words, -best_counts))
+    order = order[: max(TOP, int((best_counts >= MIN_COUNT).sum()))]
+    vocabulary, vocabulary_counts = best_words[order].astype(np.int64).view(_U), best_counts[order].astype(np.int64)
+    top, top_counts = vocabulary[:TOP], vocabulary_counts[:TOP]
     told = answers.filter("kind = 0").select("m", "h", "n", "count")
-    symbols = Symbols(top)
-    size = symbols.size
+    symbols = Symbols(vocabulary)
+    size = 2 + RARE + len(top)
 
     def encode(key, left, right):
         """kind 0: a block with its texts as symbols and counts. kind 1: its bigram counts."""
@@ -251,8 +432,8 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
         if not len(t.hash):
             return _table(_CODED, [])
         symbol, less, count = _encode(t, right, symbols)
-        pairs, times = _pairs(t, symbol, less, size)
-        # The counts of top words are known to the model; rarer ones travel with the text.
+        pairs, times = _pairs(t, _coarse(symbol, count, len(top)), _coarse(less, count - 1, len(top)), size)
+        # The counts of words for exchange are known to the model; rarer ones travel with the text.
         ids = t.table.column("doc_id").to_pylist()
         base = np.log10((count + WORD_DELTA) / (n + WORD_DELTA * (v + 1)))
         out = []
@@ -277,6 +458,10 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     pairs = coded.filter("kind = 1").select("a", "b").mapInArrow(unfold_pairs, "pair long, count long").groupBy("pair").agg(F.sum("count").alias("count")).toPandas()
     pairs = pairs.sort_values("pair")
     model = Model(pairs["pair"].to_numpy(np.int64), pairs["count"].to_numpy(float), top, top_counts, n, v)
+    if len(vocabulary) > len(top):
+        cls, table = refine(coded, model.extend(vocabulary_counts[TOP:]), model.classes, blocks)
+        model.fit(cls, table, np.bincount(cls, weights=model.alone, minlength=len(table)))
+    del model.alone
 
     def score(batches):
         for batch in batches:
@@ -287,8 +472,8 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
             first = np.concatenate([[0], np.cumsum(size)])
             symbol = np.concatenate([T.unpack(x, k) for x, k in zip(a, size, strict=True)]).astype(np.int64)
             count = np.concatenate([T.unpack(x, k) for x, k in zip(c, size, strict=True)]).astype(np.int64)
-            is_top = symbol >= 2 + RARE
-            count[is_top] = top_counts[symbol[is_top] - 2 - RARE]
+            known = symbol >= 2 + RARE
+            count[known] = vocabulary_counts[symbol[known] - 2 - RARE]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("n"), batch.column("known"), batch.column("base"), pa.array(model.score(first, symbol, count))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     scored = coded.filter("kind = 0").select("doc_id", "held_out", "n", "known", "base", "a", "b").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
