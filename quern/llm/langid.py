@@ -141,7 +141,10 @@ class Parser:
 
 
 def sample_texts(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """For each language, whole normalised texts of few documents, up to so many bytes.
+    """For each language, normalised texts of few documents, up to so many bytes: of each document a slice of a quarter of that at most.
+
+    The slice is the first sample_bytes // 4 characters, and of those whole characters in sample_bytes // 4 bytes; what fits into the bound of the last one
+    is taken too. So a language whose documents are all long has its sample as well.
 
     The documents with the smallest hashes of (doc_id, text) are looked at; hashes above a bound that leaves about twice as
     many as needed are passed over before the sort, so no task gets all rows of a frequent language.
@@ -154,18 +157,27 @@ def sample_texts(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_d
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * sample_docs / n)))])
     near = rows.withColumn("rank", rank).filter(F.col("rank").cast("double") / F.lit(2.0**63) < 2 * F.element_at(share, F.col("lang")) - 1)
     few = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id", "text"))).filter(F.col("k") <= sample_docs)
-    sized = few.select("lang", "k", F.octet_length("text").alias("size"), "doc_id", "text")
+    cut = F.substring("text", 1, sample_bytes // 4)
+    sized = few.select("lang", "k", cut.alias("text")).withColumn("size", F.least(F.octet_length("text"), F.lit(sample_bytes // 4)))
     w = Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    short = sized.filter(F.col("size") <= sample_bytes // 4).withColumn("upto", F.sum("size").over(w)).filter(F.col("upto") <= 2 * sample_bytes)
+    taken = sized.withColumn("upto", F.sum("size").over(w)).filter(F.col("upto") <= 2 * sample_bytes)
     out: dict[str, bytes] = {}
-    for r in short.orderBy("lang", "k").select("lang", "text").collect():
-        data, _ = normalise(pa.array([r["text"]]))
+    for r in taken.orderBy("lang", "k").select("lang", "text").collect():
+        data, _ = normalise(pa.array([_whole(r["text"], sample_bytes // 4)]))
         have = out.get(r["lang"], b"")
-        if len(have) + len(data) <= sample_bytes:
+        room = sample_bytes - len(have)
+        if len(data) > room:
+            data, _ = normalise(pa.array([_whole(data.tobytes().decode("utf-8", "ignore"), max(0, room))]))
+        if len(data):
             out[r["lang"]] = have + b" " + data.tobytes()
     return {k: v for k, v in out.items() if v.strip()}
 
 
+def _whole(text: str, size: int) -> str:
+    """The whole characters in the first bytes of a text."""
+    return text.encode("utf-8", "replace")[:size].decode("utf-8", "ignore")
+
+
 _parsers: dict[int, Parser] = {}
 
 
