@@ -269,7 +269,7 @@ def wilson_95(spark, d):
 
 
 def bootstrap_95(spark, d):
-    lower, upper, met = judge.bootstrap_interval(judgments(spark, d), samples=1000)
+    lower, upper, met = judge.bootstrap_interval(judgments(spark, d))
     return spark.createDataFrame([(lower, upper, met)], "lower double, upper double, criterion_met boolean")
 
 
