@@ -4,8 +4,10 @@ For each language a suffix automaton holds all substrings of a bounded sample of
 A text is parsed into phrases, each the longest match that the automaton knows; the
 language whose automaton needs the fewest phrases for a letter explains the text best.
 
-The automata become dense tables (state x byte class -> state), and all blocks of a
-batch of texts step through them together in numpy.
+The automata become dense tables (state x byte class -> state). A batch of texts steps through them
+in runs, all runs together in numpy, each from the empty state; then each run is parsed again from the
+state in which the run before it ends, until both parses begin a phrase at the same byte. From there on they
+are one, so the counts are those of the whole text.
 """
 
 from __future__ import annotations
@@ -21,7 +23,11 @@ from quern.llm import numtext as T
 
 #: Bytes of normalised text that a language's automaton is built from, and documents looked at for them.
 SAMPLE_BYTES, SAMPLE_DOCS = 40_000, 400
-#: A text is parsed in runs of so many bytes; a phrase ends where a run ends.
+#: Bytes of all tables in a Python worker; with many languages or bytes each has a smaller sample.
+TABLE_BYTES = 256 << 20
+#: Bytes of table for each byte of sample, about: two states of 64 classes.
+TABLE_ROW = 512
+#: Bytes of a text that step together with those of others.
 RUN = 192
 _MISS = np.int32(1 << 30)
 
@@ -43,8 +49,7 @@ def normalise(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 32) | (out[:-1] != 32)
     keep[off[:-1][off[:-1] < len(out)]] = True
-    upto = np.concatenate([[0], np.cumsum(keep)])
-    return out[keep], upto[off]
+    return out[keep], T.running(keep)[off].astype(np.int64)
 
 
 _CLASS_TEXT = np.full(256, 32, np.uint8)
@@ -95,23 +100,23 @@ def table(text: bytes, classes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Parser:
-    """Automata of all languages over one set of byte classes; class 0 is every byte that no sample has."""
+    """Automata of all languages, each over its own byte classes; class 0 is every byte that its sample lacks."""
 
     def __init__(self, samples: dict[str, bytes]):
         self.langs = sorted(samples)
-        seen = sorted(set(b"".join(samples.values())) | {32})
-        self.classes = np.zeros(256, np.int64)
-        self.classes[seen] = np.arange(1, len(seen) + 1)
-        self.n = len(seen) + 1
-        self.tables = [table(samples[k], self.classes, self.n) for k in self.langs]
+        self.tables = []
+        for k in self.langs:
+            seen = sorted(set(samples[k]) | {32})
+            classes = np.zeros(256, np.int32)
+            classes[seen] = np.arange(1, len(seen) + 1)
+            self.tables.append((classes, len(seen) + 1, table(samples[k], classes, len(seen) + 1)))
 
     def phrases(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) phrases, and the number of letters of each text (bytes that are not space, for other scripts a part of it)."""
         data, off = normalise(column)
         docs = len(off) - 1
         out = np.zeros((docs, len(self.langs)), np.int64)
-        upto = np.concatenate([[0], np.cumsum((data != 32) & ((data < 0x80) | (data >= 0xC0)))])
-        letters = upto[off[1:]] - upto[off[:-1]]
+        letters = T.per_text((data != 32) & ((data < 0x80) | (data >= 0xC0)), off)
         size = np.diff(off)
         runs = -(-size // RUN)
         if not runs.sum():
@@ -121,25 +126,81 @@ class Parser:
         begin = off[doc] + k * RUN
         length = np.minimum(size[doc] - k * RUN, RUN)
         order = np.argsort(-length, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        # The run before each run of the same text, and the one after it; -1 for none.
+        before = np.where(k > 0, np.append(0, place[:-1]), -1)[order]
+        after = np.full(len(doc), -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
         doc, begin, length = doc[order], begin[order], length[order]
-        symbols = self.classes[data].astype(np.int32)
         live = np.searchsorted(-length, -np.arange(1, RUN + 1), side="right")
-        count = [np.zeros(len(doc), np.int32) for _ in self.langs]
-        state = [np.zeros(len(doc), np.int32) for _ in self.langs]
-        for step in range(int(length[0])):
-            m = int(live[step])
-            s = symbols[begin[:m] + step]
-            for j, t in enumerate(self.tables):
-                at = state[j][:m]
-                got = t[at * np.int32(self.n) + s]
-                missed = got >> 30
-                count[j][:m] += missed
-                state[j][:m] = got & (_MISS - 1)
-        for j in range(len(self.langs)):
-            out[:, j] = np.bincount(doc, weights=count[j], minlength=docs).astype(np.int64) + (size > 0)
+        for j, (classes, n, t) in enumerate(self.tables):
+            count = _whole_parse(t, n, classes[data], begin, length, live, before, after)
+            out[:, j] = np.bincount(doc, weights=count, minlength=docs).astype(np.int64) + (size > 0)
         return out, letters
 
 
+def _whole_parse(t: np.ndarray, n: int, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray, live: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Phrases that end in each run (a run's bytes: symbols[begin:begin+length], longest runs first; live: how many have a byte at each step)."""
+    steps, wide = int(length[0]), np.int32(n)
+    state = np.zeros(len(begin), np.int32)
+    missed = np.zeros((steps, len(begin)), bool)
+    for step in range(steps):
+        m = int(live[step])
+        got = t[state[:m] * wide + symbols[begin[:m] + step]]
+        np.greater_equal(got, _MISS, out=missed[step, :m])
+        state[:m] = got & (_MISS - 1)
+    # One more phrase begins at each missed byte, and the parse from there on depends on nothing before.
+    count = missed.sum(axis=0, dtype=np.int64)
+    todo = np.flatnonzero(before >= 0)
+    now, own, other = state[before[todo]], np.zeros(len(todo), np.int64), np.zeros(len(todo), np.int64)
+    unlike = []
+    for step in range(steps):
+        ended = np.searchsorted(-length[todo], -step, side="left")
+        if ended < len(todo):
+            unlike.append((todo[ended:], now[ended:]))
+            count[todo[ended:]] = own[ended:]
+            todo, now, own, other = todo[:ended], now[:ended], own[:ended], other[:ended]
+        if not len(todo):
+            break
+        got = t[now * wide + symbols[begin[todo] + step]]
+        now, miss, seen = got & (_MISS - 1), got >= _MISS, missed[step, todo]
+        own += miss
+        other += seen
+        met = miss & seen
+        if met.any():
+            count[todo[met]] += own[met] - other[met]
+            todo, now, own, other = (x[~met] for x in (todo, now, own, other))
+    unlike.append((todo, now))
+    count[todo] = own
+    # Runs that never met the first parse: the runs after them were parsed from a state that wasn't so. One by one, until a parse meets.
+    ends = dict(zip(np.concatenate([x for x, _ in unlike]).tolist(), np.concatenate([x for _, x in unlike]).tolist(), strict=True))
+    if ends:
+        table = memoryview(t)
+        for run in sorted(ends, key=lambda r: int(begin[r])):
+            if run not in ends:
+                continue
+            now, at = ends[run], run
+            while now != state[at] and after[at] >= 0:
+                state[at] = now
+                at = int(after[at])
+                own = other = 0
+                for step in range(int(length[at])):
+                    got = table[now * n + int(symbols[begin[at] + step])]
+                    seen = bool(missed[step, at])
+                    own, other, now = own + (got >= _MISS), other + seen, got & (_MISS - 1)
+                    if got >= _MISS and seen:
+                        count[at] = int(missed[:, at].sum()) + own - other
+                        ends.pop(at, None)
+                        break
+                else:
+                    count[at] = own
+                    ends[at] = now
+                    continue
+                break
+    return count
+
+
 def sample_texts(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """For each language, normalised texts of few documents, up to so many bytes: of each document a slice of a quarter of that at most.
 
@@ -147,12 +208,14 @@ def sample_texts(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_d
     is taken too. So a language whose documents are all long has its sample as well.
 
     The documents with the smallest hashes of (doc_id, text) are looked at; hashes above a bound that leaves about twice as
-    many as needed are passed over before the sort, so no task gets all rows of a frequent language.
+    many as needed are passed over before the sort, so no task gets all rows of a frequent language. With very many languages the samples are
+    smaller, so that their tables stay within TABLE_BYTES.
     """
     rows = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
+    sample_bytes = max(4, min(sample_bytes, TABLE_BYTES // (len(counts) * TABLE_ROW)))
     rank = F.xxhash64("doc_id", "text")
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * sample_docs / n)))])
     near = rows.withColumn("rank", rank).filter(F.col("rank").cast("double") / F.lit(2.0**63) < 2 * F.element_at(share, F.col("lang")) - 1)
@@ -230,8 +293,7 @@ def _has_letter(text: pa.Array, letters: np.ndarray) -> np.ndarray:
     if not len(data):
         return out
     ascii_letters = ((data | 32) >= 97) & ((data | 32) <= 122)
-    upto = np.concatenate([[0], np.cumsum(ascii_letters)])
-    has = upto[off[1:]] > upto[off[:-1]]
+    has = T.per_text(ascii_letters, off) > 0
     for i in np.flatnonzero(out & ~has):
         out[i] = any(c.isalpha() for c in data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace"))
     return out

@@ -168,6 +168,19 @@ def grams(word_hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarra
     return (value, at) if len(at) == len(value) else (value[at], at)
 
 
+def running(values: np.ndarray) -> np.ndarray:
+    """0 and the running sums of a mask or of small counts, in four bytes each where that is enough."""
+    out = np.zeros(len(values) + 1, np.int32 if len(values) < 1 << 30 and values.dtype == bool else np.int64)
+    np.cumsum(values, out=out[1:])
+    return out
+
+
+def per_text(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The sum of a mask or of counts over each text."""
+    upto = running(values)
+    return (upto[off[1:]] - upto[off[:-1]]).astype(np.int64)
+
+
 def distinct_per_doc(values: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of each text, sorted by text and value."""
     if len(values) == 0:

@@ -1,3 +1,5 @@
+import random
+
 import pyarrow as pa
 
 from cases import frame
@@ -7,18 +9,15 @@ SAMPLES = {"aa": b" mano pelo vida casa roja mano vida pelo", "bb": b" thus then
 
 
 def phrases(text, sample):
-    """Greedy longest matches inside each run, as the parser counts them."""
-    data, off = langid.normalise(pa.array([text]))
-    raw, n = data.tobytes(), 0
-    for k in range(0, len(raw), langid.RUN):
-        run = raw[k : k + langid.RUN]
-        n, current = n, b""
-        for c in run:
-            if current + bytes([c]) in sample:
-                current += bytes([c])
-            else:
-                n += 1
-                current = bytes([c]) if bytes([c]) in sample else b""
+    """Greedy longest matches of the whole text."""
+    data, _ = langid.normalise(pa.array([text]))
+    raw, n, current = data.tobytes(), 0, b""
+    for c in raw:
+        if current + bytes([c]) in sample:
+            current += bytes([c])
+        else:
+            n += 1
+            current = bytes([c]) if bytes([c]) in sample else b""
     return n + (len(raw) > 0)
 
 
@@ -30,6 +29,21 @@ def test_phrases_by_brute_force():
         assert row.tolist() == [phrases(t or "", SAMPLES[k]) for k in parser.langs]
 
 
+def test_phrases_go_on_over_run_borders():
+    """Texts that are one long phrase, that never meet the parse of their runs, or are random, in runs of a few bytes."""
+    rnd = random.Random(5)
+    samples = {"aa": b" ab" + b"ab" * 300, "bb": b" aa b", "cc": bytes(rnd.choice(b"abc ") for _ in range(200))}
+    parser = langid.Parser(samples)
+    texts = ["ab" * 250, "a" * 501, "a" * 700 + "b" + "ab" * 90, "ba" * 400] + ["".join(rnd.choice("abc d") for _ in range(rnd.randrange(1, 900))) for _ in range(60)]
+    for run in (3, 7, 192):
+        before, langid.RUN = langid.RUN, run
+        try:
+            got, _ = parser.phrases(pa.array(texts))
+        finally:
+            langid.RUN = before
+        assert got.tolist() == [[phrases(t, samples[k]) for k in parser.langs] for t in texts]
+
+
 def test_edge_cases(spark):
     rows = [(1, "vida roja casa"), (2, None), (3, ""), (4, "12 -- !"), (5, "×÷"), (6, "中"), (None, "those them"), (1, "vida roja casa")]
     got = langid.identify(frame(spark, rows), SAMPLES).collect()
