@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 from quern.llm import numtext as T
 
 WINDOW = 4096
-#: Open windows of a task; beyond this the half with the least in them is cut up to fill others.
-MAX_OPEN = 512
+#: Open windows of a task, a bound on its memory (64 MB of ids); beyond it the half with the least in them is cut up to fill others. 10,000 documents leave about 300 open.
+MAX_OPEN = 4096
 #: Words that a Python worker keeps the ids of; beyond this it begins anew.
 CACHE_WORDS = 2_000_000
+#: Texts on which a tokenizer must give the ids of its words, one after another, to be used here.
+PROBES = ("ab  Cd,\nef.", "a, b. (c) d's e-f 12,5", "\tx\r\n\x0by\x0cz ", "\u0130, \u0130\u0130. \u00e9t\u00e9, e\u0301, \u03a3\u03a3.", "\u4e2d\u6587, \u0301. \u00a0,")
 
 
 class WordTokenizer:
-    """Ids of whole texts, from a tokenizer that never joins what white space parts.
+    """Ids of whole texts, from a tokenizer that never joins what white space parts; one that fails on PROBES is an error.
 
     Ids of each distinct word are found once and kept by the word's hash.
     """
@@ -35,11 +37,16 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.suffix = {s: self.tokenizer.encode(s, add_special_tokens=False).ids for s in (",", ".")}
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.clear()
+        for probe in PROBES:
+            ids, _ = self.encode(pa.array([probe]), 0)
+            if ids[:-1].tolist() != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+                raise ValueError(f"{path}: ids of a text are not those of its words")
 
     def clear(self) -> None:
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.begin, self.size, self.pool, self.used, self.n = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1 << 16, np.uint16), 0, 0
+        self.begin, self.size, self.pool, self.used, self.n = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1 << 16, self.kind), 0, 0
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -51,9 +58,9 @@ class WordTokenizer:
         if not len(keys):
             return
         size = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint16, int(size.sum()))
+        flat = np.fromiter((i for x in ids for i in x), self.kind, int(size.sum()))
         if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], flat, np.zeros(max(self.used, len(flat)), np.uint16)])
+            self.pool = np.concatenate([self.pool[: self.used], flat, np.zeros(max(self.used, len(flat)), self.kind)])
         self.pool[self.used : self.used + len(flat)] = flat
         self.begin = np.concatenate([self.begin, self.used + np.concatenate([[0], np.cumsum(size)[:-1]])])
         self.size = np.concatenate([self.size, size])
@@ -76,11 +83,14 @@ class WordTokenizer:
         return out
 
     def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        """Ids of new words; a letter run before one `,` or `.` is looked up without it."""
+        """Ids of new words; an ASCII letter before a last `,` or `.` parts the two in the tokenizer, so they are looked up alone.
+
+        Other letters may turn into a letter and a mark (NFC, lower case), and a mark joins what follows it; such words are looked up whole.
+        """
         bases, tails = [], []
         for w in words:
             tail = b""
-            if w[-1:] in b",." and len(w) > 1 and (w[-2:-1].isalpha() or (w[-2] >= 0x80 and w[:-1].decode("utf-8", "replace")[-1].isalpha())):
+            if w[-1:] in b",." and w[-2:-1].isalpha():
                 w, tail = w[:-1], w[-1:]
             bases.append(w.lower() if w.isascii() and b"<" not in w else w)
             tails.append(tail)

@@ -1,6 +1,8 @@
 import collections
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cases import documents, frame
@@ -64,3 +66,21 @@ def test_whole_texts_as_the_tokenizer_has_them():
 
 def test_empty_table(spark):
     assert packing.pack_documents(frame(spark, []), packing.default_tokenizer(), 2).count() == 0
+
+
+def test_ids_are_the_tokenizers_own_on_marks_and_capitals():
+    """Letters that lower-case to a letter and a mark, marks after white space, special tokens, and ends of words of all kinds."""
+    rnd = random.Random(1)
+    parts = [*"abzIİıßΣςé.,'-’ \n\t\x0b０9中ﬁǅ<|>", "é", "́,", "<|endoftext|>", "'s", "İ,", "TATİLİ,", "İKİNCİ.", "BELGESİ,", "é,", " ", " "]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 30))) for _ in range(4000)]
+    coder = packing.WordTokenizer(packing.default_tokenizer())
+    ids, begin = coder.encode(pa.array(texts), 2)
+    for i, text in enumerate(texts):
+        assert ids[begin[i] : begin[i + 1]].tolist() == [*coder.tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_a_tokenizer_that_joins_words_is_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="not those of its words"):
+        packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
