@@ -17,7 +17,9 @@ def rows(spark):
 def test_round_trip(spark, gz):
     path = new_dir(spark, "t")
     warc.write_archives(warc.plan_records(rows(spark)), path, gz)
-    found = warc.read_archives(spark, path).collect()
+    raw = warc.read_archives(spark, path)
+    assert {r["payload_bytes"] for r in raw.filter("record_type = 'revisit'").collect()} == {None}
+    found = warc.resolve_revisits(raw).collect()
     assert {r["kind"] for r in found} == {"record"} and len(found) == 10
     told = sorted((r["record_id"], r["record_type"], r["refers_to"] or "", r["payload_bytes"]) for r in found)
     revisit = "<urn:page:6>"
@@ -38,7 +40,7 @@ def archive(gz, n=6):
         raw = warc.record_bytes(i, f"http://{i}", payload, hashlib.sha1(payload).hexdigest(), None) + b"\r\n\r\n"
         if gz:
             z = zlib.compressobj(6, zlib.DEFLATED, 31)
-            raw = z.compress(raw) + z.flush() + b"\0"
+            raw = z.compress(raw) + z.flush()
         places.append(len(out))
         out += raw
     return out, places
@@ -83,3 +85,79 @@ def test_no_pages(spark):
     path = new_dir(spark, "none")
     warc.write_archives(warc.plan_records(rows(spark).limit(0)), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+def test_files_are_gzip_by_the_standard_and_bounded(spark):
+    import gzip
+    import random
+
+    path = new_dir(spark, "std")
+    rnd = random.Random(2)
+    pages = [(i, "u" * (1 << 20 if i == 3 else 5), rnd.randbytes(30_000).hex() + (" " * (17 << 20) if i == 39 else "")) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.plan_records(df).coalesce(1).sortWithinPartitions("page_id"), path, file_bytes=200_000, suffix=".warc.gz")
+    files = [bytes(r["content"]) for r in spark.read.format("binaryFile").load(path + "/*.warc.gz").collect()]
+    assert len(files) > 4 and all(len(f) < 300_000 for f in files)
+    assert sum(gzip.decompress(f).count(b"WARC/1.1\r\n") for f in files) == 40
+    got = warc.resolve_revisits(warc.read_archives(spark, path))
+    assert sorted((r["record_id"], r["payload_bytes"]) for r in got.collect()) == sorted((f"<urn:page:{i}>", len(h)) for i, _, h in pages)
+
+
+def foreign(i, digest, gap=b"\r\n"):
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody %d" % i
+    head = [b"WARC/1.0", b"WARC-Type: response", b"WARC-Record-ID: <urn:page:%d>" % i, b"WARC-Target-URI: http://x/" + gap + b" folded", digest(block), b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_foreign_archives():
+    """Digests in base32 or of algorithms that are not known, folded header lines, several records in a member."""
+    import base64
+    import hashlib
+
+    b32 = lambda b: b"WARC-Block-Digest: sha1:" + base64.b32encode(hashlib.sha1(b).digest())
+    wrong = lambda b: b"WARC-Block-Digest: sha1:" + base64.b32encode(hashlib.sha1(b + b"x").digest())
+    other = lambda b: b"WARC-Block-Digest: xxh3:abcdef"
+    data = foreign(0, b32) + foreign(1, wrong) + foreign(2, other)
+    found = list(warc.salvage(data))
+    assert ids(found) == ["<urn:page:0>", "<urn:page:2>"] and [k for k, *_ in found] == ["record", "gap", "record"]
+    assert found[0][3]["warc-target-uri"] == "http://x/ folded"
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    both = z.compress(foreign(0, b32) + foreign(1, other)) + z.flush()
+    found = list(warc.salvage(both + warc._member(b"") + b"\0\0" + both))
+    assert ids(found) == ["<urn:page:0>", "<urn:page:1>"] * 2 and {k for k, *_ in found} == {"record"}
+
+
+def test_a_revisit_of_nothing_has_no_size(spark):
+    path = new_dir(spark, "lone")
+    lone = spark.createDataFrame([(1, "u", bytearray(b"x"), "0" * 40, 77)], "page_id long, url string, payload binary, payload_digest string, refers_to long")
+    warc.write_archives(lone, path)
+    assert warc.resolve_revisits(warc.read_archives(spark, path)).first()["payload_bytes"] is None
+
+
+def test_time_grows_with_the_archive():
+    import random
+    import time
+
+    rnd = random.Random(1)
+    payload = rnd.randbytes(20_000)
+
+    def seconds(n):
+        data = b"".join(warc._member(warc.record_bytes(i, "u", payload, "", None) + b"\r\n\r\n") for i in range(n))
+        best = 1e9
+        for _ in range(2):
+            began = time.process_time()
+            assert sum(k == "record" for k, *_ in warc.salvage(data)) == n
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert seconds(1600) < 9 * seconds(400)
+
+
+def test_gap_log(spark, tmp_path):
+    data, at = archive(True)
+    (tmp_path / "a.warc.gz").write_bytes(data[: at[2]] + b"junk" * 9 + data[at[3] :])
+    found = warc.read_archives(spark, f"file://{tmp_path}/a.warc.gz")
+    log = new_dir(spark, "gaps")
+    warc.log_gaps(found, log)
+    warc.log_gaps(found.filter("false"), log)
+    assert [(r["offset"], r["length"]) for r in spark.read.parquet(log).collect()] == [(at[2], 36)]
