@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import numtext as T
+from quern.llm.blocks import stash
 
 #: Labelled documents that the trees and the flagged words are learned from, at most.
 SAMPLE_ROWS = 6000
@@ -23,7 +25,7 @@ SAMPLE_ROWS = 6000
 FLAGGED_WORDS, FLAGGED_DOCS = 64, 6
 TREES, DEPTH, RATE, BINS, MIN_LEAF, L2 = 80, 3, 0.2, 48, 12, 1.0
 
-#: Bytes of text that statistics are computed for at once; a worker needs about a hundred times as much.
+#: Bytes of text that statistics are computed for at once; a longer text is one slice by itself.
 SLICE = 1 << 20
 
 _SYMBOL = np.zeros(256, bool)
@@ -46,11 +48,6 @@ FEATURES = {
 }
 
 
-def _per_doc(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
-    upto = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-    return upto[off[1:]] - upto[off[:-1]]
-
-
 def _runs(data: np.ndarray, mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of each run of a mask inside one text."""
     if not len(data):
@@ -65,19 +62,10 @@ def _runs(data: np.ndarray, mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarr
     return starts, np.flatnonzero(mask & edge) + 1
 
 
-def statistics(column: pa.Array, flagged: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """(the base counts, the feature matrix) of whole texts; null is empty. flagged: sorted hashes of lower-case letter runs."""
-    w = T.words(column)
+def _dup_lines(w: T.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Lines with a word of each text, and those of them equal to an earlier one."""
     data, off, docs = w.data, w.offsets, len(w.first) - 1
-    n_words = w.counts
-    lead = (data & 0xC0) != 0x80
-    upto = np.concatenate([[0], np.cumsum(lead, dtype=np.int64)])
-    word_size = upto[w.ends] - upto[w.starts]
-    word_chars = _per_doc_sum(word_size, w.first)
-    n_symbols = _per_doc(_SYMBOL[data], off)
-
-    lf = np.flatnonzero(data == 10)
-    begin = np.sort(np.concatenate([off[:-1], lf + 1]))
+    begin = np.sort(np.concatenate([off[:-1], np.flatnonzero(data == 10) + 1]))
     line_doc = np.searchsorted(off[1:], begin, side="right") if len(begin) else begin
     # A text that ends with a line end has an empty last line, which would sit at the next text's start; it has no word either way.
     end = np.empty_like(begin)
@@ -89,46 +77,72 @@ def statistics(column: pa.Array, flagged: np.ndarray) -> tuple[dict[str, np.ndar
     begin, trimmed, line_doc = begin[inked], trimmed[inked], line_doc[inked]
     lines = np.bincount(line_doc, minlength=docs)
     _, kept_doc = T.distinct_per_doc(T.hash_spans(data, begin, trimmed), line_doc, docs)
-    n_dup = lines - np.bincount(kept_doc, minlength=docs)
+    return lines, lines - np.bincount(kept_doc, minlength=docs)
+
 
+def _repeats(w: T.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of each text, and words in 3-word windows found twice or more in it."""
+    docs = len(w.first) - 1
     hashes, doc = w.hashes(), w.doc()
     _, d = T.distinct_per_doc(hashes, doc, docs)
     distinct = np.bincount(d, minlength=docs)
+    n, n_repeat = len(hashes), np.zeros(docs, np.int64)
     value, at = T.grams(hashes, w.first, 3)
-    n_repeat = np.zeros(docs, np.int64)
-    if len(value):
-        gd = doc[at]
-        order = np.lexsort((value, gd))
-        v, g = value[order], gd[order]
-        same = (v[1:] == v[:-1]) & (g[1:] == g[:-1])
-        repeated = np.zeros(len(v), bool)
-        repeated[1:] |= same
-        repeated[:-1] |= same
-        cover = np.zeros(len(hashes) + 3, np.int32)
-        p = at[order[repeated]]
-        np.add.at(cover, p, 1)
-        np.add.at(cover, p + 3, -1)
-        n_repeat = _per_doc_sum((np.cumsum(cover)[: len(hashes)] > 0).astype(np.int64), w.first)
-
-    low = T._LOWER[data]
-    rs, re_ = _runs(low, _ALPHA[low], off)
-    hit = np.zeros(len(rs), bool)
-    if len(flagged) and len(rs):
-        h = T.hash_spans(low, rs, re_)
-        hit = flagged[np.minimum(np.searchsorted(flagged, h), len(flagged) - 1)] == h
-    n_flagged = np.bincount(np.searchsorted(off[1:], rs[hit], side="right"), minlength=docs)
-
-    chars = np.maximum(1, _per_doc(lead, off))
-    words = np.maximum(1, n_words)
-    alpha_words = np.concatenate([[0], np.cumsum(_ALPHA[data])])
-    bare = _per_doc_sum((alpha_words[w.ends] == alpha_words[w.starts]).astype(np.int64), w.first)
-    last = np.zeros(docs)
-    if len(w.ends):
-        last = _per_doc_sum(_END[data[w.ends - 1]].astype(np.int64), w.first)
+    del hashes
+    if not len(value):
+        return distinct, n_repeat
+    gd = doc[at]
+    del doc
+    order = np.argsort(value) if docs == 1 else np.lexsort((value, gd))
+    value, gd = value[order], gd[order]
+    same = (value[1:] == value[:-1]) & (gd[1:] == gd[:-1])
+    del value, gd
+    repeated = np.zeros(len(order), bool)
+    repeated[1:] |= same
+    repeated[:-1] |= same
+    cover = np.zeros(n + 3, np.int32)
+    p = at[order[repeated]]
+    np.add.at(cover, p, 1)
+    np.add.at(cover, p + 3, -1)
+    return distinct, T.per_text(np.cumsum(cover, dtype=np.int32)[:n] > 0, w.first)
+
+
+def _flagged(w: T.Words, flagged: np.ndarray) -> np.ndarray:
+    """Letter runs of each text that are among the flagged words."""
+    docs = len(w.first) - 1
+    if not len(flagged):
+        return np.zeros(docs, np.int64)
+    low = T._LOWER[w.data]
+    rs, re_ = _runs(low, _ALPHA[low], w.offsets)
+    if not len(rs):
+        return np.zeros(docs, np.int64)
+    h = T.hash_spans(low, rs, re_)
+    hit = flagged[np.minimum(np.searchsorted(flagged, h), len(flagged) - 1)] == h
+    return np.bincount(np.searchsorted(w.offsets[1:], rs[hit], side="right"), minlength=docs)
+
+
+def statistics(column: pa.Array, flagged: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(the base counts, the feature matrix) of whole texts; null is empty. flagged: sorted hashes of lower-case letter runs."""
+    w = T.words(column)
+    data, off, n_words = w.data, w.offsets, w.counts
+    n_repeat, distinct = (x for x in reversed(_repeats(w)))
+    lines, n_dup = _dup_lines(w)
+    n_flagged = _flagged(w, flagged)
+    lead = (data & 0xC0) != 0x80
+    upto = T.running(lead)
+    word_chars = T.per_text(upto[w.ends] - upto[w.starts], w.first)
+    all_chars = (upto[off[1:]] - upto[off[:-1]]).astype(np.int64)
+    del upto, lead
+    upto = T.running(_ALPHA[data])
+    bare = T.per_text(upto[w.ends] == upto[w.starts], w.first)
+    del upto
+    n_symbols = T.per_text(_SYMBOL[data], off)
+    chars, words = np.maximum(1, all_chars), np.maximum(1, n_words)
+    last = T.per_text(_END[data[w.ends - 1]], w.first) if len(w.ends) else np.zeros(len(n_words))
     x = np.stack(
         [
             np.log1p(n_words), word_chars / words, n_symbols / chars, n_dup / np.maximum(1, lines), n_repeat / words, distinct / words,
-            _per_doc(_UPPER[data], off) / chars, _per_doc(_DIGIT[data], off) / chars, _per_doc(data == 33, off) / chars, n_words / np.maximum(1, lines),
+            T.per_text(_UPPER[data], off) / chars, T.per_text(_DIGIT[data], off) / chars, T.per_text(data == 33, off) / chars, n_words / np.maximum(1, lines),
             bare / words, last / words, np.log1p(n_flagged).astype(float),
         ],
         axis=1,
@@ -136,11 +150,6 @@ def statistics(column: pa.Array, flagged: np.ndarray) -> tuple[dict[str, np.ndar
     return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup, "n_repeat_words": n_repeat}, x
 
 
-def _per_doc_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    upto = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    return upto[first[1:]] - upto[first[:-1]]
-
-
 @dataclass
 class Forest:
     """Trees as flat arrays: of each node its feature, threshold, children (of a leaf: itself) and value."""
@@ -226,11 +235,11 @@ def fit(x: np.ndarray, y: np.ndarray, flagged: np.ndarray) -> Forest:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest:
-    """Fit on at most about sample_rows labelled documents, chosen by hash of (doc_id, text).
+    """Fit on at most about sample_rows labelled documents, chosen by hash of doc_id.
 
-    A document is to be rejected if a label calls it toxic or of quality 0; null labels say nothing. Words that toxic
-    documents of the sample hold far more often than others are flagged. Without labels
-    the forest is empty and keeps all.
+    A document is to be rejected if a label calls it toxic or of quality 0; null labels say nothing. Of rows that share a
+    doc_id the text with the smallest hash is learned from, so the sample is bounded by ids. Words that toxic documents of the sample hold far
+    more often than others are flagged, A-Z in either case. Without labels the forest is empty and keeps all.
     """
     marks = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
@@ -242,8 +251,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     share = min(1.0, sample_rows / max(1, total))
     marks = marks.filter((F.xxhash64("doc_id").cast("double") / F.lit(2.0**63) + 1) / 2 <= share)
     none = np.zeros(0, np.uint64)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id")
-    words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z\x{80}-\x{10FFFF}]+"), F.lit(0)))).alias("word"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = stash(texts.join(F.broadcast(marks), "doc_id"), "labelled")
+    low = F.translate("text", ascii_uppercase, ascii_lowercase)
+    words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[a-z\x{80}-\x{10FFFF}]+"), F.lit(0)))).alias("word"))
     few = (
         words.groupBy("word")
         .agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
