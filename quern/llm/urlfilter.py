@@ -7,25 +7,31 @@ of its domain suffixes is active at its fetch time: valid_from <= fetched < vali
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Suffixes of a host that are looked up, from two labels on; a host name has at most 127 labels.
-MAX_LABELS = 127
+#: The host of a URL: an address of IP version 6 in its brackets, or all up to a port, path, query or fragment.
+HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)"
+#: Days for which the intervals of a domain meet its captures at once.
+BUCKET_DAYS = 32
+#: Hosts without parent domains: IP addresses.
+ADDRESS = r"^(\[.*\]|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$"
 
 
 def host(url: Column) -> Column:
     """Lower-case host of a URL without user, port and final dot; null if there is none."""
-    h = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    h = F.lower(F.regexp_extract(url, HOST, 1))
     h = F.regexp_replace(h, r"\.+$", "")
     return F.when(h != "", h)
 
 
 def suffixes(h: Column) -> Column:
-    """The host and its parent domains of two labels or more; a single label stands for itself."""
+    """The host and its parent domains of two labels or more; a single label and an IP address stand for themselves."""
     parts = F.split(h, r"\.")
     n = F.size(parts)
-    return F.when(
+    return F.when(h.rlike(ADDRESS), F.array(h)).when(
         h.isNotNull(),
         F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.array_join(F.slice(parts, i, n - i + 1), ".")),
     )
@@ -61,13 +67,21 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     domain and valid_from are those of the most specific active entry (longest domain). A null
     URL, one without a host, or a null fetch time is never blocked. Repeated capture ids share their matches by (id, host,
     time), each row being returned once. Captures of one hot host are reduced to distinct
-    (host, time) before the join, and go back to their rows by a join that can be split.
+    (host, time) before the join, and go back to their rows by a join that can be split. Intervals meet captures by domain and
+    stretch of BUCKET_DAYS days, so that a domain listed and unlisted many times doesn't multiply its captures.
     """
     rows = captures.select("capture_id", F.col("fetched").cast("timestamp").alias("fetched"), host(F.col("url")).alias("host"))
     asked = rows.filter("host IS NOT NULL AND fetched IS NOT NULL").select("host", "fetched").distinct()
     parts = asked.select("host", "fetched", F.explode(suffixes(F.col("host"))).alias("domain"))
-    valid = intervals(entries)
-    active = parts.join(valid, "domain").filter((F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
+    span = asked.agg(F.min("fetched").alias("lo"), F.max("fetched").alias("hi")).first()
+    if span["lo"] is None:
+        span = (datetime(1970, 1, 1), datetime(1970, 1, 1))
+    lo, hi = (F.lit(x).cast("timestamp") for x in span)
+    bucket = lambda at: F.floor(F.unix_seconds(at) / F.lit(BUCKET_DAYS * 86400))
+    within = intervals(entries).filter((F.col("valid_from") <= hi) & (F.col("valid_to").isNull() | (F.col("valid_to") > lo)))
+    last = F.least(F.coalesce("valid_to", hi), hi)
+    valid = within.withColumn("bucket", F.explode(F.sequence(bucket(F.greatest("valid_from", lo)), bucket(last))))
+    active = parts.withColumn("bucket", bucket(F.col("fetched"))).join(valid, ["domain", "bucket"]).filter((F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
     best = active.groupBy("host", "fetched").agg(
         F.max(F.struct(F.length("domain").alias("size"), "domain", "valid_from")).alias("best"), F.count(F.lit(1)).alias("n_entries")
     )
@@ -125,15 +139,15 @@ def op8_url_filters(spark, sf_dir: str) -> DataFrame:
     )
 
 
-OP8_SQL = r"""
+OP8_SQL = rf"""
 WITH c AS (
-  SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host,
+  SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '{HOST}', 1)), '\.+$', ''), '') AS host,
          DATE '2024-01-01' + (('0x' || substr(md5('fetch' || page_id), 1, 7))::BIGINT % 360)::INTEGER AS fetched
   FROM pages
 ), d AS (
   SELECT DISTINCT array_to_string(list_slice(p, i, len(p)), '.') AS domain
-  FROM (SELECT DISTINCT string_split(host, '.') AS p FROM c WHERE host IS NOT NULL) h, range(1, 129) r(i)
-  WHERE i <= greatest(1, len(p) - 1)
+  FROM (SELECT DISTINCT string_split(host, '.') AS p, regexp_matches(host, '{ADDRESS}') AS alone FROM c WHERE host IS NOT NULL) h, range(1, 129) r(i)
+  WHERE i <= CASE WHEN alone THEN 1 ELSE greatest(1, len(p) - 1) END
 ), l AS (SELECT domain FROM d WHERE substr(md5(domain), 1, 1) < '4'
 ), e AS (
   SELECT domain, DATE '2024-01-01' + (('0x' || substr(md5(k || domain), 1, 7))::BIGINT % 360)::INTEGER AS since, k <> 'b' AS listed
@@ -145,7 +159,7 @@ WITH c AS (
   SELECT * FROM (SELECT domain, since AS valid_from, listed, lead(since) OVER (PARTITION BY domain ORDER BY since) AS valid_to FROM ch) WHERE listed
 ), m AS (
   SELECT c.page_id, arg_max(iv.domain, length(iv.domain)) AS domain, arg_max(iv.valid_from, length(iv.domain)) AS valid_from, count(*) AS n
-  FROM c JOIN iv ON (c.host = iv.domain OR ends_with(c.host, '.' || iv.domain)) AND iv.valid_from <= c.fetched AND (iv.valid_to IS NULL OR c.fetched < iv.valid_to)
+  FROM c JOIN iv ON (c.host = iv.domain OR (ends_with(c.host, '.' || iv.domain) AND NOT regexp_matches(c.host, '{ADDRESS}'))) AND iv.valid_from <= c.fetched AND (iv.valid_to IS NULL OR c.fetched < iv.valid_to)
   GROUP BY 1
 )
 SELECT c.page_id, strftime(c.fetched, '%Y-%m-%d') AS fetched, c.host, m.domain IS NOT NULL AS blocked, m.domain,
