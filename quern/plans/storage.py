@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,22 +11,49 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset a local master gets a temporary folder, and any other is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder in spark.checkpoint.dir and read again, so that lost executors cost no more than reading."""
-    spark = df.sparkSession
+def _hadoop(spark, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def new_dir(spark, name: str) -> str:
+    """A fresh folder below the shared one, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    system, target = _hadoop(spark, path)
+    system.deleteOnExit(target)
+    return path
+
+
+def stash(df: DataFrame, name: str, drop: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write to the folder in spark.checkpoint.dir and read again, so that lost executors cost no more than reading.
+
+    drop: tables stashed before that nothing else needs once this one is written.
+    """
+    spark = df.sparkSession
+    path = new_dir(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    unstash(*drop)
+    return out
+
+
+def unstash(*tables: DataFrame) -> None:
+    """Delete the files of stashed tables; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_quern_path", None):
+            system, target = _hadoop(df.sparkSession, path)
+            system.delete(target, True)
 
 
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
@@ -41,9 +69,9 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
         .withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)),
         "ranked",
     )
-    before, base = 0, []
+    spark, before, base = df.sparkSession, 0, []
     for r in kept.groupBy("__part").count().orderBy("__part").collect():
-        base += [F.lit(r["__part"]), F.lit(before)]
+        base.append((r["__part"], before))
         before += r["count"]
-    offset = F.element_at(F.create_map(*base), F.col("__part")) if base else F.lit(0)
-    return kept.withColumn(name, (offset + F.col("__at") + 1).cast("long")).drop("__part", "__at")
+    offsets = spark.createDataFrame(base, "__part int, __before long")
+    return kept.join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + F.col("__at") + 1).cast("long")).drop("__part", "__at", "__before")
