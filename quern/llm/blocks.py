@@ -4,47 +4,29 @@ Corpus-wide questions ("how many documents hold this shingle?") go out once per
 distinct hash, as packed arrays in one row per (block, hash bucket). The answers come back in
 the order of the questions, so they need no keys: a block sorts its own hashes again. A key
 that a third of all rows hold is thereby asked once per block, never once per row.
+
+With b blocks there are up to b*b rows. Blocks grow with the square root of the input where that would make rows of
+less than ROW_BYTES of text, so the rows grow as the input does: at most one for each ROW_BYTES. A block is looked
+through once, whatever the number of buckets.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import numtext as T
+from quern.plans.storage import new_dir, shared_dir, stash, unstash
 
-#: Bytes of text in a block. A block is what one Python call holds.
+#: Bytes of text in a block, at least. A block is what one Python call holds.
 BLOCK_BYTES = 6 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again; later steps survive lost executors."""
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text for each row of an exchange, at least: 100 TB make blocks of 160 MB, 30 GB and less such of BLOCK_BYTES.
+ROW_BYTES = 256
+#: Partitions that blocks are dealt out to, at most; a partition may hold many blocks, which are looked at one by one.
+PARTITIONS = 20_000
 
 
 def text_stats(docs: DataFrame) -> tuple[int, int]:
@@ -53,6 +35,11 @@ def text_stats(docs: DataFrame) -> tuple[int, int]:
     return int(row["n"]), int(row["b"] or 0)
 
 
+def block_count(size: int, block_bytes: int) -> int:
+    """The number of blocks for so many bytes of text."""
+    return max(1, -(-size // max(block_bytes, math.isqrt(ROW_BYTES * size))))
+
+
 def blocked(docs: DataFrame, extra: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """(doc_id, text, extra..., m), dealt out by m, and the number of blocks.
 
@@ -61,9 +48,9 @@ def blocked(docs: DataFrame, extra: tuple[str, ...] = (), block_bytes: int = BLO
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
     _, size = text_stats(docs)
-    blocks = max(1, -(-size // block_bytes))
+    blocks = block_count(size, block_bytes)
     m = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    return docs.withColumn("m", m).repartition(blocks, "m"), blocks
+    return docs.withColumn("m", m).repartition(min(blocks, PARTITIONS), "m"), blocks
 
 
 def ordered(table):
@@ -84,22 +71,13 @@ def ordered(table):
     return table.take(pa.array(at)).combine_chunks()
 
 
-def bucket_bounds(sorted_hashes: np.ndarray, buckets: int, bits: int) -> np.ndarray:
-    """Where each of the equal ranges of the hash space begins in a sorted array; buckets+1 positions."""
-    edges = np.array([(b << bits) // buckets for b in range(1, buckets)], dtype=np.uint64) if buckets > 1 else np.zeros(0, np.uint64)
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]])
-
-
-def bucket_number(buckets: int, blocks: int) -> int:
-    return max(1, min(buckets, blocks))
-
-
-def merge(blobs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted parts as one array with its stable ascending order and the part of each value."""
-    part = np.repeat(np.arange(len(blobs)), [len(b) for b in blobs])
-    values = np.concatenate(blobs) if blobs else np.zeros(0, np.uint64)
-    order = np.argsort(values, kind="stable")
-    return values, order, part
+def bucket_slices(sorted_hashes: np.ndarray, buckets: int, bits: int) -> list[tuple[int, slice]]:
+    """(bucket, its part of a sorted array) of each bucket that has any; buckets are equal ranges of hashes of so many bits."""
+    if not len(sorted_hashes):
+        return []
+    bucket = ((sorted_hashes >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+    at = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+    return [(int(bucket[x]), slice(int(x), int(y))) for x, y in zip([0, *at], [*at, len(bucket)], strict=True)]
 
 
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,4 +87,4 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-__all__ = ["BLOCK_BYTES", "T", "blocked", "bucket_bounds", "merge", "new_dir", "ordered", "runs", "shared_dir", "stash", "text_stats"]
+__all__ = ["BLOCK_BYTES", "T", "block_count", "blocked", "bucket_slices", "new_dir", "ordered", "runs", "shared_dir", "stash", "text_stats", "unstash"]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import numtext as T
-from quern.llm.blocks import blocked, bucket_bounds, ordered, runs, stash
+from quern.llm.blocks import blocked, bucket_slices, ordered, runs, stash
 
 #: Words whose exchange begins on the driver, classes of all words by exchange, passes over the first, and classes of rarer words.
 TOP, CLASSES, PASSES, RARE = 1000, 48, 6, 40
@@ -74,8 +74,7 @@ _ANSWER = [("kind", pa.int32()), ("m", pa.int32()), ("h", pa.int32()), ("n", pa.
 def _ask(m: int, tokens: Tokens, buckets: int) -> pa.Table:
     keys, back = np.unique(tokens.hash, return_inverse=True)
     count = np.bincount(back[tokens.training], minlength=len(keys))
-    b = bucket_bounds(keys, buckets, 64)
-    return _table(_ASK, [(h, m, int(b[h + 1] - b[h]), T.pack_sorted(keys[b[h] : b[h + 1]]), T.pack(count[b[h] : b[h + 1]])) for h in range(buckets) if b[h + 1] > b[h]])
+    return _table(_ASK, [(h, m, s.stop - s.start, T.pack_sorted(keys[s]), T.pack(count[s])) for h, s in bucket_slices(keys, buckets, 64)])
 
 
 def _answer(table: pa.Table) -> pa.Table:

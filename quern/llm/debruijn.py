@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import numtext as T
-from quern.llm.blocks import blocked, bucket_bounds, ordered, runs
+from quern.llm.blocks import blocked, bucket_slices, ordered, runs
 
 WINDOW = 20
 _U = np.uint64
@@ -42,8 +42,7 @@ ANSWER = [("m", pa.int32()), ("h", pa.int32()), ("n", pa.int32()), ("blob", pa.b
 
 def ask_seen(m: int, short: np.ndarray, buckets: int, bits: int) -> pa.Table:
     """Sorted distinct hashes of a block as questions, one row for each bucket that any falls in."""
-    b = bucket_bounds(short, buckets, bits)
-    return _rows(ASK, [(h, m, int(b[h + 1] - b[h]), T.pack_sorted(short[b[h] : b[h + 1]])) for h in range(buckets) if b[h + 1] > b[h]])
+    return _rows(ASK, [(h, m, s.stop - s.start, T.pack_sorted(short[s])) for h, s in bucket_slices(short, buckets, bits)])
 
 
 def answer_seen(table: pa.Table) -> pa.Table:
@@ -121,13 +120,10 @@ def ask_first(m: int, block: Block, rep: np.ndarray, buckets: int) -> list[tuple
     key = block.order_key()
     base = int(key.min()) if len(key) else 0
     delta = key[row] - _U(base)
-    b = bucket_bounds(keys, buckets, 64)
-    out = []
-    for h in range(buckets):
-        s = slice(b[h], b[h + 1])
-        if b[h + 1] > b[h]:
-            out.append((h, m, int(b[h + 1] - b[h]), base - (1 << 63), T.pack_sorted(keys[s]), T.pack(delta[s]), T.pack(row[s]), T.pack(start[s]), T.pack(count[s])))
-    return out
+    return [
+        (h, m, s.stop - s.start, base - (1 << 63), T.pack_sorted(keys[s]), T.pack(delta[s]), T.pack(row[s]), T.pack(start[s]), T.pack(count[s]))
+        for h, s in bucket_slices(keys, buckets, 64)
+    ]
 
 
 ASK_FIRST = [("h", pa.int32()), ("m", pa.int32()), ("n", pa.int32()), ("base", pa.int64()), *((c, pa.binary()) for c in ("hash", "id", "row", "start", "count"))]

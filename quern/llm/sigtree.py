@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import numtext as T
-from quern.llm.blocks import blocked, bucket_bounds, ordered, runs, stash
+from quern.llm.blocks import blocked, bucket_slices, ordered, runs, stash
 from quern.llm.components import UnionFind, components, forest
 
 #: Distinct sets, and shingles in them, that one tree holds; larger families are dealt out in chunks.
@@ -70,8 +70,7 @@ _ANSWER = [("m", pa.int32()), ("h", pa.int32()), ("n", pa.int32()), ("df", pa.bi
 
 def _ask(m: int, sets: Sets, buckets: int) -> pa.Table:
     keys, count = sets.short()
-    b = bucket_bounds(keys, buckets, 48)
-    return _table(_ASK, [(h, m, int(b[h + 1] - b[h]), T.pack_sorted(keys[b[h] : b[h + 1]]), T.pack(count[b[h] : b[h + 1]])) for h in range(buckets) if b[h + 1] > b[h]])
+    return _table(_ASK, [(h, m, s.stop - s.start, T.pack_sorted(keys[s]), T.pack(count[s])) for h, s in bucket_slices(keys, buckets, 48)])
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -148,11 +147,8 @@ def _find(m: int, sets: Sets, answers: pa.Table, buckets: int, num: int, den: in
     heads = np.flatnonzero(~joined)
     tails = np.append(heads[1:], len(value)) - 1
     v, lo, hi, of = value[heads], n[heads], n[tails], rid[who[heads]] & 0xFFFFFFFF
-    b = bucket_bounds(v, buckets, 64)
-    for h in range(buckets):
-        s = slice(b[h], b[h + 1])
-        if b[h + 1] > b[h]:
-            out.append((1, m, None, int(b[h + 1] - b[h]), None, None, None, T.pack_sorted(v[s]), h, T.pack(of[s]), T.pack(lo[s]) + T.pack(hi[s])))
+    for h, s in bucket_slices(v, buckets, 64):
+        out.append((1, m, None, s.stop - s.start, None, None, None, T.pack_sorted(v[s]), h, T.pack(of[s]), T.pack(lo[s]) + T.pack(hi[s])))
     a, b_ = forest(np.concatenate(edges_a), np.concatenate(edges_b))
     if len(a):
         out.append((2, m, None, len(a), None, None, None, a.tobytes(), None, b_.tobytes(), None))
