@@ -48,12 +48,16 @@ def stash(df: DataFrame, name: str, drop: tuple[DataFrame, ...] = ()) -> DataFra
     return out
 
 
+def remove_dir(spark, path: str) -> None:
+    system, target = _hadoop(spark, path)
+    system.delete(target, True)
+
+
 def unstash(*tables: DataFrame) -> None:
     """Delete the files of stashed tables; others are left alone."""
     for df in tables:
         if path := getattr(df, "_quern_path", None):
-            system, target = _hadoop(df.sparkSession, path)
-            system.delete(target, True)
+            remove_dir(df.sparkSession, path)
 
 
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:

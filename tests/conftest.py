@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", f"file://{shared}")
+        .config("spark.sql.warehouse.dir", f"file://{shared}/warehouse")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
