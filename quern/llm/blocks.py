@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import numtext as T
-from quern.plans.storage import new_dir, shared_dir, stash, unstash
+from quern.plans.storage import new_dir, remove_dir, shared_dir, stash, unstash
 
 #: Bytes of text in a block, at least. A block is what one Python call holds.
 BLOCK_BYTES = 6 << 20
@@ -40,6 +40,11 @@ def block_count(size: int, block_bytes: int) -> int:
     return max(1, -(-size // max(block_bytes, math.isqrt(ROW_BYTES * size))))
 
 
+def partitions(blocks: int) -> int:
+    """The number of partitions that so many blocks are dealt out to."""
+    return min(blocks, PARTITIONS)
+
+
 def blocked(docs: DataFrame, extra: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """(doc_id, text, extra..., m), dealt out by m, and the number of blocks.
 
@@ -50,7 +55,7 @@ def blocked(docs: DataFrame, extra: tuple[str, ...] = (), block_bytes: int = BLO
     _, size = text_stats(docs)
     blocks = block_count(size, block_bytes)
     m = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    return docs.withColumn("m", m).repartition(min(blocks, PARTITIONS), "m"), blocks
+    return docs.withColumn("m", m).repartition(partitions(blocks), "m"), blocks
 
 
 def ordered(table):
@@ -87,4 +92,4 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-__all__ = ["BLOCK_BYTES", "T", "block_count", "blocked", "bucket_slices", "new_dir", "ordered", "runs", "shared_dir", "stash", "text_stats", "unstash"]
+__all__ = ["BLOCK_BYTES", "T", "block_count", "blocked", "bucket_slices", "new_dir", "ordered", "partitions", "remove_dir", "runs", "shared_dir", "stash", "text_stats", "unstash"]
