@@ -51,14 +51,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large star: each node hands its larger neighbours to its smallest one. Small star: it hands its
     smaller ones and itself to the smallest. Both keep the components; a fixed point is a set of stars.
-    Minima are aggregated before the shuffle and joined back, so a hot node is one row there.
+    Minima are aggregated before the shuffle and joined back by a key of their own, so that Spark can split the rows of a hot node.
     """
     edges = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         large = _star(edges.union(edges.select("b", "a")).toDF("u", "v"), larger=True)
         small = _star(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), larger=False)
-        edges = stash(small.distinct(), "stars")
+        edges = stash(small.distinct(), "stars", drop=(edges,))
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             break
@@ -66,9 +66,19 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct())
 
 
+def join_grouped(rows: DataFrame, grouped: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with an aggregate by the same long key, of which one value may have a great part of the rows.
+
+    An aggregate is already dealt out by its key, and a join on it then reads both sides unsplit. By another, equivalent key both are shuffled for
+    the join alone, where Spark (AQE) splits what is too large.
+    """
+    other = F.col(key).bitwiseXOR(F.lit(0x5555555555555555)).alias("__key")
+    return rows.withColumn("__key", other).join(grouped.select(other, *(c for c in grouped.columns if c != key)), "__key", how).drop("__key")
+
+
 def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     least = pairs.groupBy("u").agg(F.min("v").alias("v0")).select("u", F.least("u", "v0").alias("m"))
-    joined = pairs.join(least, "u")
+    joined = join_grouped(pairs, least, "u")
     if larger:
         out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

@@ -9,7 +9,8 @@ How families are found, without loss: a set of n shingles that links with any ot
 ceil(t*n) of them. So (1) the document frequency of every shingle is counted; a set with
 more than n-ceil(t*n) shingles of its own links with nothing. (2) With shingles in one order, rarest first,
 linked sets share one of their first n-ceil(t*n)+1. Sets of compatible size that share such a shingle
-are joined to families. A family of more than MEMBERS distinct sets is dealt out in chunks.
+are joined to families. A family of more than MEMBERS distinct sets is dealt out in chunks, and what is then still
+apart meets by each of those shingles, so its sets are never all compared with one another.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import numtext as T
 from quern.llm.blocks import blocked, bucket_slices, ordered, runs, stash
-from quern.llm.components import UnionFind, components, forest
+from quern.llm.components import UnionFind, components, forest, join_grouped
 
 #: Distinct sets, and shingles in them, that one tree holds; larger families are dealt out in chunks.
 MEMBERS, TOKENS = 1000, 1_500_000
@@ -98,7 +99,7 @@ def _linkable(small: np.ndarray, large: np.ndarray, num: int, den: int) -> np.nd
 
 
 def _find(m: int, sets: Sets, answers: pa.Table, buckets: int, num: int, den: int) -> pa.Table:
-    """kind 0: every document. kind 1: shingles by which linked sets must meet, with the range of sizes that have them here. kind 2: sets of this block that meet."""
+    """kind 0: every document, with its set if any may link with it, and by which shingles (lo; of equal sets in a block only the first). kind 1: shingles by which linked sets must meet, with the range of sizes that have them here. kind 2: sets of this block that meet."""
     rows = len(sets.size)
     keys, back = np.unique(sets.value >> _U(16), return_inverse=True)
     df = np.zeros(0, _U)
@@ -117,14 +118,17 @@ def _find(m: int, sets: Sets, answers: pa.Table, buckets: int, num: int, den: in
         fp2 = (upto2[sets.first[1:]] - upto2[sets.first[:-1]]).view(np.int64)
     rid = (np.int64(m) << np.int64(32)) + np.arange(rows, dtype=np.int64)
     ids = sets.table.column("doc_id").to_pylist()
-    out = [
-        (0, int(rid[d]), ids[d], int(sets.size[d]), bool(live[d]), int(fp1[d]), int(fp2[d]), sets.value[sets.first[d] : sets.first[d + 1]].tobytes() if live[d] else None, None, None, None)
-        for d in range(rows)
-    ]
+
+    def documents(lead: list) -> list[tuple]:
+        return [
+            (0, int(rid[d]), ids[d], int(sets.size[d]), bool(live[d]), int(fp1[d]), int(fp2[d]), sets.value[sets.first[d] : sets.first[d + 1]].tobytes() if live[d] else None, None, lead[d], None)
+            for d in range(rows)
+        ]
+
     # Of equal sets in this block the first stands for all.
     lv = np.flatnonzero(live)
     if not len(lv):
-        return _table(_FOUND_ARROW, out)
+        return _table(_FOUND_ARROW, documents([None] * rows))
     order = lv[np.lexsort((lv, sets.size[lv], fp2[lv], fp1[lv]))]
     head = np.ones(len(order), bool)
     head[1:] = (fp1[order][1:] != fp1[order][:-1]) | (fp2[order][1:] != fp2[order][:-1]) | (sets.size[order][1:] != sets.size[order][:-1])
@@ -137,6 +141,8 @@ def _find(m: int, sets: Sets, answers: pa.Table, buckets: int, num: int, den: in
     doc = sets.doc[at]
     rank = np.arange(len(at)) - np.repeat(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), np.bincount(doc)[np.unique(doc)])
     at = at[(rank <= slack[doc]) & (df[at] > 1)]
+    upto = np.concatenate([[0], np.cumsum(np.bincount(sets.doc[at], minlength=rows))])
+    out = documents([sets.value[at[x:y]].tobytes() if y > x else None for x, y in zip(upto[:-1], upto[1:], strict=True)])
     order = np.lexsort((sets.size[sets.doc[at]], sets.value[at]))
     value, who = sets.value[at[order]], sets.doc[at[order]]
     n = sets.size[who]
@@ -282,27 +288,38 @@ def _join_group(table: pa.Table, num: int, den: int) -> pa.Table:
 
 
 def _large(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) that connect the sets of large families: (fam, rid, n, tokens, chunks).
+    """Edges (a, b) that connect the sets of large families: (fam, rid, n, tokens, lead, chunks).
 
     First the sets are dealt out at random into chunks, ROUNDS times anew; a dense family is connected then.
-    Then chunks are made of one component each (small components share chunks), and every pair of chunks that may
-    link (by range of sizes, and not of one component) is traversed, so no link between components is lost.
+    Sets that link but are still apart share one of the shingles by which they meet (lead). So for each of those that have sets of several
+    components, these sets are put into chunks of one component each (small components share chunks), and every pair of chunks that may
+    link (by range of sizes, and not of one component) is traversed. No link between components is lost.
     """
-    group = "fam long, rid long, n long, tokens binary"
     edges = None
     for r in range(ROUNDS):
         dealt = members.select(F.xxhash64("fam", F.pmod(F.xxhash64("rid", F.lit(r)), F.col("chunks"))).alias("fam"), "rid", "n", "tokens")
         got = dealt.groupBy("fam").applyInArrow(lambda t: _join_group(t, num, den), "a long, b long")
         edges = got if edges is None else edges.unionByName(got)
     edges = stash(edges, "dealt")
-    label = components(edges)
-    light = members.select("fam", "rid", "n", "chunks").join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("known", F.coalesce("label", "rid")).drop("label")
-    light = stash(light, "known")
-    sizes = light.groupBy("fam", "known").agg(F.count(F.lit(1)).alias("c"))
-    apart = sizes.groupBy("fam").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.when(F.col("c") < MEMBERS // 4, F.col("c"))).alias("few")).filter("parts > 1")
+    label = components(edges).withColumnRenamed("node", "rid")
+
+    def unfold(batches):
+        for batch in batches:
+            lead = [np.frombuffer(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in batch.column(2).to_pylist()]
+            size = [len(x) for x in lead]
+            rid, n = (np.repeat(batch.column(i).to_numpy(), size) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(n), pa.array(np.concatenate([np.zeros(0, np.int64), *lead]))], names=["rid", "n", "fam"])
+
+    by_lead = members.select("rid", "n", "lead").mapInArrow(unfold, "rid long, n long, fam long")
+    light = stash(by_lead.join(label, "rid", "left").withColumn("known", F.coalesce("label", "rid")).drop("label"), "known")
+    # Only shingles whose sets are not all of one component.
+    apart = light.groupBy("fam").agg(F.min("known").alias("low"), F.max("known").alias("high")).filter("low <> high").select("fam")
+    light = stash(join_grouped(light, apart, "fam"), "apart", drop=(light,))
+    sizes = stash(light.groupBy("fam", "known").agg(F.count(F.lit(1)).alias("c")), "parts")
+    pools = stash(sizes.groupBy("fam").agg(F.sum(F.when(F.col("c") < MEMBERS // 4, F.col("c"))).alias("few")), "pools")
     half = MEMBERS // 2
     placed = (
-        light.join(apart, "fam").join(sizes, ["fam", "known"])
+        light.join(pools, "fam").join(sizes, ["fam", "known"])
         .withColumn("pool", F.col("c") < MEMBERS // 4)
         .withColumn(
             "chunk",
@@ -362,7 +379,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     sizes = sizes.withColumn("chunks", F.greatest(F.ceil(F.col("c") / MEMBERS), F.ceil(F.col("t") / TOKENS)).cast("long"))
     sizes = stash(sizes, "families")
     reps = sets.select("fam", F.col("rep").alias("rid")).join(sizes, "fam").select("fam", "rid", "chunks")
-    members = found.filter("kind = 0 AND live").select("rid", "n", "tokens").join(reps, "rid")
+    members = found.filter("kind = 0 AND live").select("rid", "n", "tokens", F.col("lo").alias("lead")).join(reps, "rid")
     told = sizes.agg(F.max("chunks").alias("most"), F.sum(F.when(F.col("chunks") == 1, F.col("t"))).alias("t")).first()
     groups = max(1, -(-int(told["t"] or 0) // TOKENS))
     small = members.filter("chunks = 1").withColumn("g", F.pmod(F.xxhash64("fam"), F.lit(groups)))
@@ -374,7 +391,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     placed = light.join(sets, ["fam", "fp1", "fp2", "n"]).join(roots, "rep", "left").select("rid", F.coalesce("root", "rep").alias("root"))
     out = all_docs.select("doc_id", "rid", F.col("n").alias("n_shingles")).join(placed, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = out.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least"))
-    return out.join(least, "root").select(
+    return join_grouped(out, least, "root").select(
         "doc_id", "rid", "n_shingles", F.col("least.doc_id").alias("component_id"), F.when(F.col("least.rid") == F.col("rid"), 1).otherwise(2).alias("rank")
     )
 
