@@ -2,9 +2,11 @@
 
 Every window of k words is an edge between the (k-1)-word sequences at its ends. Edges that occur
 more than once are kept; each gets as source coordinate its first occurrence. Where the
-sources of neighbouring edges run on word by word and their multiplicities agree, no branch
-lies between them, and they compact into one path. A path found elsewhere than at
-its source is a repeated span; the words at the source coordinates verify it.
+sources of neighbouring edges run on word by word and their multiplicities agree, they compact into one path: all that
+enters by the one edge and was first read there leaves by the other, as far as counts can tell (equally many
+other ways in and out may cross the node between them; then the path is longer than a strictly nonbranching one, and just as
+well verified). A path found elsewhere than at its source is a repeated span; the words at the source coordinates verify it.
+A span that fails, as two windows have one hash, gets the words at its source and keeps what they don't share.
 
 Exchanges, each between blocks of documents and buckets of hashes (see blocks.py):
   1. which edges does another block have?  48-bit hashes, once per block and edge; one bit comes back
@@ -207,7 +209,7 @@ def ask_verify(m: int, block: Block, spans: dict[str, np.ndarray]) -> pa.Table:
 
 
 def answer_verify(block: Block, asked: pa.Table) -> pa.Table:
-    """kind 2: whether the words at each source have the digest that the span has. Rows of kind 1, the block's own spans, pass through."""
+    """kind 2: whether the words at each source have the digest that the span has, and the words where not (start: bytes of each, digest: all of them). Rows of kind 1, the block's own spans, pass through."""
     known: dict[tuple, bytes] = {}
     out = []
     for r in asked.to_pylist():
@@ -215,20 +217,32 @@ def answer_verify(block: Block, asked: pa.Table) -> pa.Table:
         if r["kind"] == 1:
             out.append(tuple(r[c] for c, _ in SPANS))
             continue
-        ok = np.zeros(n, bool)
+        ok, words = np.zeros(n, bool), []
         for i, key in enumerate(zip(*(T.unpack(r[c], n).tolist() for c in ("row", "start", "edges")), strict=True)):
             if key not in known:
                 known[key] = _digest(block, *key)
             ok[i] = known[key] == r["digest"][16 * i : 16 * i + 16]
-        out.append((2, r["m"], r["src_m"], n, np.packbits(ok).tobytes(), b"", b"", b"", b""))
+            if not ok[i]:
+                lo = int(block.words.first[key[0]]) + key[1]
+                words.append(block.words.joined(lo, lo + key[2] + block.k - 1))
+        size = np.array([len(x) for x in words], np.int64)
+        out.append((2, r["m"], r["src_m"], n, np.packbits(ok).tobytes(), T.pack(size), b"", b"", b"".join(words)))
     return _rows(SPANS, out)
 
 
+def _source_words(r: dict) -> tuple[np.ndarray, dict[int, list[bytes]]]:
+    """Which questions of an answer hold, and the words at the source of each that doesn't."""
+    ok = np.unpackbits(np.frombuffer(r["row"], np.uint8), count=r["n"]).astype(bool)
+    failed = np.flatnonzero(~ok)
+    at = np.concatenate([[0], np.cumsum(T.unpack(r["start"], len(failed)).astype(np.int64))])
+    return ok, {int(i): bytes(r["digest"][x:y]).split(b" ") for i, x, y in zip(failed, at[:-1], at[1:], strict=True)}
+
+
 def covered(block: Block, told: pa.Table) -> np.ndarray:
-    """Whether each word of the block lies in a verified span."""
+    """Whether each word of the block lies in a verified span, or in a window of k words of a failed one that its source has too."""
     mark = np.zeros(len(block.words.starts) + 1, np.int64)
     rows = told.to_pylist()
-    verdict = {r["src_m"]: np.unpackbits(np.frombuffer(r["row"], np.uint8), count=r["n"]) for r in rows if r["kind"] == 2}
+    verdict = {r["src_m"]: _source_words(r) for r in rows if r["kind"] == 2}
     for r in rows:
         if r["kind"] != 1:
             continue
@@ -236,10 +250,16 @@ def covered(block: Block, told: pa.Table) -> np.ndarray:
         row, start, edges = (T.unpack(r[c], n).astype(np.int64) for c in ("row", "start", "edges"))
         cut = 1 + r["ask"][0] * n
         src_m, ask = T.unpack(r["ask"][:cut], n), T.unpack(r["ask"][cut:], n)
-        ok = np.array([bool(verdict[int(s)][int(a)]) for s, a in zip(src_m, ask, strict=True)])
-        lo = block.words.first[row[ok]] + start[ok]
-        np.add.at(mark, lo, 1)
-        np.add.at(mark, lo + edges[ok] + block.k - 1, -1)
+        ok = np.array([verdict[int(s)][0][int(a)] for s, a in zip(src_m, ask, strict=True)], bool)
+        lo = block.words.first[row] + start
+        np.add.at(mark, lo[ok], 1)
+        np.add.at(mark, lo[ok] + edges[ok] + block.k - 1, -1)
+        for i in np.flatnonzero(~ok):
+            source = verdict[int(src_m[i])][1][int(ask[i])]
+            same = np.array([block.words.word(int(lo[i]) + j) == x for j, x in enumerate(source)])
+            for j in np.flatnonzero(np.convolve(same, np.ones(block.k, np.int64), "valid") == block.k) if len(same) >= block.k else []:
+                mark[lo[i] + j] += 1
+                mark[lo[i] + j + block.k] -= 1
     return np.cumsum(mark)[:-1] > 0
 
 
