@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import numtext as T
+from quern.functions import numtext as T
 from quern.plans.storage import new_dir, remove_dir, shared_dir, stash, unstash
 
 #: Bytes of text in a block, at least. A block is what one Python call holds.

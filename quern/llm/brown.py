@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import numtext as T
+from quern.functions import numtext as T
 from quern.llm.blocks import blocked, bucket_slices, new_dir, ordered, partitions, remove_dir, runs, stash, unstash
 
 #: Words whose exchange begins on the driver, classes of all words by exchange, passes over the first, and classes of rarer words.

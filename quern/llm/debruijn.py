@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import numtext as T
+from quern.functions import numtext as T
 from quern.llm.blocks import blocked, bucket_slices, ordered, runs
 
 WINDOW = 20

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm import numtext as T
+from quern.functions import numtext as T
 
 #: Bytes of normalised text that a language's automaton is built from, and documents looked at for them.
 SAMPLE_BYTES, SAMPLE_DOCS = 40_000, 400

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import numtext as T
+from quern.functions import numtext as T
 
 WINDOW = 4096
 #: Open windows of a task, a bound on its memory (64 MB of ids); beyond it the half with the least in them is cut up to fill others. 10,000 documents leave about 300 open.
