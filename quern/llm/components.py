@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from quern.llm.blocks import stash
 
 
+#: Edges in a file of a round's table.
+FILE_EDGES = 20_000
+
+
 class UnionFind:
     """Over 0..n-1; the root of a set is its smallest member."""
 
@@ -54,15 +58,18 @@ def components(edges: DataFrame) -> DataFrame:
     Minima are aggregated before the shuffle and joined back by a key of their own, so that Spark can split the rows of a hot node.
     """
     edges = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before, parts = None, None
     while True:
         large = _star(edges.union(edges.select("b", "a")).toDF("u", "v"), larger=True)
         small = _star(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), larger=False)
-        edges = stash(small.distinct(), "stars", drop=(edges,))
+        stars = small.distinct()
+        edges = stash(stars.coalesce(parts) if parts else stars, "stars", drop=(edges,))
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             break
         before = state
+        # Rounds never add edges, so the next one's table needs no more files than its rows fill.
+        parts = 1 + state["n"] // FILE_EDGES
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct())
 
 

@@ -26,6 +26,8 @@ from quern.llm.components import UnionFind, components, forest, join_grouped
 
 #: Distinct sets, and shingles in them, that one tree holds; larger families are dealt out in chunks.
 MEMBERS, TOKENS = 1000, 1_500_000
+#: Shingles of small families that are joined in one call.
+GROUP_TOKENS = 50_000
 #: Sets in a leaf, and children of a node.
 LEAF, FANOUT = 32, 8
 #: Rounds in which a large family is dealt out at random before what is left apart is compared chunk by chunk.
@@ -315,11 +317,11 @@ def _large(members: DataFrame, num: int, den: int) -> DataFrame:
     # Only shingles whose sets are not all of one component.
     apart = light.groupBy("fam").agg(F.min("known").alias("low"), F.max("known").alias("high")).filter("low <> high").select("fam")
     light = stash(join_grouped(light, apart, "fam"), "apart", drop=(light,))
-    sizes = stash(light.groupBy("fam", "known").agg(F.count(F.lit(1)).alias("c")), "parts")
-    pools = stash(sizes.groupBy("fam").agg(F.sum(F.when(F.col("c") < MEMBERS // 4, F.col("c"))).alias("few")), "pools")
+    sizes = light.groupBy("fam", "known").agg(F.count(F.lit(1)).alias("c"))
+    pools = sizes.groupBy("fam").agg(F.sum(F.when(F.col("c") < MEMBERS // 4, F.col("c"))).alias("few"))
     half = MEMBERS // 2
     placed = (
-        light.join(pools, "fam").join(sizes, ["fam", "known"])
+        join_grouped(light, pools, "fam").join(sizes, ["fam", "known"])
         .withColumn("pool", F.col("c") < MEMBERS // 4)
         .withColumn(
             "chunk",
@@ -381,7 +383,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     reps = sets.select("fam", F.col("rep").alias("rid")).join(sizes, "fam").select("fam", "rid", "chunks")
     members = found.filter("kind = 0 AND live").select("rid", "n", "tokens", F.col("lo").alias("lead")).join(reps, "rid")
     told = sizes.agg(F.max("chunks").alias("most"), F.sum(F.when(F.col("chunks") == 1, F.col("t"))).alias("t")).first()
-    groups = max(1, -(-int(told["t"] or 0) // TOKENS))
+    groups = max(1, -(-int(told["t"] or 0) // GROUP_TOKENS))
     small = members.filter("chunks = 1").withColumn("g", F.pmod(F.xxhash64("fam"), F.lit(groups)))
     edges = small.select("g", "fam", "rid", "n", "tokens").groupBy("g").applyInArrow(lambda t: _join_group(t, num, den), "a long, b long")
     if (told["most"] or 0) > 1:
