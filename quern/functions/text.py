@@ -1,26 +1,33 @@
 """Text functions: Unicode word tokens, shingles, token counts, hash bins, cosine.
 
-NFC and case folding have no Spark function, so tokens come from one Arrow UDF; all that is
-built on the tokens is native.
+NFC and case folding have no Spark function, so tokens come from Arrow functions. What a whole table needs from its
+tokens (shingles and their hashes, words and their bins) is built in the same pass, on buffers of all texts of a batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from quern.functions import numtext
+
 _WORD = re.compile(r"\w+")
 _UNIT = re.compile(r"\w+|[^\w\s]")
 
 
 def fold(text: str) -> str:
     """The form in which texts are compared: composed (NFC), then case-folded."""
-    return unicodedata.normalize("NFC", text).casefold()
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).casefold()
 
 
 def word_list(text: str, ignore: tuple[str, ...] = ()) -> list[str]:
@@ -53,29 +60,175 @@ def approx_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"))
 
 
-def exact_approx_tokens(text: Column) -> Column:
-    """approx_tokens() by Python's own Unicode tables, for scripts that Java's older tables lack."""
+class PythonCounter:
+    """A token counter by a Python function: counter(text) for a column of strings, counter.arrays(texts) for one of arrays of strings.
+
+    make() loads what is needed, once for each task, and returns the function. Spark has no Python functions inside array expressions, so arrays are
+    counted whole.
+    """
+
+    def __init__(self, make: Callable[[], Callable[[str], int]]):
+        self.make = make
+
+    def __call__(self, text: Column) -> Column:
+        make = self.make
+
+        def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            one = make()
+            for batch in batches:
+                yield batch.map(lambda t: None if t is None else one(t)).astype("Int64")
+
+        count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(count, S.LongType())(text)
+
+    def arrays(self, texts: Column) -> Column:
+        make = self.make
+
+        def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            one = make()
+            for batch in batches:
+                yield batch.map(lambda a: None if a is None else [None if t is None else one(t) for t in a])
+
+        count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(count, S.ArrayType(S.LongType()))(texts)
+
+
+#: approx_tokens() by Python's own Unicode tables, for scripts that Java's older tables lack.
+exact_approx_tokens = PythonCounter(lambda: lambda text: len(_UNIT.findall(text)))
+
+
+def bpe_counter(load: Callable[[], object]) -> PythonCounter:
+    """Tokens of a tiktoken encoding that load() gives; strings of special tokens count as ordinary text."""
+
+    def make():
+        encoder = load()
+        return lambda text: len(encoder.encode(text, disallowed_special=()))
+
+    return PythonCounter(make)
 
-    @F.pandas_udf(S.IntegerType())
-    def count(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: None if t is None else len(_UNIT.findall(t)))
 
-    return count(text)
+def _named_encoding(name: str):
+    try:
+        import tiktoken
+    except ImportError as missing:
+        raise ValueError("tiktoken is not installed") from missing
+    return tiktoken.get_encoding(name)
 
 
 def bpe_tokens(text: Column, encoding: str = "cl100k_base") -> Column:
-    """Token count of a tiktoken encoding; its vocabulary must be at hand on the executors."""
-
-    @F.pandas_udf(S.IntegerType())
-    def count(batch: pd.Series) -> pd.Series:
-        try:
-            import tiktoken
-        except ImportError as missing:
-            raise ValueError("tiktoken is not installed") from missing
-        encoder = tiktoken.get_encoding(encoding)
-        return batch.map(lambda t: None if t is None else len(encoder.encode(t, disallowed_special=())))
-
-    return count(text)
+    """Token count of a tiktoken encoding by name; its vocabulary must be at hand on the executors."""
+    return bpe_counter(lambda: _named_encoding(encoding))(text)
+
+
+def array_counts(tokens: Callable[[Column], Column], texts: Column) -> Column:
+    """Tokens of each text of an array, by a native counter or a PythonCounter."""
+    return tokens.arrays(texts) if isinstance(tokens, PythonCounter) else F.transform(texts, tokens)
+
+
+#: Texts whose tokens are held at once, and bytes of text.
+_ROWS, _BYTES = 2000, 4 << 20
+
+
+def _word_batches(batches: Iterator[pa.RecordBatch], ignore: tuple[str, ...]) -> Iterator[tuple[pa.Table, list[list[str]], numtext.Words]]:
+    """(rows, words of each text, the same words in one buffer) of some rows at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, _ROWS):
+            for part in numtext.slices(batch.slice(lo, _ROWS), "text", _BYTES):
+                lists = [word_list(t, ignore) if t else [] for t in part.column("text").to_pylist()]
+                yield part, lists, numtext.words(pa.array([" ".join(w) for w in lists], pa.large_string()))
+
+
+def gram_hashes(rows: DataFrame, size: int, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(ord, n, hashes array<long>) of each row of (ord, text): its distinct windows of so many words as 64-bit hashes, in order; none if there are fewer words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, w in _word_batches(batches, ignore):
+            docs = part.num_rows
+            value, at = numtext.grams(w.hashes(), w.first, size)
+            value, doc = numtext.distinct_per_doc(value, w.doc()[at], docs)
+            count = np.bincount(doc, minlength=docs)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(value.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("ord").combine_chunks(), pa.array(count), lists], names=["ord", "n", "hashes"])
+
+    return rows.select(F.col("ord").cast("long").alias("ord"), F.col("text").cast("string").alias("text")).mapInArrow(run, "ord long, n long, hashes array<long>")
+
+
+def gram_rows(rows: DataFrame, size: int, ignore: tuple[str, ...] = (), among: np.ndarray | None = None) -> DataFrame:
+    """(ord, gram) of each distinct window of so many words of each row of (ord, text); among: only windows whose hashes are in this sorted array."""
+    sieve = None
+    if among is not None:
+        sieve = np.zeros(1 << 20, bool)
+        sieve[(among.view(np.uint64) >> np.uint64(44)).astype(np.int64)] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, lists, w in _word_batches(batches, ignore):
+            value, at = numtext.grams(w.hashes(), w.first, size)
+            if among is not None:
+                near = np.flatnonzero(sieve[(value >> np.uint64(44)).astype(np.int64)])
+                signed = value[near].view(np.int64)
+                place = np.minimum(np.searchsorted(among, signed), max(0, len(among) - 1))
+                hit = near[among[place] == signed] if len(among) else near[:0]
+                value, at = value[hit], at[hit]
+            doc = w.doc()[at]
+            # The first place of each distinct window of a text.
+            order = np.lexsort((at, value, doc))
+            new = np.ones(len(order), bool)
+            new[1:] = (value[order][1:] != value[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+            at, doc = at[order[new]], doc[order[new]]
+            start = (at - w.first[doc]).tolist()
+            ids = part.column("ord").combine_chunks().take(pa.array(doc))
+            texts = [" ".join(lists[d][i : i + size]) for d, i in zip(doc.tolist(), start, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string())], names=["ord", "gram"])
+
+    return rows.select(F.col("ord").cast("long").alias("ord"), F.col("text").cast("string").alias("text")).mapInArrow(run, "ord long, gram string")
+
+
+def term_counts(rows: DataFrame, dimensions: int = 512) -> DataFrame:
+    """(ord, word, tf, bin) of each distinct word of each row of (ord, text); the bin as of hash_bin()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins: dict[str, int] = {}
+        for part, lists, _ in _word_batches(batches, ()):
+            if len(bins) > 1_000_000:
+                bins.clear()
+            counts = [Counter(w) for w in lists]
+            for c in counts:
+                for word in c:
+                    if word not in bins:
+                        bins[word] = python_bin(word, dimensions)
+            ids = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+            words_, tf = [w for c in counts for w in c], [n for c in counts for n in c.values()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("ord").combine_chunks().take(pa.array(ids)), pa.array(words_, pa.string()), pa.array(tf, pa.int64()), pa.array([bins[w] for w in words_], pa.int32())],
+                names=["ord", "word", "tf", "bin"],
+            )
+
+    return rows.select(F.col("ord").cast("long").alias("ord"), F.col("text").cast("string").alias("text")).mapInArrow(run, "ord long, word string, tf long, bin int")
+
+
+def python_bin(word: str, dimensions: int) -> int:
+    return int.from_bytes(hashlib.sha256(word.encode("utf-8", "surrogatepass")).digest()[:8], "big") % dimensions
+
+
+def bin_counts(rows: DataFrame, dimensions: int = 512) -> DataFrame:
+    """(bin, n) partial sums over some texts each: in how many a word of the bin stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins: dict[str, int] = {}
+        total = np.zeros(dimensions, np.int64)
+        for _, lists, _ in _word_batches(batches, ()):
+            if len(bins) > 1_000_000:
+                bins.clear()
+            for w in lists:
+                own = set(w)
+                for word in own:
+                    if word not in bins:
+                        bins[word] = python_bin(word, dimensions)
+                total[list({bins[word] for word in own})] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bin", "n"])
+
+    return rows.select(F.lit(0).cast("long").alias("ord"), F.col("text").cast("string").alias("text")).mapInArrow(run, "bin int, n long")
 
 
 def message_text(messages: Column) -> Column:

@@ -7,142 +7,203 @@ eval_id, value, evidence). A pair may have a hit at each level.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
+from quern.functions import numtext
 from quern.functions import text as X
 from quern.plans.storage import stash
 
 LEVELS = ("EXACT", "NEAR", "SEMANTIC")
 HIT = "level string, train_ord long, eval_ord long, train_id string, eval_id string, value double, evidence string"
-#: Evaluation grams up to which their table is broadcast; beyond it the join shuffles both sides.
+#: Distinct evaluation grams up to which their hashes go to the tasks (8 bytes each); beyond it the joins shuffle both sides.
 BROADCAST_GRAMS = 500_000
-#: Evaluation vectors that are compared at once.
-BLOCK_VECTORS = 20_000
+#: Bytes of evaluation vectors that are compared at once.
+BLOCK_BYTES = 32 << 20
+#: Chance that a pair at the threshold isn't found by the quick bands of near_hits().
+MISS = 1e-12
 
 
-def _grams(side: DataFrame, size: int, ignore: tuple[str, ...]) -> DataFrame:
-    tokens = side.select("ord", "id", X.words(F.col("text"), ignore).alias("w"))
-    return tokens.select("ord", "id", X.shingles(F.col("w"), size).alias("grams"))
+def _known_hashes(evaluation: DataFrame, size: int, ignore: tuple[str, ...]) -> tuple[DataFrame, np.ndarray | None]:
+    """The distinct gram hashes of the evaluation side (column gram), and the same as a sorted array if they are few enough."""
+    hashes = X.gram_hashes(evaluation, size, ignore).select(F.explode("hashes").alias("gram")).distinct()
+    got = hashes.limit(BROADCAST_GRAMS + 1).toArrow().column("gram").to_numpy()
+    return hashes, np.sort(got) if len(got) <= BROADCAST_GRAMS else None
 
 
-def _join_grams(train: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """Equi-join of exploded grams; the evaluation side is broadcast if its counted size allows."""
-    small = evaluation.agg(F.sum(F.size("grams")).alias("n")).first()["n"] or 0
-    right = evaluation.select(F.col("ord").alias("eval_ord"), F.col("id").alias("eval_id"), F.explode("grams").alias("gram"))
-    left = train.select(F.col("ord").alias("train_ord"), F.col("id").alias("train_id"), F.explode("grams").alias("gram"))
-    return left.join(F.broadcast(right) if small <= BROADCAST_GRAMS else right, "gram")
+def _with_ids(pairs: DataFrame, train: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """Add train_id and eval_id to pairs of (train_ord, eval_ord)."""
+    left = train.select(F.col("ord").alias("train_ord"), F.col("id").alias("train_id"))
+    right = evaluation.select(F.col("ord").alias("eval_ord"), F.col("id").alias("eval_id"))
+    return pairs.join(left, "train_ord").join(right, "eval_ord")
 
 
 def exact_hits(train: DataFrame, evaluation: DataFrame, n: int = 13, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """One hit for each pair with a common n-gram of words; evidence is the smallest one."""
+    """One hit for each pair with a common n-gram of words; evidence is the smallest one.
+
+    The pass that cuts training texts into words passes on only the windows whose hashes the evaluation side has, as long as
+    these are few; the join is on the windows themselves.
+    """
     if n < 1:
         raise ValueError("n must be positive")
-    joined = _join_grams(_grams(train, n, ignore), _grams(evaluation, n, ignore))
-    return (
-        joined.groupBy("train_ord", "eval_ord", "train_id", "eval_id")
-        .agg(F.min("gram").alias("evidence"))
-        .select(F.lit("EXACT").alias("level"), "train_ord", "eval_ord", "train_id", "eval_id", F.lit(1.0).alias("value"), "evidence")
-    )
-
-
-def _least_digest(base, raw: list[bytes]) -> bytes:
-    """Smallest digest of a list; a copy of a salted hash is half the work of a new one."""
-    out = []
-    for gram in raw:
-        h = base.copy()
-        h.update(gram)
-        out.append(h.digest())
-    return min(out)
+    _, among = _known_hashes(evaluation, n, ignore)
+    right = X.gram_rows(evaluation, n, ignore).withColumnRenamed("ord", "eval_ord")
+    left = X.gram_rows(train, n, ignore, among).withColumnRenamed("ord", "train_ord")
+    joined = left.join(F.broadcast(right) if among is not None else right, "gram")
+    pairs = joined.groupBy("train_ord", "eval_ord").agg(F.min("gram").alias("evidence"))
+    return _with_ids(pairs, train, evaluation).select(F.lit("EXACT").alias("level"), "train_ord", "eval_ord", "train_id", "eval_id", F.lit(1.0).alias("value"), "evidence")
 
 
-def band_keys(grams: Column, permutations: int, bands: int) -> Column:
-    """One string for each band of a MinHash signature; hash p of a gram is BLAKE2b-64 salted with p as two bytes."""
-    rows = permutations // bands
+def band_keys(rows: DataFrame, size: int, ignore: tuple[str, ...], permutations: int, bands: int) -> DataFrame:
+    """(ord, keys) of each row of (ord, text): a string for each band of the MinHash signature of its shingles; hash p of a shingle is BLAKE2b-64 salted with p as two bytes."""
+    each = permutations // bands
     salts = [p.to_bytes(2, "big") for p in range(permutations)]
 
-    @F.pandas_udf(S.ArrayType(S.StringType()))
-    def keys(batch: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A copy of a salted hash is half the work of a new one.
         salted = [hashlib.blake2b(digest_size=8, salt=s) for s in salts]
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                w = X.word_list(text or "", ignore)
+                grams = {" ".join(w[i : i + size]).encode() for i in range(len(w) - size + 1)}
+                least = []
+                for base in salted if grams else ():
+                    digests = []
+                    for gram in grams:
+                        h = base.copy()
+                        h.update(gram)
+                        digests.append(h.digest())
+                    least.append(min(digests))
+                out.append([f"{b}:" + b"".join(least[b * each : (b + 1) * each]).hex() for b in range(bands)] if grams else [])
+            yield pa.RecordBatch.from_arrays([batch.column("ord"), pa.array(out, pa.list_(pa.string()))], names=["ord", "keys"])
+
+    return rows.select(F.col("ord").cast("long").alias("ord"), F.col("text").cast("string").alias("text")).mapInArrow(run, "ord long, keys array<string>")
+
+
+def quick_bands(threshold: float) -> tuple[int, int]:
+    """(rows, bands) of cheap hashes for which a pair at the threshold is missed with a chance of MISS at most; as many rows as 512 hashes allow."""
+    best = (1, 1)
+    for rows in range(1, 9):
+        share = threshold**rows
+        bands = 1 if share >= 1 else math.ceil(math.log(MISS) / math.log1p(-share))
+        if rows * bands <= 512 or rows == 1:
+            best = (rows, bands)
+    return best
+
+
+def _quick_keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """(ord, key) for each quick band of (ord, hashes): 64-bit minima of multiplied hashes."""
+    rows, bands = quick_bands(threshold)
+    salts = np.random.default_rng(7).integers(2**63, size=rows * bands, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column("hashes")
+            flat, at = cells.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate([[0], np.cumsum(batch.column("n").to_numpy())])
+            if not len(flat):
+                continue
+            keys = np.zeros((bands, batch.num_rows), np.uint64)
+            for p, salt in enumerate(salts):
+                least = np.minimum.reduceat(numtext.mix(flat ^ salt), at[:-1])
+                keys[p // rows] = numtext.mix(keys[p // rows] ^ least)
+            keys = numtext.mix(keys ^ np.arange(1, bands + 1, dtype=np.uint64)[:, None])
+            ords = np.tile(batch.column("ord").to_numpy(), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(ords), pa.array(keys.reshape(-1).view(np.int64))], names=["ord", "key"])
 
-        def one(group):
-            # Spark may hash before it filters, so a set without shingles has no keys here.
-            raw = [] if group is None else [g.encode() for g in group]
-            if not raw:
-                return []
-            least = [_least_digest(base, raw) for base in salted]
-            return [f"{b}:" + b"".join(least[b * rows : (b + 1) * rows]).hex() for b in range(bands)]
-
-        return batch.map(one)
-
-    return keys(grams)
+    return sets.filter("n > 0").select("ord", "n", "hashes").mapInArrow(run, "ord long, key long")
 
 
 def near_hits(
     train: DataFrame, evaluation: DataFrame, threshold: float = 0.8, size: int = 5, permutations: int = 64, bands: int = 16, ignore: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Pairs in a common MinHash band whose word shingles have a Jaccard similarity of threshold or more.
+    """Pairs in a common MinHash band whose word shingles have a Jaccard similarity of threshold or more; evidence is the smallest common shingle.
 
-    Signatures are the dear part, so training records that cannot reach the threshold are left out before: one with fewer
-    than threshold * n of its n shingles anywhere in the evaluation set. That loses no pair.
+    Salted BLAKE2b signatures are the dear part, and say nothing about pairs below the threshold. So pairs are first found by cheap
+    hashes in so many bands that none at the threshold is missed but with a chance of MISS, and measured on hashed shingles; only records of
+    pairs that reach the threshold without being equal get signatures. Before that, records go that have fewer than
+    threshold * n of their n shingles anywhere in the evaluation set. Neither loses a pair.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     if size < 1 or permutations < 1 or bands < 1 or permutations % bands or permutations > 65536:
         raise ValueError("shingle size, permutations and bands must be positive; permutations at most 65536 and a multiple of bands")
-    left = _grams(train, size, ignore).filter(F.size("grams") > 0)
-    right = _grams(evaluation, size, ignore).filter(F.size("grams") > 0)
-    known = right.select(F.explode("grams").alias("gram")).distinct()
-    small = right.agg(F.sum(F.size("grams")).alias("n")).first()["n"] or 0
-    shared = (
-        left.select("ord", F.explode("grams").alias("gram"))
-        .join(F.broadcast(known) if small <= BROADCAST_GRAMS else known, "gram")
-        .groupBy("ord")
-        .agg(F.count(F.lit(1)).alias("shared"))
-    )
-    # Few records pass; only their texts are cut into shingles again.
-    passed = stash(left.select("ord", F.size("grams").alias("n")).join(shared, "ord").filter(F.col("shared") >= F.lit(threshold) * F.col("n") - 1e-9).select("ord"), "passed")
-    left = _grams(train.join(passed, "ord", "left_semi"), size, ignore)
-    # Hashing is far dearer than reading, so it is spread by rows, whatever the size in bytes.
+    hashes, among = _known_hashes(evaluation, size, ignore)
+    left, right = (X.gram_hashes(side, size, ignore).filter("n > 0") for side in (train, evaluation))
+    if among is not None:
+        left = _sharing(left, among, threshold)
+    else:
+        shared = left.select("ord", F.explode("hashes").alias("gram")).join(hashes, "gram").groupBy("ord").agg(F.count(F.lit(1)).alias("shared"))
+        left = left.join(shared, "ord").filter(F.col("shared") >= F.lit(threshold) * F.col("n") - 1e-9).drop("shared")
+    # Hashing is dearer than reading, so it is spread by rows, whatever the size in bytes.
     parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, right = left.repartition(parts, "ord"), right.repartition(parts, "ord")
-    a = left.select(F.col("ord").alias("train_ord"), F.col("id").alias("train_id"), F.col("grams").alias("x"), band_keys(F.col("grams"), permutations, bands).alias("keys"))
-    b = right.select(F.col("ord").alias("eval_ord"), F.col("id").alias("eval_id"), F.col("grams").alias("y"), band_keys(F.col("grams"), permutations, bands).alias("keys"))
-    pairs = (
-        a.select("train_ord", F.explode("keys").alias("key"))
-        .join(b.select("eval_ord", F.explode("keys").alias("key")), "key")
-        .select("train_ord", "eval_ord")
-        .distinct()
-    )
-    both = pairs.join(a.drop("keys"), "train_ord").join(b.drop("keys"), "eval_ord")
-    common = F.array_intersect("x", "y")
-    measured = both.select("train_ord", "eval_ord", "train_id", "eval_id", common.alias("common"), F.size("x").alias("nx"), F.size("y").alias("ny"))
-    value = F.size("common") / (F.col("nx") + F.col("ny") - F.size("common"))
-    return measured.withColumn("value", value).filter(F.col("value") >= threshold).select(
-        F.lit("NEAR").alias("level"), "train_ord", "eval_ord", "train_id", "eval_id", "value", F.array_min("common").alias("evidence")
+    left, right = stash(left.repartition(parts, "ord"), "left"), stash(right.repartition(parts, "ord"), "right")
+    a, b = _quick_keys(left, threshold).withColumnRenamed("ord", "train_ord"), _quick_keys(right, threshold).withColumnRenamed("ord", "eval_ord")
+    pairs = a.join(b, "key").select("train_ord", "eval_ord").distinct()
+    x, y = (side.select(F.col("ord").alias(f"{name}_ord"), F.col("n").alias(f"n_{name}"), F.col("hashes").alias(f"h_{name}")) for side, name in ((left, "train"), (right, "eval")))
+    common = F.size(F.array_intersect("h_train", "h_eval"))
+    value = F.col("common") / (F.col("n_train") + F.col("n_eval") - F.col("common"))
+    measured = pairs.join(x, "train_ord").join(y, "eval_ord").select("train_ord", "eval_ord", "n_train", "n_eval", common.alias("common")).withColumn("value", value)
+    measured = stash(measured.filter(F.col("value") >= threshold).select("train_ord", "eval_ord", "value"), "measured")
+    # Equal sets share every band. Others share one if their signatures do.
+    unequal = measured.filter("value < 1")
+    signed = []
+    for side, column in ((train, "train_ord"), (evaluation, "eval_ord")):
+        asked = unequal.select(F.col(column).alias("ord")).distinct()
+        signed.append(band_keys(side.join(asked, "ord", "left_semi").repartition(parts, "ord"), size, ignore, permutations, bands).select(F.col("ord").alias(column), F.col("keys").alias(f"keys_{column}")))
+    told = unequal.join(signed[0], "train_ord").join(signed[1], "eval_ord").filter(F.arrays_overlap("keys_train_ord", "keys_eval_ord")).select("train_ord", "eval_ord", "value")
+    kept = stash(told.unionByName(measured.filter("value >= 1")), "near")
+    grams = []
+    for side, column in ((train, "train_ord"), (evaluation, "eval_ord")):
+        asked = kept.select(F.col(column).alias("ord")).distinct()
+        texts = side.join(asked, "ord", "left_semi").select(F.col("ord").alias(column), X.words(F.col("text"), ignore).alias("w"))
+        grams.append(texts.select(column, X.shingles(F.col("w"), size).alias(f"grams_{column}")))
+    shown = kept.join(grams[0], "train_ord").join(grams[1], "eval_ord").select(
+        "train_ord", "eval_ord", "value", F.array_min(F.array_intersect("grams_train_ord", "grams_eval_ord")).alias("evidence")
     )
+    return _with_ids(shown, train, evaluation).select(F.lit("NEAR").alias("level"), "train_ord", "eval_ord", "train_id", "eval_id", "value", "evidence")
+
+
+def _sharing(sets: DataFrame, among: np.ndarray, threshold: float) -> DataFrame:
+    """Rows of (ord, n, hashes) that have threshold * n hashes or more in a sorted array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            flat, at = batch.column("hashes").flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n)])
+            place = np.minimum(np.searchsorted(among, flat), max(0, len(among) - 1))
+            upto = np.concatenate([[0], np.cumsum(among[place] == flat)]) if len(among) else np.zeros(len(flat) + 1, np.int64)
+            yield batch.filter(pa.array(upto[at[1:]] - upto[at[:-1]] >= threshold * n - 1e-9))
+
+    return sets.mapInArrow(run, sets.schema)
 
 
 def semantic_hits(train: DataFrame, evaluation: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Pairs whose embeddings (column `vector`) have a cosine of threshold or more; evidence is the beginning of both texts.
 
-    The evaluation vectors, in blocks of BLOCK_VECTORS, go to the training rows, and only hits come back.
+    All pairs are compared, as the measure asks. The evaluation vectors go to the training rows in blocks of BLOCK_BYTES and only hits come back;
+    with several blocks the hits of each are written before the next is read, so that the driver holds one.
     """
     if not -1 <= threshold <= 1:
         raise ValueError("threshold must be in [-1, 1]")
-    asked = evaluation.select("ord", "id", X.excerpt(F.col("text")).alias("text"), F.col("vector").cast("array<double>").alias("vector"))
-    left = train.select("ord", "id", X.excerpt(F.col("text")).alias("text"), F.col("vector").cast("array<double>").alias("vector"))
-    blocks = max(1, -(-asked.count() // BLOCK_VECTORS))
+    columns = ("ord", "id", X.excerpt(F.col("text")).alias("text"), F.col("vector").cast("array<double>").alias("vector"))
+    asked, left = evaluation.select(*columns), train.select(*columns)
+    size = int(asked.agg(F.sum(8 * F.size("vector") + 200).alias("b")).first()["b"] or 0)
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    if blocks > 1:
+        left = stash(left, "vectors")
     out = None
     for k in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("ord"), F.lit(blocks)) == k).orderBy("ord").collect()
-        hits = left.mapInPandas(_compare([tuple(r) for r in rows], threshold), HIT)
+        rows = asked.filter(F.pmod(F.xxhash64("ord"), F.lit(blocks)) == k).orderBy("ord").toArrow()
+        hits = left.mapInPandas(_compare(rows, threshold), HIT)
+        hits = stash(hits, "semantic") if blocks > 1 else hits
         out = hits if out is None else out.unionByName(hits)
     return out
 
@@ -159,9 +220,16 @@ def unit_rows(vectors: list) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _compare(rows: list[tuple], threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _matrix(cells: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of an Arrow column as unit rows."""
+    return unit_rows(cells.to_pylist())
+
+
+def _compare(rows: pa.Table, threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    right = _matrix(rows.column("vector"))
+    ords, ids, texts = rows.column("ord").to_numpy(), rows.column("id").to_pylist(), rows.column("text").to_pylist()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        right = unit_rows([r[3] for r in rows])
         for batch in batches:
             for lo in range(0, len(batch), 1024):
                 part = batch.iloc[lo : lo + 1024]
@@ -176,9 +244,8 @@ def _compare(rows: list[tuple], threshold: float) -> Callable[[Iterator[pd.DataF
                     continue
                 yield pd.DataFrame(
                     {
-                        "level": "SEMANTIC", "train_ord": part["ord"].to_numpy()[i], "eval_ord": [rows[k][0] for k in j], "train_id": part["id"].to_numpy()[i],
-                        "eval_id": [rows[k][1] for k in j], "value": value[i, j],
-                        "evidence": [f"{a} ↔ {rows[k][2]}" for a, k in zip(part["text"].to_numpy()[i], j, strict=True)],
+                        "level": "SEMANTIC", "train_ord": part["ord"].to_numpy()[i], "eval_ord": ords[j], "train_id": part["id"].to_numpy()[i],
+                        "eval_id": [ids[k] for k in j], "value": value[i, j], "evidence": [f"{a} ↔ {texts[k]}" for a, k in zip(part["text"].to_numpy()[i], j, strict=True)],
                     }
                 )
 
@@ -220,7 +287,7 @@ def require_unique_ids(side: DataFrame, what: str) -> int:
 
 @dataclass
 class Report:
-    """Hits in order (matcher, training record, evaluation record), record counts and the policy."""
+    """Hits in order (matcher, training record, evaluation record), record counts and the policy. Hits are a written table, found once."""
 
     hits: DataFrame
     train_records: int
@@ -251,4 +318,4 @@ def check(train: DataFrame, evaluation: DataFrame, matchers: tuple[Matcher, ...]
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         out = train.sparkSession.createDataFrame([], HIT + ", matcher int")
-    return Report(out, trains, evals, tuple(fail_on))
+    return Report(stash(out, "hits"), trains, evals, tuple(fail_on))

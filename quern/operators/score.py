@@ -33,17 +33,18 @@ class Scorer:
 def length_scorer(tokens: TokenCounter = X.approx_tokens) -> Scorer:
     """length: tokens of assistant messages; response_ratio: those for each token of the others (1 at least); turns: assistant messages.
 
-    tokens must be a native Column function; contents are counted inside an array expression.
+    tokens: a native Column function or a text.PythonCounter.
     """
 
     def total(assistant: bool) -> Column:
-        chosen = F.filter("messages", lambda m: (m["role"] == "assistant") if assistant else (m["role"] != "assistant"))
-        return F.aggregate(F.transform(chosen, lambda m: tokens(m["content"])), F.lit(0).cast("long"), lambda s, x: s + x)
+        own = F.zip_with("__counts", "messages", lambda n, m: F.when((m["role"] == "assistant") if assistant else (m["role"] != "assistant"), n).otherwise(0))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda s, n: s + n)
 
     def score(rows: DataFrame) -> DataFrame:
-        counted = rows.withColumn("length", total(True).cast("double"))
+        counts = X.array_counts(tokens, F.transform("messages", lambda m: m["content"]))
+        counted = rows.withColumn("__counts", counts).withColumn("length", total(True).cast("double"))
         ratio = F.col("length") / F.greatest(F.lit(1), total(False))
-        return counted.withColumn("response_ratio", ratio).withColumn("turns", F.size(F.filter("messages", lambda m: m["role"] == "assistant")).cast("double"))
+        return counted.withColumn("response_ratio", ratio).withColumn("turns", F.size(F.filter("messages", lambda m: m["role"] == "assistant")).cast("double")).drop("__counts")
 
     return Scorer("length", ("length", "response_ratio", "turns"), score)
 
@@ -86,68 +87,6 @@ def function_provider(mean_nll: Callable[[], Callable[[list[dict], str], float]]
     return provide
 
 
-def transformers_provider(model_name: str, revision: str | None = None, max_tokens: int = 2048) -> Provider:
-    """A causal language model of the transformers library, on CPU; loaded on first use and only if installed.
-
-    The context goes through the chat template (without context: the begin or end token); the target is tokenised by itself, and
-    what is longer than max_tokens is an error, never cut.
-    """
-
-    def load():
-        try:
-            import torch
-            from transformers import AutoModelForCausalLM, AutoTokenizer
-        except ImportError as missing:
-            raise ValueError("torch and transformers are not installed") from missing
-        coder = AutoTokenizer.from_pretrained(model_name, revision=revision)
-        model = AutoModelForCausalLM.from_pretrained(model_name, revision=revision).eval()
-        begin = coder.bos_token_id if coder.bos_token_id is not None else coder.eos_token_id
-
-        def mean_nll(prefix: list[dict], target: str) -> float:
-            head = coder.apply_chat_template(prefix, tokenize=True, add_generation_prompt=True) if prefix else [begin]
-            tail = coder(target, add_special_tokens=False)["input_ids"]
-            if not tail or len(head) + len(tail) > max_tokens:
-                raise ValueError("response is empty or longer than the context")
-            with torch.no_grad():
-                logits = model(torch.tensor([head + tail])).logits[0, len(head) - 1 : -1]
-            picked = torch.log_softmax(logits.float(), dim=-1).gather(1, torch.tensor(tail)[:, None])
-            return float(-picked.mean())
-
-        return mean_nll
-
-    return function_provider(load)
-
-
-def llama_provider(model_path: str, max_tokens: int = 2048, threads: int = 4) -> Provider:
-    """A local GGUF model by llama-cpp-python, loaded on first use and only if installed."""
-
-    def load():
-        try:
-            import llama_cpp
-            import numpy as np
-        except ImportError as missing:
-            raise ValueError("llama-cpp-python is not installed") from missing
-        model = llama_cpp.Llama(model_path, n_ctx=max_tokens, n_threads=threads, logits_all=True, verbose=False)
-        begin = model.token_bos() if model.token_bos() >= 0 else model.token_eos()
-
-        def mean_nll(prefix: list[dict], target: str) -> float:
-            text = "".join(f"<|im_start|>{m['role']}\n{m['content']}<|im_end|>\n" for m in prefix) + "<|im_start|>assistant\n" if prefix else ""
-            head = model.tokenize(text.encode(), add_bos=False, special=True) if prefix else [begin]
-            tail = model.tokenize(target.encode(), add_bos=False, special=False)
-            if not tail or len(head) + len(tail) > max_tokens:
-                raise ValueError("response is empty or longer than the context")
-            model.reset()
-            model.eval(head + tail)
-            rows = np.array(model.scores[len(head) - 1 : len(head) + len(tail) - 1], dtype=np.float64)
-            top = rows.max(axis=1, keepdims=True)
-            log_sum = (top + np.log(np.exp(rows - top).sum(axis=1, keepdims=True)))[:, 0]
-            return float(np.mean(log_sum - rows[np.arange(len(tail)), tail]))
-
-        return mean_nll
-
-    return function_provider(load)
-
-
 def nll_keys(asked: DataFrame, identity: str) -> DataFrame:
     """Add `key`: SHA-256 of the JSON of [identity, messages, target] with sorted keys."""
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import tempfile
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.match import LEVELS, Report
@@ -75,28 +76,29 @@ def write_scored_table(path: str, rows: DataFrame, decisions: DataFrame | None =
     annotated(rows, decisions).orderBy("ord").select("value").write.text(path)
 
 
-def write_decisions(path: str | Path, decisions: DataFrame) -> int:
-    """A JSON array of every input row's decision in input order."""
-    rows = [{"example_id": r["example_id"], "decision": r["decision"], "reason": r["reason"]} for r in decisions.orderBy("ord").toLocalIterator()]
-    replace_file(path, [json.dumps(rows, sort_keys=True, indent=2) + "\n"])
-    return len(rows)
-
+def json_array(rows, indent: int = 0):
+    """A JSON array of objects in pieces, laid out as dump() does, without holding more than one object; indent: spaces before the array's lines."""
+    gap, pad = "[", " " * (indent + 2)
+    for row in rows:
+        told = json.dumps(row, ensure_ascii=False, sort_keys=True, indent=2, allow_nan=False).replace("\n", "\n" + pad)
+        yield f"{gap}\n{pad}{told}"
+        gap = ","
+    yield "[]" if gap == "[" else "\n" + " " * indent + "]"
 
-def report_data(report: Report) -> dict:
-    hits = [{c: r[c] for c in ("train_id", "eval_id", "level", "value", "evidence")} for r in report.ordered().collect()]
-    return {"hits": hits, "train_records": report.train_records, "eval_records": report.eval_records, "fail_on": list(report.fail_on), "ok": not any(h["level"] in report.fail_on for h in hits)}
 
+def write_decisions(path: str | Path, decisions: DataFrame) -> int:
+    """A JSON array of every input row's decision in input order, row by row through the driver; their number."""
+    rows = decisions.orderBy("ord").select("example_id", "decision", "reason").toLocalIterator(prefetchPartitions=True)
+    written = 0
 
-def write_report(path: str | Path, report: Report) -> dict:
-    data = report_data(report)
-    replace_file(path, [dump(data)])
-    return data
-
+    def counted():
+        nonlocal written
+        for r in rows:
+            written += 1
+            yield r.asDict()
 
-def summary(data: dict) -> str:
-    """One line: verdict, record counts, hits of each level."""
-    counts = ", ".join(f"{level}={sum(h['level'] == level for h in data['hits'])}" for level in LEVELS)
-    return f"{'PASS' if data['ok'] else 'FAIL'}: train={data['train_records']}, eval={data['eval_records']}; {counts}"
+    replace_file(path, itertools.chain(json_array(counted()), ["\n"]))
+    return written
 
 
 #: Replacements inside cells of a Markdown table, in turn.
@@ -109,8 +111,53 @@ def markdown_cell(text: str) -> str:
     return text
 
 
-def markdown(data: dict) -> str:
-    rows = ["# Contamination audit", "", summary(data), "", "| Train | Evaluation | Level | Similarity | Evidence |", "| --- | --- | --- | --- | --- |"]
-    for h in data["hits"]:
-        rows.append("| " + " | ".join(markdown_cell(str(h[c])) for c in ("train_id", "eval_id", "level", "value", "evidence")) + " |")
-    return "\n".join(rows) + "\n"
+def markdown_cells(text: Column) -> Column:
+    """markdown_cell() of a column."""
+    for a, b in ESCAPES:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+#: Columns of a hit in reports.
+SHOWN = ("train_id", "eval_id", "level", "value", "evidence")
+
+
+def _hits(report: Report):
+    for r in report.ordered().select(*SHOWN).toLocalIterator(prefetchPartitions=True):
+        yield r.asDict()
+
+
+def report_totals(report: Report) -> dict:
+    """What a report says beside its hits: record counts, policy, verdict, and the number of hits of each level."""
+    return {"train_records": report.train_records, "eval_records": report.eval_records, "fail_on": list(report.fail_on), "ok": report.ok, "levels": report.counts()}
+
+
+def write_report(path: str | Path, report: Report) -> dict:
+    """The report as JSON, hit by hit through the driver; report_totals()."""
+    totals = report_totals(report)
+    told = {k: json.dumps(totals[k], indent=2).replace("\n", "\n  ") for k in ("eval_records", "fail_on", "ok", "train_records")}
+    head = f'{{\n  "eval_records": {told["eval_records"]},\n  "fail_on": {told["fail_on"]},\n  "hits": '
+    tail = f',\n  "ok": {told["ok"]},\n  "train_records": {told["train_records"]}\n}}\n'
+    replace_file(path, itertools.chain([head], json_array(_hits(report), 2), [tail]))
+    return totals
+
+
+def summary(totals: dict) -> str:
+    """One line: verdict, record counts, hits of each level."""
+    counts = ", ".join(f"{level}={totals['levels'][level]}" for level in LEVELS)
+    return f"{'PASS' if totals['ok'] else 'FAIL'}: train={totals['train_records']}, eval={totals['eval_records']}; {counts}"
+
+
+def markdown_lines(totals: dict, hits):
+    """The report as Markdown, in pieces."""
+    yield f"# Contamination audit\n\n{summary(totals)}\n\n| Train | Evaluation | Level | Similarity | Evidence |\n| --- | --- | --- | --- | --- |\n"
+    for h in hits:
+        yield "| " + " | ".join(markdown_cell(str(h[c])) for c in SHOWN) + " |\n"
+
+
+def write_markdown(path: str | Path, report: Report, totals: dict | None = None) -> None:
+    replace_file(path, markdown_lines(totals or report_totals(report), _hits(report)))
+
+
+def markdown(report: Report, totals: dict | None = None) -> str:
+    return "".join(markdown_lines(totals or report_totals(report), _hits(report)))

@@ -1,5 +1,6 @@
 import bz2
 import gzip
+import hashlib
 import json
 import lzma
 
@@ -82,8 +83,32 @@ def test_failed_write_leaves_nothing(tmp_path):
 
 
 def test_markdown_is_escaped():
-    data = {"hits": [{"train_id": "a|b", "eval_id": "<", "level": "EXACT", "value": 1.0, "evidence": "x\n`y` & z"}], "train_records": 1, "eval_records": 1, "fail_on": ["EXACT"], "ok": False}
-    assert "| a\\|b | &lt; | EXACT | 1.0 | x &#96;y&#96; &amp; z |" in writers.markdown(data)
+    hit = {"train_id": "a|b", "eval_id": "<", "level": "EXACT", "value": 1.0, "evidence": "x\n`y` & z"}
+    totals = {"train_records": 1, "eval_records": 1, "fail_on": ["EXACT"], "ok": False, "levels": {"EXACT": 1, "NEAR": 0, "SEMANTIC": 0}}
+    text = "".join(writers.markdown_lines(totals, [hit]))
+    assert "| a\\|b | &lt; | EXACT | 1.0 | x &#96;y&#96; &amp; z |" in text and "FAIL: train=1, eval=1; EXACT=1, NEAR=0, SEMANTIC=0" in text
+
+
+@pytest.mark.parametrize("rows", [[], [{"b": 1, "a": "é\n"}], [{"a": [1, {"c": None}]}, {"a": []}]])
+def test_arrays_are_laid_out_as_whole_documents(rows):
+    assert "".join(writers.json_array(iter(rows))) + "\n" == writers.dump(rows)
+    told = "".join(writers.json_array(iter(rows), 2))
+    assert '{\n  "hits": ' + told + "\n}\n" == writers.dump({"hits": rows})
+
+
+def test_report_files(spark, tmp_path):
+    from quern.operators import match
+
+    schema = "ord long, id string, text string"
+    train, evals = spark.createDataFrame([(0, "t0", "a b c d"), (1, "t1", "x")], schema), spark.createDataFrame([(0, "e0", "a b c d"), (1, "e1", "b c")], schema)
+    report = match.check(train, evals, (match.ngram_matcher(2),), ())
+    totals = writers.write_report(tmp_path / "r.json", report)
+    data = json.loads((tmp_path / "r.json").read_text())
+    assert (tmp_path / "r.json").read_text() == writers.dump(data)
+    assert data == {"hits": [{"train_id": "t0", "eval_id": e, "level": "EXACT", "value": 1.0, "evidence": g} for e, g in (("e0", "a b"), ("e1", "b c"))], "train_records": 2, "eval_records": 2, "fail_on": [], "ok": True}
+    assert writers.summary(totals) == "PASS: train=2, eval=2; EXACT=2, NEAR=0, SEMANTIC=0"
+    writers.write_markdown(tmp_path / "r.md", report, totals)
+    assert (tmp_path / "r.md").read_text() == writers.markdown(report) and (tmp_path / "r.md").read_text().count("\n") == 8
 
 
 def test_check_command(spark, tmp_path, capsys):
@@ -129,6 +154,84 @@ def test_run_command(spark, tmp_path):
     assert cli.main(["run", str(source), "-o", str(out), "--scorer", "length", "--by", "length", "--keep", "2", "--eval", str(evals)], spark) == 0
     assert sorted(p.name for p in out.iterdir()) == ["contamination.json", "manifest.json", "report.md", "scored.jsonl", "selected.jsonl"]
     assert provenance.verify_manifest(out / "manifest.json").ok
+    scored = [json.loads(x)[jsonl.ANNOTATION] for x in (out / "scored.jsonl").read_text().splitlines()]
+    assert [(n["decision"], n["reason"]) for n in scored] == [("DROP", "budget")] * 3 + [("KEEP", "selected")] * 2
+    steps = json.loads((out / "manifest.json").read_text())["steps"]
+    assert {k: steps[1][k] for k in ("in", "out", "seed", "tie_break")} == {"in": 5, "out": 2, "seed": 42, "tie_break": "input_order"}
+    assert steps[2]["matchers"] == ["ngram", "minhash"] and steps[2]["scope"] == "selected"
+    want = json.dumps([[{"role": "user", "content": f"q{i}"}] for i in range(5)], sort_keys=True)
+    assert steps[0]["prompt_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_run_without_files(spark, tmp_path):
+    """In-memory records give no manifest, no folder no files; without scorers the bundled model is asked for."""
+    from quern.operators import score, select
+    from quern.plans import pipeline
+
+    source = tmp_path / "train.jsonl"
+    source.write_text("".join(json.dumps({"instruction": f"q{i}", "output": "word " * (i + 1)}) + "\n" for i in range(4)))
+    evals = tmp_path / "e.jsonl"
+    evals.write_text(json.dumps({"instruction": "q3", "output": "word word"}) + "\n")
+    before = sorted(p.name for p in tmp_path.iterdir())
+    lengths, longest = (score.length_scorer(),), select.top_k_selector("length")
+    got = pipeline.run(spark, tmp_path, evaluation=[evals], scorers=lengths, selector=longest, keep=0.5)
+    assert got.manifest is None and got.selected.count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == before
+    rows = jsonl.read_jsonl(spark, str(source))
+    assert pipeline.run(spark, rows, tmp_path / "mem", scorers=lengths, selector=longest).manifest is None
+    assert sorted(p.name for p in (tmp_path / "mem").iterdir()) == ["contamination.json", "report.md", "scored.jsonl", "selected.jsonl"]
+    two = pipeline.run(spark, source, tmp_path / "two", evaluation=[evals, rows], scorers=lengths, selector=longest)
+    assert two.report.eval_records == 5 and two.manifest is None
+    with pytest.raises(ValueError, match="bundled model"):
+        pipeline.run(spark, source, tmp_path / "none")
+    with pytest.raises(ValueError, match="would be overwritten"):
+        pipeline.run(spark, tmp_path / "two" / "scored.jsonl", tmp_path / "two", scorers=lengths, selector=longest)
+
+
+def test_several_inputs(spark, tmp_path):
+    """Training files follow one another, and so do evaluation files; ids tell them apart."""
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    for name, text in (("a", "other"), ("b", words), ("v", "none"), ("w", words)):
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps({"messages": [{"role": "user", "content": text}]}) + "\n")
+    a, b, v, w = (str(tmp_path / f"{n}.jsonl") for n in "abvw")
+    assert cli.main(["check", a, b, "--eval", v, "--eval", w, "-o", str(tmp_path / "out"), "--fail-on"], spark) == 0
+    data = json.loads((tmp_path / "out" / "contamination.json").read_text())
+    assert (data["train_records"], data["eval_records"]) == (2, 2) and {(h["train_id"], h["eval_id"]) for h in data["hits"]} == {(f"{b}:1", f"{w}:1")}
+    assert cli.main(["check", a, a, "--eval", v, "-o", str(tmp_path / "out")], spark) == 2
+
+
+def test_parent_manifests(spark, tmp_path):
+    source, evals = tmp_path / "train.jsonl", tmp_path / "e.jsonl"
+    source.write_text(json.dumps(GOOD[0]) + "\n")
+    evals.write_text(json.dumps(GOOD[1]) + "\n")
+    (tmp_path / "manifest.json").write_text('{"other_version": "0.1"}')
+    assert cli.main(["check", str(source), "--eval", str(evals), "-o", str(tmp_path / "out"), "--fail-on"], spark) == 0
+    assert json.loads((tmp_path / "out" / "manifest.json").read_text())["parent"]["path"] == str(tmp_path / "manifest.json")
+    (tmp_path / "manifest.json").write_text("{}  ")
+    told = provenance.verify_manifest(tmp_path / "out" / "manifest.json")
+    assert not told.ok and told.errors == (f"hash mismatch: {tmp_path / 'manifest.json'}",)
+    (tmp_path / "manifest.json").unlink()
+    assert provenance.verify_manifest(tmp_path / "out" / "manifest.json").errors == (f"unreadable: {tmp_path / 'manifest.json'}",)
+    assert "FAIL" in provenance.explain_manifest(tmp_path / "out" / "manifest.json")
+    (tmp_path / "manifest.json").write_text("[]")
+    assert cli.main(["check", str(source), "--eval", str(evals), "-o", str(tmp_path / "out2")], spark) == 2
+
+
+def test_relative_paths_of_a_manifest(tmp_path):
+    (tmp_path / "x").write_text("x")
+    entry = {"path": "x", "sha256": provenance.file_sha256(tmp_path / "x")}
+    path = tmp_path / "m.json"
+    path.write_text(json.dumps({"inputs": [entry], "eval_sets": [], "outputs": [], "path_base": "manifest"}))
+    assert provenance.verify_manifest(path).ok
+    for broken in ({"inputs": [], "outputs": []}, {"inputs": [{"path": "x"}], "eval_sets": [], "outputs": []}):
+        path.write_text(json.dumps(broken))
+        with pytest.raises(ValueError):
+            provenance.verify_manifest(path)
+
+
+def test_digests_by_executors(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"abc" * 1000)
+    got = provenance.digests(spark, [f"file://{tmp_path}/a.bin"]).first()
+    assert got["sha256"] == provenance.file_sha256(tmp_path / "a.bin")
 
 
 def test_malformed_manifest(tmp_path):
