@@ -10,8 +10,10 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.plans.storage import global_rank
+from quern.plans.storage import global_rank, stash
 
+#: Arms that the selected one is held against.
+BASELINES = ("random", "full")
 #: 0.975 quantile of the normal distribution.
 Z95 = 1.959963984540054
 
@@ -38,28 +40,29 @@ def prompt_means(judgments: DataFrame) -> DataFrame:
 
 def validate_judgments(judgments: DataFrame) -> None:
     """An error unless there is one baseline, judge and policy, (id, seed) is unique, winners are known and every prompt has every seed."""
+    known = F.coalesce(F.col("winner").isin("selected", "tie") | (F.col("winner") == F.col("baseline")), F.lit(False))
     told = judgments.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("id", F.col("seed")).alias("pairs"),
         F.count_distinct("id").alias("ids"),
         F.count_distinct("seed").alias("seeds"),
-        F.collect_set("baseline").alias("baselines"),
+        F.min("baseline").alias("baseline"),
+        F.count_distinct(F.coalesce("baseline", F.lit(""))).alias("baselines"),
         F.count_distinct(F.coalesce("judge_sha256", F.lit(""))).alias("judges"),
         F.count_distinct(F.coalesce("order_policy", F.lit("strict"))).alias("policies"),
-        F.count_if(~F.coalesce(F.col("winner").isin("selected", "tie") | (F.col("winner") == F.col("baseline")), F.lit(False))).alias("bad"),
+        F.count_if(~known).alias("bad"),
     ).first()
-    if not told["n"]:
-        raise ValueError("no judgments")
-    if len(told["baselines"]) != 1 or told["baselines"][0] not in ("random", "full") or told["judges"] != 1:
-        raise ValueError("aggregate one baseline and one judge at a time")
-    if told["policies"] != 1:
-        raise ValueError("aggregate one order policy at a time")
-    if told["pairs"] != told["n"]:
-        raise ValueError("duplicate prompt/seed")
-    if told["bad"]:
-        raise ValueError("invalid winner")
-    if told["n"] != told["ids"] * told["seeds"]:
-        raise ValueError("all prompts must have all seeds")
+    rules = (
+        (told["n"] > 0, "there are no judgments"),
+        (told["baselines"] == 1 and told["baseline"] in BASELINES, f"judgments need one baseline of {' or '.join(BASELINES)}"),
+        (told["judges"] == 1, "judgments are of several judges"),
+        (told["policies"] == 1, "judgments follow several order policies"),
+        (told["pairs"] == told["n"], "a prompt is judged twice with one seed"),
+        (told["bad"] == 0, "a winner is none of the two sides and no tie"),
+        (told["n"] == told["ids"] * told["seeds"], "a prompt lacks a seed that others have"),
+    )
+    if broken := [why for holds, why in rules if not holds]:
+        raise ValueError(broken[0])
 
 
 def preference(judgments: DataFrame) -> DataFrame:
@@ -91,6 +94,33 @@ def bootstrap_interval(judgments: DataFrame, samples: int = 10_000, seed: int =
     return lower, upper, lower > 0.5
 
 
+def hashed_draw(*parts: Column) -> Column:
+    """A number below 2**28 from an MD5 of parts joined by colons, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)).cast("binary")), 1, 7), 16, 10).cast("long")
+
+
+def bootstrap_by_hash(judgments: DataFrame, samples: int = 10_000, seed: int = 42) -> DataFrame:
+    """bootstrap_interval() with draws by hashed_draw(seed, sample, draw), as one row (lower, upper, criterion_met); the samples are drawn by the executors.
+
+    Prompts are numbered by their ids as text; draw j of a sample takes the prompt with the number of its draw modulo the prompts.
+    """
+    if samples < 100:
+        raise ValueError("at least 100 bootstrap samples required")
+    spark = judgments.sparkSession
+    means = stash(global_rank(prompt_means(judgments).select(F.col("id").cast("string").alias("id"), "mean"), F.asc("id")), "means")
+    n = means.count()
+    if not n:
+        raise ValueError("no judgments")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    draws = spark.range(samples, numPartitions=parts).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+    taken = draws.select("sample", (F.pmod(hashed_draw(F.lit(seed), F.col("sample"), F.col("draw")), F.lit(n)) + 1).alias("rank"))
+    drawn = taken.join(means.select("rank", "mean"), "rank").groupBy("sample").agg((F.sum("mean") / n).alias("value"))
+    ends = {"lower": int(0.025 * samples), "upper": min(samples - 1, int(0.975 * samples))}
+    ranked = global_rank(drawn, F.asc("value"), F.asc("sample")).filter(F.col("rank").isin(*(k + 1 for k in ends.values())))
+    cells = ranked.agg(*(F.max(F.when(F.col("rank") == k + 1, F.col("value"))).alias(name) for name, k in ends.items()))
+    return cells.withColumn("criterion_met", F.col("lower") > 0.5)
+
+
 def aggregate_judgments(judgments: DataFrame, samples: int = 10_000) -> dict:
     """preference() and bootstrap_interval() of validated judgments."""
     validate_judgments(judgments)
@@ -117,9 +147,14 @@ def wilson(judgments: DataFrame) -> DataFrame:
     )
 
 
+def _placed(values: DataFrame, column: str, *more: str) -> DataFrame:
+    """(value, place, more...): place parts equal values, so that a value that many rows have is sorted in many tasks."""
+    return values.select(F.col(column).cast("double").alias("value"), F.monotonically_increasing_id().alias("place"), *more)
+
+
 def lower_quantiles(values: DataFrame, column: str, fractions: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """(fraction, value): the element at floor(p * (n-1)) of the sorted values."""
-    ranked = global_rank(values.select(F.col(column).cast("double").alias("value")).filter("value IS NOT NULL"), F.asc("value"))
+    ranked = global_rank(_placed(values, column).filter("value IS NOT NULL"), F.asc("value"), F.asc("place"))
     n = ranked.count()
     want = F.explode(F.array(*[F.struct(F.lit(p).alias("fraction"), F.lit(int(p * (n - 1)) + 1).alias("rank")) for p in fractions])).alias("w")
     spark = values.sparkSession
@@ -129,9 +164,9 @@ def lower_quantiles(values: DataFrame, column: str, fractions: tuple[float, ...]
 
 def selection_curve(values: DataFrame, column: str, fractions: tuple[float, ...] = (0.1, 0.2, 0.4, 0.6, 0.8, 1.0), most: float = 1.0) -> DataFrame:
     """(fraction, count, mean) of the best int(n * p) values that don't exceed most; n counts all values."""
-    rows = values.select(F.col(column).cast("double").alias("value")).filter("value IS NOT NULL")
+    rows = _placed(values, column).filter("value IS NOT NULL")
     n = rows.count()
-    ranked = global_rank(rows.filter(F.col("value") <= most), F.desc("value"))
+    ranked = global_rank(rows.filter(F.col("value") <= most), F.desc("value"), F.asc("place"))
     cells = [F.struct(F.lit(p).alias("fraction"), F.lit(int(n * p)).alias("most")) for p in fractions]
     each = ranked.select("value", "rank", F.explode(F.array(*cells)).alias("c")).filter(F.col("rank") <= F.col("c.most"))
     got = each.groupBy(F.col("c.fraction").alias("fraction")).agg(F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"))
@@ -141,9 +176,11 @@ def selection_curve(values: DataFrame, column: str, fractions: tuple[float, ...]
 
 def average_ranks(values: DataFrame, column: str, key: str) -> DataFrame:
     """(key, value, avg_rank): ties share the mean of their ranks."""
-    ranked = global_rank(values.select(key, F.col(column).cast("double").alias("value")), F.asc("value"))
-    ties = ranked.groupBy("value").agg(F.avg("rank").alias("avg_rank"))
-    return ranked.select(key, "value").join(ties, "value").select(key, "value", "avg_rank")
+    ranked = global_rank(_placed(values, column, key), F.asc("value"), F.asc("place"))
+    # Dealt out by two columns the join shuffles both sides anew, and Spark can split a value that many rows have.
+    again = F.xxhash64("value").alias("again")
+    ties = ranked.groupBy("value").agg(F.avg("rank").alias("avg_rank")).withColumn("again", again)
+    return ranked.select(key, "value", again).join(ties, ["value", "again"]).select(key, "value", "avg_rank")
 
 
 def spearman(values: DataFrame, left: str, right: str, key: str) -> DataFrame:
@@ -184,7 +221,13 @@ def sample_positions(size: int, count: int, seed: int = 42) -> list[int]:
     return sorted(random.Random(seed).sample(range(size), min(count, size)))
 
 
+def sample_by_hash(rows: DataFrame, count: int, seed: int = 42) -> DataFrame:
+    """A sample without replacement, drawn by the executors: the rows with the smallest hashed_draw(seed, ord), ties by ord."""
+    drawn = rows.withColumn("__draw", hashed_draw(F.lit(seed), F.col("ord")))
+    return drawn.orderBy("__draw", "ord").limit(count).drop("__draw")
+
+
 def nested_budgets(rows: DataFrame, budgets: tuple[int, ...], seed: int = 42) -> DataFrame:
-    """(ord, budget): arms of one random order, each the head of the next; the order is by a seeded hash of ord."""
-    ranked = global_rank(rows.select("ord").withColumn("draw", F.xxhash64(F.lit(seed), "ord")), F.asc("draw"), F.asc("ord"))
+    """(ord, budget): arms of one random order, each the head of the next; the order is by hashed_draw(seed, ord), ties by ord."""
+    ranked = global_rank(rows.select("ord").withColumn("draw", hashed_draw(F.lit(seed), F.col("ord"))), F.asc("draw"), F.asc("ord"))
     return ranked.select("ord", "rank", F.explode(F.array(*[F.lit(b) for b in budgets])).alias("budget")).filter(F.col("rank") <= F.col("budget")).select("ord", "budget")

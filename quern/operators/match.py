@@ -277,12 +277,16 @@ def embedding_matcher(embed: Callable[[DataFrame], DataFrame], threshold: float
     return Matcher("embedding", lambda t, e: semantic_hits(embed(t), embed(e), threshold), {"semantic_threshold": threshold})
 
 
-def require_unique_ids(side: DataFrame, what: str) -> int:
-    """The number of rows; an error if an id repeats."""
-    twice = side.groupBy("id").count().filter("count > 1").orderBy("id").limit(1).collect()
-    if twice:
-        raise ValueError(f"duplicate {what} id: {twice[0]['id']}")
-    return side.count()
+def repeated_ids(rows: DataFrame) -> DataFrame:
+    """(id, n) of ids that stand more than once."""
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def require_unique_ids(rows: DataFrame, what: str) -> None:
+    """An error if an id repeats."""
+    if twice := repeated_ids(rows).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).first():
+        if twice["n"]:
+            raise ValueError(f"duplicate {what} id: {twice['id']}")
 
 
 @dataclass
@@ -310,8 +314,9 @@ def check(train: DataFrame, evaluation: DataFrame, matchers: tuple[Matcher, ...]
     """Run matchers over two sides (ord, id, text). Ids must be unique on each side, but the sides may share them."""
     if any(level not in LEVELS for level in fail_on):
         raise ValueError("unknown level in fail_on")
-    evals = require_unique_ids(evaluation, "evaluation")
-    trains = require_unique_ids(train, "training")
+    require_unique_ids(evaluation, "evaluation")
+    require_unique_ids(train, "training")
+    trains, evals = train.count(), evaluation.count()
     out = None
     for k, matcher in enumerate(matchers if matchers is not None else (ngram_matcher(), minhash_matcher())):
         hits = matcher.hits(train, evaluation).withColumn("matcher", F.lit(k))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
+from quern.operators.match import require_unique_ids
 
 TokenCounter = Callable[[Column], Column]
 #: (rows with prefix array<struct<role,content>> and target string) -> the same with `nll`.
@@ -154,9 +155,7 @@ def score_rows(rows: DataFrame, scorers: tuple[Scorer, ...]) -> DataFrame:
     names = [n for s in scorers for n in s.names]
     if len(set(names)) != len(names):
         raise ValueError("duplicate score name")
-    twice = rows.groupBy("id").count().filter("count > 1").orderBy("id").limit(1).collect()
-    if twice:
-        raise ValueError(f"duplicate example id: {twice[0]['id']}")
+    require_unique_ids(rows, "example")
     out = rows.drop("scores", "flags").withColumn("__flags", F.array().cast("array<string>"))
     for s in scorers:
         out = s.score(out)

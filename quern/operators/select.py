@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.match import unit_rows
+from quern.operators.match import require_unique_ids, unit_rows
 from quern.plans.storage import global_rank, stash
 
 #: Vectors in one block of the similarity self-join.
@@ -147,23 +147,33 @@ def _similar(ranked: DataFrame, threshold: float, vectors: int) -> DataFrame:
 def _greedy(edges: DataFrame, ranked: DataFrame) -> DataFrame:
     """(rank, keep) of the walk in rank order that drops whatever is similar to a kept one.
 
-    A rank is kept when all better ranks similar to it are dropped, and dropped when one is kept; rounds go on until all
-    are decided, and each writes a table.
+    A rank is kept when all better ranks similar to it are dropped, and dropped when one is kept. A round decides what follows from the ranks
+    decided before it and from better ranks of the same block, so chains inside a block take one round; each round writes a table, and leaves only
+    edges to ranks that are still open.
     """
     state = stash(ranked.select("rank", F.lit(None).cast("boolean").alias("keep")), "state")
     edges = stash(edges, "similar")
+
+    def walk(key, part: pd.DataFrame) -> pd.DataFrame:
+        known = dict(zip(part["a"], part["a_keep"], strict=True))
+        told: dict[int, bool | None] = {}
+        for b, own in part.sort_values("b", kind="stable").groupby("b", sort=True)["a"]:
+            better = [told.get(a, known[a]) if a in told else known[a] for a in own]
+            told[b] = False if any(x is True for x in better) else None if any(x is None for x in better) else True
+        done = [(b, k) for b, k in told.items() if k is not None]
+        return pd.DataFrame({"rank": [b for b, _ in done], "now": [k for _, k in done]}).astype({"rank": "int64", "now": "bool"})
+
+    # What no better rank is similar to is kept.
+    alone = state.join(edges.select(F.col("b").alias("rank")).distinct(), "rank", "left_anti").select("rank", F.lit(True).alias("now"))
+    now = alone
     while True:
-        better = edges.join(state.select(F.col("rank").alias("a"), F.col("keep").alias("a_keep")), "a")
-        seen = better.groupBy("b").agg(F.max(F.coalesce("a_keep", F.lit(False))).alias("any_kept"), F.min(F.col("a_keep").isNotNull()).alias("all_known"))
-        state = stash(
-            state.join(seen.withColumnRenamed("b", "rank"), "rank", "left").select(
-                "rank",
-                F.coalesce("keep", F.when(F.col("any_kept"), False).when(F.coalesce("all_known", F.lit(True)), True)).alias("keep"),
-            ),
-            "state",
-        )
+        state = stash(state.join(now, "rank", "left").select("rank", F.coalesce("keep", "now").alias("keep")), "state", drop=(state,))
         if state.filter("keep IS NULL").isEmpty():
             return state
+        still = state.filter("keep IS NULL").select(F.col("rank").alias("b"))
+        edges = stash(edges.join(still, "b", "left_semi"), "similar", drop=(edges,))
+        better = edges.join(state.select(F.col("rank").alias("a"), F.col("keep").alias("a_keep")), "a").withColumn("block", F.floor((F.col("b") - 1) / BLOCK))
+        now = better.groupBy("block").applyInPandas(walk, "rank long, now boolean")
 
 
 def diverse_greedy(
@@ -221,7 +231,5 @@ def diverse_selector(embed, by: str = "ifd", threshold: float = 0.9, exclude_abo
 
 def select_rows(rows: DataFrame, selector: Selector, keep: int | float) -> DataFrame:
     """Decisions of a selector; an error if an id repeats."""
-    twice = rows.groupBy("id").count().filter("count > 1").orderBy("id").limit(1).collect()
-    if twice:
-        raise ValueError(f"duplicate example id: {twice[0]['id']}")
+    require_unique_ids(rows, "example")
     return selector.select(rows, Budget(keep))
