@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.operators import embed, judge, match, score, select
-from quern.plans import storage
+from quern.plans import provenance, storage
 from quern.sources import jsonl, writers
 from quern.streaming import scoring
 
@@ -85,12 +86,16 @@ def approx_token_count_unicode(spark, d):
 
 
 def shingle_set_size(spark, d):
+    return X.gram_hashes(side(spark, d, "documents"), 5).select(F.col("ord").alias("doc_id"), F.col("n").alias("n_shingles"))
+
+
+def smallest_shingle(spark, d):
     w = side(spark, d, "documents").select(F.col("ord").alias("doc_id"), X.words(F.col("text")).alias("w"))
-    return w.select("doc_id", F.size(X.shingles(F.col("w"), 5)).cast("long").alias("n_shingles"))
+    return w.select("doc_id", F.array_min(X.shingles(F.col("w"), 5)).alias("shingle"))
 
 
 def word_bins(spark, d):
-    return embed.term_bins(side(spark, d, "benchmark")).select("word", "bin").distinct()
+    return embed.term_bins(side(spark, d, "documents")).select("word", "bin").distinct()
 
 
 def exact_hits_13(spark, d):
@@ -131,7 +136,33 @@ def report_summary(spark, d):
 
 
 def duplicate_ids(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return match.repeated_ids(table(spark, d, "conversations").select(F.col("conv_id").alias("id"))).select(F.col("id").alias("conv_id"), "n")
+
+
+def duplicate_ids_refused(spark, d):
+    """Which checks refuse a table that repeats an id, and score names that clash."""
+    rows = side(spark, d, "benchmark")
+    twice, chat = rows.union(rows), chats(spark, d)
+    attempts = {
+        "evaluation": lambda: match.check(rows, twice, ()), "training": lambda: match.check(twice, rows, ()), "score": lambda: score.score_rows(chat.union(chat), (score.length_scorer(),)),
+        "score_name": lambda: score.score_rows(chat, (score.length_scorer(), score.length_scorer())), "select": lambda: select.select_rows(twice.withColumn("scores", F.create_map(F.lit("n"), F.lit(1.0))), select.top_k_selector("n"), 1),
+        "none": lambda: match.check(rows, rows, ()),
+    }
+    return spark.createDataFrame([(name, refused(attempt)) for name, attempt in attempts.items()], "check string, refused boolean")
+
+
+def refused(attempt) -> bool:
+    try:
+        attempt()
+    except ValueError:
+        return True
+    return False
+
+
+def keep_values(spark, d):
+    """How --keep is read."""
+    told = [(t, type(k).__name__, float(k)) for t in ("1", "1.0", "1e-1", "0", "0.2", "250") for k in [select.parse_keep(t)]]
+    return spark.createDataFrame(told, "text string, kind string, value double")
 
 
 def length_scores(spark, d):
@@ -163,7 +194,7 @@ def nll_cache_misses(spark, d):
 
 def nll_cache_reuse(spark, d):
     """Scores through a cache on a second pass, all of which it has."""
-    path = f"{storage.shared_dir(spark)}/quern-nll-{storage.uuid.uuid4().hex}"
+    path = new_folder(spark, "nll")
     provider = score.cached_provider(counting_provider, path, "sizes")
     score.score_rows(answered(spark, d), (score.ifd_scorer(provider),))
     again = score.cached_provider(lambda asked: asked.withColumn("nll", F.raise_error(F.lit("not in the cache")).cast("double")), path, "sizes")
@@ -215,18 +246,20 @@ def diverse_tfidf(spark, d):
 
 
 def tfidf_df(spark, d):
-    return embed.bin_frequencies(embed.term_bins(side(spark, d, "documents")))
+    return embed.bin_frequencies(side(spark, d, "documents"))
 
 
 def tfidf_vectors(spark, d):
-    rows = embed.hashed_tfidf()(side(spark, d, "benchmark"))
+    rows = embed.hashed_tfidf()(side(spark, d, "documents"))
     cells = rows.select("id", F.posexplode("vector").alias("bin", "x")).filter("x <> 0")
     return cells.select("id", "bin", F.round("x", 6).alias("x"))
 
 
 def tfidf_cosine(spark, d):
-    rows = embed.hashed_tfidf()(side(spark, d, "benchmark"))
-    return match.semantic_hits(rows, rows, 0.15).select("train_id", "eval_id", F.round("value", 5).alias("value"))
+    """Documents against benchmark items, by weights fitted on the documents."""
+    docs = side(spark, d, "documents")
+    told = match.embedding_matcher(embed.hashed_tfidf(fit_on=docs), 0.4).hits(docs, side(spark, d, "benchmark"))
+    return told.select("train_id", "eval_id", F.round("value", 5).alias("value"))
 
 
 def cosine_pairs(spark, d):
@@ -236,11 +269,17 @@ def cosine_pairs(spark, d):
 
 
 def union_eval_sets(spark, d):
-    return side(spark, d, "documents").select("id", "text").union(side(spark, d, "benchmark").select("id", "text")).select("id", F.length("text").cast("long").alias("size"))
+    """Two evaluation sets one after another."""
+    from quern.plans import pipeline
+
+    rows, _ = pipeline.evaluation_records(spark, [side(spark, d, "documents"), side(spark, d, "benchmark")])
+    return rows.select("id", (F.col("ord") >= 1 << 50).cast("long").alias("set"), F.length("text").cast("long").alias("size"))
 
 
 def set_difference_eval(spark, d):
-    return table(spark, d, "documents").select("doc_id").exceptAll(table(spark, d, "labels").select("doc_id"))
+    """Documents without a label."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    return judge.not_judged(rows, table(spark, d, "labels").select(F.col("doc_id").alias("id"))).select(F.col("id").alias("doc_id"))
 
 
 def combined(spark, d, policy):
@@ -293,7 +332,24 @@ def average_ranks(spark, d):
 
 def nested_budgets(spark, d):
     got = judge.nested_budgets(table(spark, d, "documents").select(F.col("doc_id").alias("ord")), (10, 50, 100))
-    return got.groupBy("budget").agg(F.count(F.lit(1)).alias("n"))
+    return got.select(F.col("ord").alias("doc_id"), F.col("budget").cast("long").alias("budget"))
+
+
+def bootstrap_by_hash(spark, d):
+    """10,000 resamples, drawn by the executors."""
+    return judge.bootstrap_by_hash(judgments(spark, d)).withColumns({c: F.round(c, 9) for c in ("lower", "upper")})
+
+
+def sample_by_hash(spark, d):
+    """A sampling operator: 25 rows by hash."""
+    return judge.sample_by_hash(table(spark, d, "documents").select(F.col("doc_id").alias("ord")), 25).select(F.col("ord").alias("doc_id"))
+
+
+def index_join(spark, d):
+    """Scores that name their rows by place: each third document, by its place in the order of ids."""
+    rows = storage.global_rank(table(spark, d, "documents").select("doc_id"), F.asc("doc_id")).select((F.col("rank") - 1).alias("ord"), "doc_id")
+    picks = spark.range(rows.count()).filter("id % 3 = 1").select(F.col("id").alias("index"))
+    return judge.rows_at(rows, picks).select(F.col("ord").alias("place"), "doc_id")
 
 
 def random_sample(spark, d):
@@ -322,7 +378,17 @@ def not_judged(spark, d):
 
 
 def new_folder(spark, name: str) -> str:
-    return f"{storage.shared_dir(spark)}/quern-{name}-{storage.uuid.uuid4().hex}"
+    return storage.new_dir(spark, name)
+
+
+def local_folder(spark, name: str) -> Path:
+    """A folder that the driver writes by itself and executors can read: the shared one has to be mounted as a file system."""
+    path = storage.new_dir(spark, name)
+    if not path.startswith("file:") and "://" in path:
+        raise ValueError("files of the driver need a shared folder that is mounted")
+    folder = Path(path.removeprefix("file://").removeprefix("file:"))
+    folder.mkdir(parents=True)
+    return folder
 
 
 def format_detection(spark, d):
@@ -337,6 +403,21 @@ def format_detection(spark, d):
     return read.select("id", "format", F.size("p.messages").cast("long").alias("n_messages"), X.message_text(F.col("p.messages")).alias("text"), F.transform("p.messages", lambda m: m["role"]).alias("roles")).withColumn("roles", F.array_join("roles", ","))
 
 
+def rejected_records(spark, d):
+    """Conversations with one thing wrong each, and whether the parser refuses them."""
+    c = chats(spark, d)
+    first = F.element_at("messages", 1)["content"]
+    turns = lambda what: F.to_json(F.struct(F.array(what).alias("messages")))
+    wrong = {
+        "good": F.to_json(F.struct("messages")), "no_format": F.to_json(F.struct(first.alias("text"))), "number": turns(F.struct(F.lit("user").alias("role"), F.col("ord").alias("content"))),
+        "role": turns(F.struct(F.lit("other").alias("role"), first.alias("content"))), "list": turns(F.struct(F.lit("user").alias("role"), F.array(first).alias("content"))), "empty": F.lit('{"messages": []}'),
+        "strings": F.to_json(F.struct(F.array(first).alias("messages"))), "instruction": F.to_json(F.struct(F.col("ord").alias("instruction"), first.alias("output"))), "array": F.to_json(F.array(first)),
+        "null_input": F.concat(F.lit('{"instruction": "a", "input": null, "output": '), F.to_json(F.array(first)), F.lit("}")), "broken": F.concat(F.lit("{"), first),
+    }
+    rows = c.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("case"), v.alias("line")) for k, v in wrong.items()))).alias("r"))
+    return rows.select("id", "r.case", jsonl.parse(F.col("r.line"))["error"].isNotNull().alias("refused"))
+
+
 def jsonl_roundtrip(spark, d):
     """Conversations written as JSON Lines and read again."""
     path = new_folder(spark, "jsonl")
@@ -345,6 +426,78 @@ def jsonl_roundtrip(spark, d):
     return got.select(F.col("metadata")["conv_id"].alias("conv_id"), F.size("messages").cast("long").alias("n_messages"), "text")
 
 
+def multi_file_scan(spark, d):
+    """Conversations in two compressed files and a plain one, read one after another; the place tells file and line, blank lines count."""
+    paths = []
+    for k, codec in enumerate(("gzip", "bzip2", "none")):
+        paths.append(new_folder(spark, f"part{k}"))
+        rows = chats(spark, d).filter(F.pmod("ord", F.lit(3)) == k).orderBy("ord")
+        lines = F.concat(F.lit("\n"), F.to_json(F.struct(F.col("ord").alias("conv_id"), "messages")))
+        rows.coalesce(1).select(lines.alias("value")).write.option("compression", codec).text(paths[-1])
+    got = jsonl.read_jsonl(spark, paths)
+    return got.select(F.col("metadata")["conv_id"].alias("conv_id"), F.floor(F.col("ord") / jsonl.FILE_STEP).alias("file"), F.pmod("ord", F.lit(jsonl.FILE_STEP)).alias("line"))
+
+
+def json_array(spark, d):
+    """Conversations as one JSON array; a record's place in it is its id."""
+    path = new_folder(spark, "array")
+    rows = chats(spark, d).orderBy("ord").select(F.to_json(F.struct(F.col("ord").alias("conv_id"), "messages")).alias("j"))
+    whole = rows.agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
+    whole.coalesce(1).write.text(path)
+    got = jsonl.read_json_array(spark, path)
+    return got.select("id", F.col("metadata")["conv_id"].alias("conv_id"), F.size("messages").cast("long").alias("n_messages"))
+
+
+def folder_source(spark, d):
+    """A folder stands for its train.jsonl."""
+    from quern.plans import pipeline
+
+    folder = local_folder(spark, "folder")
+    writers.replace_file(folder / "train.jsonl", (r["value"] + "\n" for r in chats(spark, d).select(F.to_json(F.struct(F.col("ord").alias("conv_id"), "messages")).alias("value")).toLocalIterator()))
+    return pipeline.records(spark, folder).select(F.col("metadata")["conv_id"].alias("conv_id"), F.size("messages").cast("long").alias("n_messages"))
+
+
+def decisions_file(spark, d):
+    """Decisions of all rows as a file, read again."""
+    folder = local_folder(spark, "decisions")
+    rows = storage.stash(score.score_rows(chats(spark, d), (score.length_scorer(),)), "rows")
+    writers.write_decisions(folder / "decisions.json", select.top_k(rows, select.Budget(0.3), "length"))
+    return spark.createDataFrame(json.loads((folder / "decisions.json").read_text(encoding="utf-8")), "decision string, example_id string, reason string")
+
+
+def report_file(spark, d):
+    """The report of a check as a file, read again."""
+    folder = local_folder(spark, "report")
+    writers.write_report(folder / "report.json", match.check(side(spark, d, "documents"), side(spark, d, "benchmark"), (match.ngram_matcher(8),)))
+    told = json.loads((folder / "report.json").read_text(encoding="utf-8"))
+    rows = [(h["train_id"], h["eval_id"], h["level"], h["value"], h["evidence"], told["train_records"], told["eval_records"], told["ok"]) for h in told["hits"]]
+    return spark.createDataFrame(rows, "train_id string, eval_id string, level string, value double, evidence string, train_records long, eval_records long, ok boolean")
+
+
+def scored_file_of_run(spark, d):
+    """What a run over files writes: decisions in the scored file, and a manifest that holds and then doesn't."""
+    from quern.plans import pipeline
+
+    folder = local_folder(spark, "run")
+    writers.replace_file(folder / "train.jsonl", (r["value"] + "\n" for r in chats(spark, d).select(F.to_json(F.struct(F.col("ord").alias("conv_id"), "messages")).alias("value")).toLocalIterator()))
+    pipeline.run(spark, folder, folder / "out", scorers=(score.length_scorer(),), selector=select.top_k_selector("length"), keep=50)
+    rows = [json.loads(line) for line in (folder / "out" / "scored.jsonl").read_text(encoding="utf-8").splitlines()]
+    notes = [(str(r["conv_id"]), r[jsonl.ANNOTATION]["scores"]["length"], r[jsonl.ANNOTATION]["decision"] == "KEEP") for r in rows]
+    held = provenance.verify_manifest(folder / "out" / "manifest.json")
+    with open(folder / "out" / "report.md", "a") as f:
+        f.write("x")
+    broken = provenance.verify_manifest(folder / "out" / "manifest.json")
+    marks = [("manifest", float(held.checked), held.ok), ("manifest after a change", float(len(broken.errors)), broken.ok)]
+    return spark.createDataFrame(notes + marks, "conv_id string, length double, kept boolean")
+
+
+def file_digests(spark, d):
+    """SHA-256 of a file for each nation, hashed by the executors."""
+    path = new_folder(spark, "files")
+    table(spark, d, "nation").select(F.col("n_name").alias("value")).coalesce(1).write.option("maxRecordsPerFile", 1).text(path)
+    return provenance.digests(spark, [path]).select("sha256")
+
+
 def scored_roundtrip(spark, d):
     """Scored conversations with decisions, written and read again."""
     path = new_folder(spark, "scored")
@@ -375,10 +528,7 @@ def run_pipeline(spark, d):
 
 def markdown_cells(spark, d):
     """Page titles as cells of a Markdown table, by the report's replacements."""
-    cell = F.col("url")
-    for a, b in writers.ESCAPES:
-        cell = F.replace(cell, F.lit(a), F.lit(b))
-    return table(spark, d, "pages").select("page_id", cell.alias("cell"))
+    return table(spark, d, "pages").select("page_id", writers.markdown_cells(F.col("url")).alias("cell"))
 
 
 FOLD = "regexp_extract_all(replace(lower(nfc_normalize(coalesce(text, ''))), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')"
@@ -445,9 +595,16 @@ def _terms(name: str, key: str) -> str:
     return f"(SELECT id, word, count(*) AS tf, {_BIN.format('word')} AS bin FROM (SELECT id, unnest(w) AS word FROM {_words(name, key)}) GROUP BY 1, 2)"
 
 
-_TFIDF = f"""t AS MATERIALIZED {_terms("benchmark", "item_id")}, f AS (SELECT bin, count(DISTINCT id) AS df FROM t GROUP BY 1), n AS (SELECT count(*) AS n FROM benchmark),
-c AS (SELECT id, bin, sum((1 + ln(tf)) * (1 + ln((1.0 + n) / (1 + df)))) AS x FROM t JOIN f USING (bin), n GROUP BY 1, 2),
-u AS MATERIALIZED (SELECT id, bin, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM c)"""
+def _tfidf(name: str, key: str, fit: str = "", u: str = "u") -> str:
+    """Tables that end in u(id, bin, x) of a table's texts; fit: prefix of the tables whose frequencies count."""
+    own = f"""{u}t AS MATERIALIZED {_terms(name, key)}, """
+    if not fit:
+        own += f"f AS (SELECT bin, count(DISTINCT id) AS df FROM {u}t GROUP BY 1), n AS (SELECT count(*) AS n FROM {name}), "
+    return own + f"""{u}c AS (SELECT id, bin, sum((1 + ln(tf)) * (1 + ln((1.0 + n) / (1 + coalesce(df, 0))))) AS x FROM {u}t LEFT JOIN f USING (bin), n GROUP BY 1, 2),
+{u} AS MATERIALIZED (SELECT id, bin, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM {u}c)"""
+
+
+_DRAW = "('0x' || substr(md5({}), 1, 7))::BIGINT"
 _VECTORS = "(SELECT vec_id AS ord, vec_id::VARCHAR AS id, embedding::DOUBLE[] AS v, (vec_id * 7919) % 1009 AS s FROM embeddings)"
 
 
@@ -459,7 +616,23 @@ def oracle_sql() -> dict[str, str]:
         "approx_token_count": f"SELECT doc_id, {_UNIT.format("coalesce(text, '')")} AS n_tokens FROM documents",
         "approx_token_count_unicode": f"SELECT doc_id, {_UNIT.format("coalesce(text, '')")} AS n_tokens FROM documents",
         "shingle_set_size": f"SELECT d.doc_id, coalesce(n, 0) AS n_shingles FROM documents d LEFT JOIN (SELECT id::BIGINT AS doc_id, count(*) AS n FROM {_grams(5, _words('documents', 'doc_id'))} GROUP BY 1) USING (doc_id)",
-        "word_bins": f"SELECT DISTINCT word, bin::INTEGER AS bin FROM {_terms('benchmark', 'item_id')}",
+        "smallest_shingle": f"SELECT doc_id, min(g) AS shingle FROM documents LEFT JOIN {_grams(5, _words('documents', 'doc_id'))} ON id = doc_id::VARCHAR GROUP BY 1",
+        "word_bins": f"SELECT DISTINCT word, bin::INTEGER AS bin FROM {_terms('documents', 'doc_id')}",
+        "duplicate_ids_refused": "SELECT * FROM (VALUES ('evaluation', TRUE), ('training', TRUE), ('score', TRUE), ('score_name', TRUE), ('select', TRUE), ('none', FALSE)) t(\"check\", refused)",
+        "keep_values": "SELECT t AS text, CASE WHEN contains(t, '.') OR contains(t, 'e') THEN 'float' ELSE 'int' END AS kind, t::DOUBLE AS value FROM (VALUES ('1'), ('1.0'), ('1e-1'), ('0'), ('0.2'), ('250')) v(t)",
+        "index_join": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, doc_id FROM documents QUALIFY place % 3 = 1",
+        "sample_by_hash": f"SELECT doc_id FROM documents ORDER BY {_DRAW.format("'42:' || doc_id")}, doc_id LIMIT 25",
+        "bootstrap_by_hash": f"""WITH m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id::VARCHAR) - 1 AS k, m, count(*) OVER () AS n FROM (SELECT id, avg(CASE winner WHEN 'selected' THEN 1 WHEN 'tie' THEN 0.5 ELSE 0 END) AS m FROM {_VOTES} GROUP BY 1)),
+s AS (SELECT s, sum(m.m) / any_value(m.n) AS v FROM range(10000) a(s), (SELECT unnest(range((SELECT count(*) FROM m))) AS j) b JOIN m ON m.k = {_DRAW.format("'42:' || s || ':' || j")} % (SELECT count(*) FROM m) GROUP BY 1),
+r AS (SELECT v, row_number() OVER (ORDER BY v, s) AS rn FROM s) SELECT round(max(v) FILTER (rn = 251), 9) AS lower, round(max(v) FILTER (rn = 9751), 9) AS upper, max(v) FILTER (rn = 251) > 0.5 AS criterion_met FROM r""",
+        "rejected_records": """SELECT conv_id::VARCHAR AS id, c AS "case", c <> 'good' AS refused FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES ('good'), ('no_format'), ('number'), ('role'), ('list'), ('empty'), ('strings'), ('instruction'), ('array'), ('null_input'), ('broken')) v(c)""",
+        "multi_file_scan": "SELECT conv_id::VARCHAR AS conv_id, conv_id % 3 AS file, 2 * row_number() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id) AS line FROM (SELECT DISTINCT conv_id FROM conversations)",
+        "json_array": "SELECT (row_number() OVER (ORDER BY conv_id) - 1)::VARCHAR AS id, conv_id::VARCHAR AS conv_id, n AS n_messages FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)",
+        "folder_source": "SELECT conv_id::VARCHAR AS conv_id, count(*) AS n_messages FROM conversations GROUP BY 1",
+        "decisions_file": f"WITH d AS {_LENGTHS}, k AS (SELECT floor(count(*) * 0.3::DOUBLE) AS k FROM d), r AS (SELECT *, row_number() OVER (ORDER BY length DESC, ord) <= k AS kept FROM d, k) SELECT id AS example_id, CASE WHEN kept THEN 'KEEP' ELSE 'DROP' END AS decision, CASE WHEN kept THEN 'selected' ELSE 'budget' END AS reason FROM r",
+        "report_file": f"SELECT *, (SELECT count(*) FROM documents) AS train_records, (SELECT count(*) FROM benchmark) AS eval_records, FALSE AS ok FROM ({_exact(8)})",
+        "scored_file_of_run": f"SELECT id AS conv_id, length, row_number() OVER (ORDER BY length DESC, ord) <= 50 AS kept FROM {_LENGTHS} UNION ALL VALUES ('manifest', 5.0::DOUBLE, TRUE), ('manifest after a change', 1.0::DOUBLE, FALSE)",
+        "file_digests": "SELECT sha256(n_name || chr(10)) AS sha256 FROM nation",
         "exact_hits_13": _exact(13),
         "exact_hits_5": _exact(5),
         "exact_hits_template": _exact(5, template),
@@ -489,11 +662,17 @@ SELECT r.rn, CASE WHEN z.why = 'selected' THEN list_append(w.kept, r.v) ELSE w.k
 LATERAL (SELECT CASE WHEN len(w.kept) >= k.k THEN 'budget' WHEN len(list_filter(w.kept, lambda x: list_cosine_similarity(x, r.v) >= 0.3)) > 0 THEN 'similarity_threshold' ELSE 'selected' END AS why) z)
 SELECT id AS example_id, CASE WHEN reason = 'selected' THEN 'KEEP' ELSE 'DROP' END AS decision, reason FROM w WHERE rn > 0""",
         "tfidf_df": f"SELECT bin::INTEGER AS bin, count(DISTINCT id) AS df FROM {_terms('documents', 'doc_id')} GROUP BY 1",
-        "tfidf_vectors": f"WITH {_TFIDF} SELECT id, bin::INTEGER AS bin, round(x, 6) AS x FROM u",
-        "tfidf_cosine": f"WITH {_TFIDF} SELECT a.id AS train_id, b.id AS eval_id, round(least(1, sum(a.x * b.x)), 5) AS value FROM u a JOIN u b USING (bin) GROUP BY 1, 2 HAVING sum(a.x * b.x) >= 0.15",
+        "tfidf_vectors": f"WITH {_tfidf('documents', 'doc_id')} SELECT id, bin::INTEGER AS bin, round(x, 6) AS x FROM u",
+        "tfidf_cosine": f"WITH {_tfidf('documents', 'doc_id')}, {_tfidf('benchmark', 'item_id', 'u', 'w')} SELECT a.id AS train_id, b.id AS eval_id, round(least(1, sum(a.x * b.x)), 5) AS value FROM u a JOIN w b USING (bin) GROUP BY 1, 2 HAVING sum(a.x * b.x) >= 0.4",
+        "diverse_tfidf": f"""WITH RECURSIVE {_tfidf('benchmark', 'item_id')}, z AS (SELECT item_id, item_id::VARCHAR AS id, list_transform(range(512), lambda i: coalesce(m[i], 0.0)) AS v, row_number() OVER (ORDER BY length(coalesce(text, '')) DESC, item_id) AS rn
+FROM benchmark LEFT JOIN (SELECT id, map_from_entries(list((bin, x))) AS m FROM u GROUP BY 1) q ON q.id = item_id::VARCHAR), k AS (SELECT floor(count(*) * 0.5::DOUBLE)::BIGINT AS k FROM z),
+w(rn, kept, id, reason) AS (SELECT 0::BIGINT, []::DOUBLE[][], '', '' UNION ALL
+SELECT z.rn, CASE WHEN y.why = 'selected' THEN list_append(w.kept, z.v) ELSE w.kept END, z.id, y.why FROM w JOIN z ON z.rn = w.rn + 1, k,
+LATERAL (SELECT CASE WHEN len(w.kept) >= k.k THEN 'budget' WHEN len(list_filter(w.kept, lambda x: list_dot_product(x, z.v) >= 0.2)) > 0 THEN 'similarity_threshold' ELSE 'selected' END AS why) y)
+SELECT id AS example_id, CASE WHEN reason = 'selected' THEN 'KEEP' ELSE 'DROP' END AS decision, reason FROM w WHERE rn > 0""",
         "cosine_pairs": f"SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 5) AS value FROM {_VECTORS} a JOIN {_VECTORS} b ON b.ord = a.ord + 1",
-        "union_eval_sets": "SELECT doc_id::VARCHAR AS id, length(coalesce(text, '')) AS size FROM documents UNION ALL SELECT item_id::VARCHAR, length(coalesce(text, '')) FROM benchmark",
-        "set_difference_eval": "SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels",
+        "union_eval_sets": "SELECT doc_id::VARCHAR AS id, 0 AS set, length(coalesce(text, '')) AS size FROM documents UNION ALL SELECT item_id::VARCHAR, 1, length(coalesce(text, '')) FROM benchmark",
+        "set_difference_eval": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "combine_orders_strict": both("CASE WHEN a = b THEN a ELSE 'tie' END"),
         "combine_orders_paper": both("CASE WHEN a = b THEN a WHEN a = 'tie' THEN b WHEN b = 'tie' THEN a ELSE 'tie' END"),
         "judgment_preference": f"WITH v AS {_VOTES}, m AS (SELECT id, avg(CASE winner WHEN 'selected' THEN 1 WHEN 'tie' THEN 0.5 ELSE 0 END) AS m FROM v GROUP BY 1) SELECT count(*) AS judgments, count(*) FILTER (winner = 'selected') AS selected, count(*) FILTER (winner = 'random') AS baseline, count(*) FILTER (winner = 'tie') AS tie, count(*) FILTER (differs) AS position_disagreements, (SELECT count(*) FROM m) AS prompts, (SELECT round(avg(m), 9) FROM m) AS preference FROM v",
@@ -502,7 +681,7 @@ SELECT id AS example_id, CASE WHEN reason = 'selected' THEN 'KEEP' ELSE 'DROP' E
         "selection_curve": f"WITH v AS (SELECT ifd, count(*) OVER () AS n FROM {_DOCS}), r AS (SELECT ifd, n, row_number() OVER (ORDER BY ifd DESC) AS rn FROM v WHERE ifd <= 1) SELECT p::DOUBLE AS fraction, count(*) FILTER (rn <= floor(n * p::DOUBLE)) AS count, round(coalesce(avg(ifd) FILTER (rn <= floor(n * p::DOUBLE)), 0), 9) AS mean FROM r, (VALUES (0.1), (0.2), (0.4), (0.6), (0.8), (1.0)) q(p) GROUP BY p",
         "spearman": "WITH r AS (SELECT rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0 AS a, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS b FROM (SELECT *, floor(o_totalprice / 100) AS price FROM orders)) SELECT round(corr(a, b), 9) AS spearman FROM r",
         "average_ranks": "SELECT doc_id, (rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0)::DOUBLE AS avg_rank FROM documents",
-        "nested_budgets": "SELECT b AS budget, least(b, (SELECT count(*) FROM documents)) AS n FROM (VALUES (10), (50), (100)) v(b)",
+        "nested_budgets": f"SELECT doc_id, b::BIGINT AS budget FROM (SELECT doc_id, row_number() OVER (ORDER BY {_DRAW.format("'42:' || doc_id")}, doc_id) AS rn FROM documents), (VALUES (10), (50), (100)) v(b) WHERE rn <= b",
         "paired_answers": "SELECT doc_id::VARCHAR AS id, quality::VARCHAR AS first, toxic::VARCHAR AS second FROM labels",
         "identical_answers": "SELECT count(*) AS pairs, count(*) FILTER (quality = toxic) AS identical FROM labels",
         "not_judged": f"SELECT doc_id::VARCHAR AS id FROM labels WHERE doc_id NOT IN (SELECT id FROM {_VOTES} WHERE winner = 'tie')",
@@ -521,7 +700,8 @@ SELECT r.id AS example_id, CASE WHEN kept THEN 'KEEP' ELSE 'DROP' END AS decisio
 
 def queries() -> dict:
     named = (
-        tokens_count, approx_token_count, approx_token_count_unicode, shingle_set_size, word_bins, exact_hits_13, exact_hits_5, exact_hits_template, near_hits_documents, near_hits_low,
+        tokens_count, approx_token_count, approx_token_count_unicode, shingle_set_size, smallest_shingle, word_bins, duplicate_ids_refused, keep_values, index_join, sample_by_hash,
+        bootstrap_by_hash, rejected_records, multi_file_scan, json_array, folder_source, decisions_file, report_file, scored_file_of_run, file_digests, exact_hits_13, exact_hits_5, exact_hits_template, near_hits_documents, near_hits_low,
         semantic_hits, hit_counts_by_level, report_summary, duplicate_ids, length_scores, response_split, ifd_scores, ifd_fixed, nll_cache_misses, nll_cache_reuse, topk_count, topk_fraction,
         topk_ties, topk_exclude_above_one, stratified_source, stratified_lang, stratified_turns, stratum_quotas, diverse_greedy, diverse_tfidf, tfidf_df, tfidf_vectors, tfidf_cosine,
         cosine_pairs, union_eval_sets, set_difference_eval, combine_orders_strict, combine_orders_paper, judgment_preference, wilson_95, bootstrap_95, quantiles_lower, selection_curve,

@@ -62,7 +62,7 @@ def process(spark, rows: DataFrame, evaluation: DataFrame | None, scorers, selec
     return Result(scored, decisions, selected, check(selected, evaluation, matchers))
 
 
-def _evaluation(spark, sources) -> tuple[DataFrame | None, list[Path] | None]:
+def evaluation_records(spark, sources) -> tuple[DataFrame | None, list[Path] | None]:
     """The evaluation records of a DataFrame, or of files and DataFrames one after another; and the files, None unless there are only files."""
     if isinstance(sources, (DataFrame, str, Path)):
         sources = [sources]
@@ -87,7 +87,7 @@ def run(
     selector = selector or select.top_k_selector()
     matchers = (match.ngram_matcher(), match.minhash_matcher()) if matchers is None else tuple(matchers)
     path = None if isinstance(source, DataFrame) else Path(source) / "train.jsonl" if Path(source).is_dir() else Path(source)
-    asked, evals = _evaluation(spark, evaluation)
+    asked, evals = evaluation_records(spark, evaluation)
     parent = find_parent(path) if path else None
     files = {} if out_dir is None else {role: Path(out_dir) / name for role, name in FILES.items()}
     protect(files.values(), [path, parent, *(evals or [])])

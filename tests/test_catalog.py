@@ -4,11 +4,7 @@ from quern.plans import catalog
 
 from oracle import agree
 
-#: Near-duplicate signatures are slow on small machines; test_match.py covers them on small tables.
-SLOW = {"near_hits_documents", "near_hits_low", "hit_counts_by_level"}
-
-
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_agrees_with_sql(spark, data, name):
     agree(spark, catalog.queries()[name], catalog.oracle_sql()[name], data)
 
