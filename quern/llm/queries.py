@@ -21,6 +21,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": chat.OP1_SQL,
+        "op3_substring_dedup": debruijn.OP3_SQL,
+        "op5_ngram_jaccard_join": sigtree.OP5_SQL,
         "op7_warc": warc.OP7_SQL,
         "op8_url_filters": urlfilter.OP8_SQL,
     }
