@@ -183,6 +183,17 @@ def gram_rows(rows: DataFrame, size: int, ignore: tuple[str, ...] = (), among: n
     return rows.select(F.col("ord").cast("long").alias("ord"), F.col("text").cast("string").alias("text")).mapInArrow(run, "ord long, gram string")
 
 
+def gram_lists(rows: DataFrame, size: int, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(ord, grams array<string>) of each row of (ord, text): its distinct windows of so many words, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, lists, _ in _word_batches(batches, ignore):
+            grams = [sorted({" ".join(w[i : i + size]) for i in range(len(w) - size + 1)}) for w in lists]
+            yield pa.RecordBatch.from_arrays([part.column("ord").combine_chunks(), pa.array(grams, pa.list_(pa.string()))], names=["ord", "grams"])
+
+    return rows.select(F.col("ord").cast("long").alias("ord"), F.col("text").cast("string").alias("text")).mapInArrow(run, "ord long, grams array<string>")
+
+
 def term_counts(rows: DataFrame, dimensions: int = 512) -> DataFrame:
     """(ord, word, tf, bin) of each distinct word of each row of (ord, text); the bin as of hash_bin()."""
 

@@ -28,14 +28,17 @@ BROADCAST_GRAMS = 500_000
 #: Bytes of evaluation vectors that are compared at once.
 BLOCK_BYTES = 32 << 20
 #: Chance that a pair at the threshold isn't found by the quick bands of near_hits().
-MISS = 1e-12
+MISS = 1e-9
 
 
-def _known_hashes(evaluation: DataFrame, size: int, ignore: tuple[str, ...]) -> tuple[DataFrame, np.ndarray | None]:
-    """The distinct gram hashes of the evaluation side (column gram), and the same as a sorted array if they are few enough."""
-    hashes = X.gram_hashes(evaluation, size, ignore).select(F.explode("hashes").alias("gram")).distinct()
-    got = hashes.limit(BROADCAST_GRAMS + 1).toArrow().column("gram").to_numpy()
-    return hashes, np.sort(got) if len(got) <= BROADCAST_GRAMS else None
+def _known_hashes(sets: DataFrame) -> np.ndarray | None:
+    """The distinct hashes of the evaluation side's (ord, n, hashes) as a sorted array, if they are few enough."""
+    # An estimate first, within 5 %: distinct hashes are only gathered where they may be few.
+    grams = sets.select(F.explode("hashes").alias("gram"))
+    if grams.agg(F.approx_count_distinct("gram", 0.02).alias("n")).first()["n"] > 1.2 * BROADCAST_GRAMS:
+        return None
+    got = grams.distinct().limit(BROADCAST_GRAMS + 1).toArrow().column("gram").to_numpy()
+    return np.sort(got) if len(got) <= BROADCAST_GRAMS else None
 
 
 def _with_ids(pairs: DataFrame, train: DataFrame, evaluation: DataFrame) -> DataFrame:
@@ -53,7 +56,7 @@ def exact_hits(train: DataFrame, evaluation: DataFrame, n: int = 13, ignore: tup
     """
     if n < 1:
         raise ValueError("n must be positive")
-    _, among = _known_hashes(evaluation, n, ignore)
+    among = _known_hashes(X.gram_hashes(evaluation, n, ignore))
     right = X.gram_rows(evaluation, n, ignore).withColumnRenamed("ord", "eval_ord")
     left = X.gram_rows(train, n, ignore, among).withColumnRenamed("ord", "train_ord")
     joined = left.join(F.broadcast(right) if among is not None else right, "gram")
@@ -128,23 +131,19 @@ def near_hits(
 
     Salted BLAKE2b signatures are the dear part, and say nothing about pairs below the threshold. So pairs are first found by cheap
     hashes in so many bands that none at the threshold is missed but with a chance of MISS, and measured on hashed shingles; only records of
-    pairs that reach the threshold without being equal get signatures. Before that, records go that have fewer than
-    threshold * n of their n shingles anywhere in the evaluation set. Neither loses a pair.
+    pairs that reach the threshold without being equal get signatures. Where the evaluation set has few shingles, records go before that have
+    fewer than threshold * n of their n shingles anywhere in it. Neither loses a pair.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     if size < 1 or permutations < 1 or bands < 1 or permutations % bands or permutations > 65536:
         raise ValueError("shingle size, permutations and bands must be positive; permutations at most 65536 and a multiple of bands")
-    hashes, among = _known_hashes(evaluation, size, ignore)
-    left, right = (X.gram_hashes(side, size, ignore).filter("n > 0") for side in (train, evaluation))
-    if among is not None:
-        left = _sharing(left, among, threshold)
-    else:
-        shared = left.select("ord", F.explode("hashes").alias("gram")).join(hashes, "gram").groupBy("ord").agg(F.count(F.lit(1)).alias("shared"))
-        left = left.join(shared, "ord").filter(F.col("shared") >= F.lit(threshold) * F.col("n") - 1e-9).drop("shared")
     # Hashing is dearer than reading, so it is spread by rows, whatever the size in bytes.
     parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left, right = stash(left.repartition(parts, "ord"), "left"), stash(right.repartition(parts, "ord"), "right")
+    left, right = (X.gram_hashes(side, size, ignore).filter("n > 0") for side in (train, evaluation))
+    right = stash(right.repartition(parts, "ord"), "right")
+    among = _known_hashes(right)
+    left = stash((left if among is None else _sharing(left, among, threshold)).repartition(parts, "ord"), "left")
     a, b = _quick_keys(left, threshold).withColumnRenamed("ord", "train_ord"), _quick_keys(right, threshold).withColumnRenamed("ord", "eval_ord")
     pairs = a.join(b, "key").select("train_ord", "eval_ord").distinct()
     x, y = (side.select(F.col("ord").alias(f"{name}_ord"), F.col("n").alias(f"n_{name}"), F.col("hashes").alias(f"h_{name}")) for side, name in ((left, "train"), (right, "eval")))
@@ -160,14 +159,15 @@ def near_hits(
         signed.append(band_keys(side.join(asked, "ord", "left_semi").repartition(parts, "ord"), size, ignore, permutations, bands).select(F.col("ord").alias(column), F.col("keys").alias(f"keys_{column}")))
     told = unequal.join(signed[0], "train_ord").join(signed[1], "eval_ord").filter(F.arrays_overlap("keys_train_ord", "keys_eval_ord")).select("train_ord", "eval_ord", "value")
     kept = stash(told.unionByName(measured.filter("value >= 1")), "near")
-    grams = []
-    for side, column in ((train, "train_ord"), (evaluation, "eval_ord")):
-        asked = kept.select(F.col(column).alias("ord")).distinct()
-        texts = side.join(asked, "ord", "left_semi").select(F.col("ord").alias(column), X.words(F.col("text"), ignore).alias("w"))
-        grams.append(texts.select(column, X.shingles(F.col("w"), size).alias(f"grams_{column}")))
-    shown = kept.join(grams[0], "train_ord").join(grams[1], "eval_ord").select(
-        "train_ord", "eval_ord", "value", F.array_min(F.array_intersect("grams_train_ord", "grams_eval_ord")).alias("evidence")
-    )
+    # Of equal sets the first shingle of one is the evidence, so only the other records' are intersected.
+    equal, other = kept.filter("value >= 1"), kept.filter("value < 1")
+    first = X.gram_lists(train.join(equal.select(F.col("train_ord").alias("ord")).distinct(), "ord", "left_semi"), size, ignore).select(F.col("ord").alias("train_ord"), F.element_at("grams", 1).alias("evidence"))
+    lists = [
+        X.gram_lists(side.join(other.select(F.col(column).alias("ord")).distinct(), "ord", "left_semi"), size, ignore).select(F.col("ord").alias(column), F.col("grams").alias(f"grams_{column}"))
+        for side, column in ((train, "train_ord"), (evaluation, "eval_ord"))
+    ]
+    common = other.join(lists[0], "train_ord").join(lists[1], "eval_ord").select("train_ord", "eval_ord", "value", F.array_min(F.array_intersect("grams_train_ord", "grams_eval_ord")).alias("evidence"))
+    shown = equal.join(first, "train_ord").select("train_ord", "eval_ord", "value", "evidence").unionByName(common)
     return _with_ids(shown, train, evaluation).select(F.lit("NEAR").alias("level"), "train_ord", "eval_ord", "train_id", "eval_id", "value", "evidence")
 
 
