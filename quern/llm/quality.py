@@ -179,7 +179,8 @@ class Forest:
 def fit(x: np.ndarray, y: np.ndarray, flagged: np.ndarray) -> Forest:
     """Boost DEPTH-level trees on the logistic loss. A split on a constrained statistic must be in its direction, and bounds the values below both sides."""
     signs = np.array(list(FEATURES.values()))
-    rate = min(0.99, max(0.01, float(y.mean()) if len(y) else 0.0))
+    both = bool(len(y) and 0 < y.sum() < len(y))
+    rate = min(0.99, max(0.01, float(y.mean()))) if both else 0.01
     bias = float(np.log(rate / (1 - rate)))
     f, t, lo, ro, v, roots = [], [], [], [], [], []
 
@@ -223,7 +224,7 @@ def fit(x: np.ndarray, y: np.ndarray, flagged: np.ndarray) -> Forest:
         ro[k] = grow(at[~side], depth + 1, mid if sign > 0 else low, mid if sign < 0 else high)
         return k
 
-    for _ in range(TREES if len(y) and 0 < y.sum() < len(y) else 0):
+    for _ in range(TREES if both else 0):
         p = 1 / (1 + np.exp(-score))
         g, h = p - y, p * (1 - p)
         root = grow(np.arange(len(y)), 0, -4.0, 4.0)
@@ -239,7 +240,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     A document is to be rejected if a label calls it toxic or of quality 0; null labels say nothing. Of rows that share a
     doc_id the text with the smallest hash is learned from, so the sample is bounded by ids. Words that toxic documents of the sample hold far
-    more often than others are flagged, A-Z in either case. Without labels the forest is empty and keeps all.
+    more often than others are flagged, A-Z in either case. Without labels, or with labels of one kind only, nothing can be told
+    apart: the forest is empty and keeps all.
     """
     marks = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
