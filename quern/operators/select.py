@@ -124,7 +124,10 @@ def stratified(rows: DataFrame, budget: Budget, by: str = "ifd", strata: str | C
 
 
 def _similar(ranked: DataFrame, threshold: float, vectors: int) -> DataFrame:
-    """Pairs (a, b), rank a < b, whose vectors have a cosine of threshold or more; blocks of ranks meet in pairs."""
+    """Pairs (a, b), rank a < b, whose vectors have a cosine of threshold or more; blocks of ranks meet in pairs.
+
+    The measure asks for all pairs of the head that is compared: each vector goes to every block, so a head of n ranks moves n * n / BLOCK vectors.
+    """
     blocks = -(-vectors // BLOCK)
     rows = ranked.select("rank", "vector", ((F.col("rank") - 1) / BLOCK).cast("int").alias("block"))
     others = F.sequence(F.lit(0), F.lit(blocks - 1))

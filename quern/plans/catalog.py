@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 from pathlib import Path
 
@@ -491,6 +493,51 @@ def scored_file_of_run(spark, d):
     return spark.createDataFrame(notes + marks, "conv_id string, length double, kept boolean")
 
 
+def write_lines(path: Path, lines: DataFrame) -> None:
+    """A local file from a column `value`, row by row."""
+    writers.replace_file(path, (r["value"] + "\n" for r in lines.select("value").toLocalIterator()))
+
+
+def command(spark, *words) -> int:
+    from quern import cli
+
+    with contextlib.redirect_stdout(io.StringIO()), contextlib.redirect_stderr(io.StringIO()):
+        return cli.main([str(w) for w in words], spark)
+
+
+def reused_selection(spark, d):
+    """Conversations scored and selected by the commands; selecting the selected ones again gives them back with their decisions, as nothing was changed."""
+    folder = local_folder(spark, "reuse")
+    write_lines(folder / "train.jsonl", chats(spark, d).orderBy("ord").select(F.to_json(F.struct(F.col("ord").alias("conv_id"), "messages")).alias("value")))
+    command(spark, "score", folder, "-o", folder / "scored.jsonl", "--scorer", "length")
+    asked = ("--by", "length", "--keep", "40", "--include-ifd-above-one")
+    command(spark, "select", folder / "scored.jsonl", "-o", folder / "one", *asked)
+    command(spark, "select", folder / "one" / "selected.jsonl", "-o", folder / "two", *asked)
+    steps = json.loads((folder / "two" / "selected.manifest.json").read_text(encoding="utf-8"))["steps"]
+    records = [json.loads(line) for line in (folder / "two" / "selected.jsonl").read_text(encoding="utf-8").splitlines()]
+    told = {r["example_id"]: r["decision"] for r in json.loads((folder / "two" / "selected.decisions.json").read_text(encoding="utf-8"))}
+    rows = [(str(r["conv_id"]), told[r[jsonl.ANNOTATION]["example_id"]], steps[-1].get("reused", False)) for r in records]
+    return spark.createDataFrame(rows, "conv_id string, decision string, reused boolean")
+
+
+def command_codes(spark, d):
+    """Exit codes: 0 passed, 1 violation or failed verification, 2 bad input."""
+    folder = local_folder(spark, "codes")
+    items = side(spark, d, "benchmark").orderBy("ord").select(F.to_json(F.struct(F.lit("q").alias("instruction"), F.col("text").alias("output"))).alias("value"))
+    write_lines(folder / "train.jsonl", items)
+    writers.replace_file(folder / "other.jsonl", ['{"instruction": "nothing", "output": "shared"}\n'])
+    writers.replace_file(folder / "bad.jsonl", ["{\n"])
+    check = ("check", folder / "train.jsonl", "-o", folder / "out", "--eval")
+    codes = {
+        "violation": command(spark, *check, folder / "train.jsonl"), "no_policy": command(spark, *check, folder / "train.jsonl", "--fail-on"), "passed": command(spark, *check, folder / "other.jsonl"),
+        "verified": command(spark, "explain", folder / "out" / "manifest.json"), "bad_line": command(spark, *check, folder / "bad.jsonl"), "no_file": command(spark, *check, folder / "none.jsonl"),
+        "semantic_off": command(spark, *check, folder / "other.jsonl", "--fail-on", "SEMANTIC"), "overwrite": command(spark, "score", folder / "train.jsonl", "-o", folder / "train.jsonl", "--scorer", "length"),
+    }
+    writers.replace_file(folder / "other.jsonl", ["changed\n"])
+    codes["changed"] = command(spark, "explain", folder / "out" / "manifest.json")
+    return spark.createDataFrame(list(codes.items()), "name string, code int")
+
+
 def file_digests(spark, d):
     """SHA-256 of a file for each nation, hashed by the executors."""
     path = new_folder(spark, "files")
@@ -632,6 +679,8 @@ r AS (SELECT v, row_number() OVER (ORDER BY v, s) AS rn FROM s) SELECT round(max
         "decisions_file": f"WITH d AS {_LENGTHS}, k AS (SELECT floor(count(*) * 0.3::DOUBLE) AS k FROM d), r AS (SELECT *, row_number() OVER (ORDER BY length DESC, ord) <= k AS kept FROM d, k) SELECT id AS example_id, CASE WHEN kept THEN 'KEEP' ELSE 'DROP' END AS decision, CASE WHEN kept THEN 'selected' ELSE 'budget' END AS reason FROM r",
         "report_file": f"SELECT *, (SELECT count(*) FROM documents) AS train_records, (SELECT count(*) FROM benchmark) AS eval_records, FALSE AS ok FROM ({_exact(8)})",
         "scored_file_of_run": f"SELECT id AS conv_id, length, row_number() OVER (ORDER BY length DESC, ord) <= 50 AS kept FROM {_LENGTHS} UNION ALL VALUES ('manifest', 5.0::DOUBLE, TRUE), ('manifest after a change', 1.0::DOUBLE, FALSE)",
+        "reused_selection": f"SELECT id AS conv_id, 'KEEP' AS decision, TRUE AS reused FROM {_LENGTHS} QUALIFY row_number() OVER (ORDER BY length DESC, ord) <= 40",
+        "command_codes": "SELECT n AS name, c::INTEGER AS code FROM (VALUES ('violation', 1), ('no_policy', 0), ('passed', 0), ('verified', 0), ('bad_line', 2), ('no_file', 2), ('semantic_off', 2), ('overwrite', 2), ('changed', 1)) v(n, c)",
         "file_digests": "SELECT sha256(n_name || chr(10)) AS sha256 FROM nation",
         "exact_hits_13": _exact(13),
         "exact_hits_5": _exact(5),
@@ -701,7 +750,7 @@ SELECT r.id AS example_id, CASE WHEN kept THEN 'KEEP' ELSE 'DROP' END AS decisio
 def queries() -> dict:
     named = (
         tokens_count, approx_token_count, approx_token_count_unicode, shingle_set_size, smallest_shingle, word_bins, duplicate_ids_refused, keep_values, index_join, sample_by_hash,
-        bootstrap_by_hash, rejected_records, multi_file_scan, json_array, folder_source, decisions_file, report_file, scored_file_of_run, file_digests, exact_hits_13, exact_hits_5, exact_hits_template, near_hits_documents, near_hits_low,
+        bootstrap_by_hash, rejected_records, multi_file_scan, json_array, folder_source, decisions_file, report_file, scored_file_of_run, reused_selection, command_codes, file_digests, exact_hits_13, exact_hits_5, exact_hits_template, near_hits_documents, near_hits_low,
         semantic_hits, hit_counts_by_level, report_summary, duplicate_ids, length_scores, response_split, ifd_scores, ifd_fixed, nll_cache_misses, nll_cache_reuse, topk_count, topk_fraction,
         topk_ties, topk_exclude_above_one, stratified_source, stratified_lang, stratified_turns, stratum_quotas, diverse_greedy, diverse_tfidf, tfidf_df, tfidf_vectors, tfidf_cosine,
         cosine_pairs, union_eval_sets, set_difference_eval, combine_orders_strict, combine_orders_paper, judgment_preference, wilson_95, bootstrap_95, quantiles_lower, selection_curve,
