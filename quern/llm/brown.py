@@ -11,7 +11,8 @@ their own. All counts cover every training text.
 No vocabulary is held in one place. The words of the corpus are dealt out to buckets of hashes; a block of documents knows its own
 words by their place among them. In each round a block tells each bucket which classes stand beside which of the bucket's
 words, the bucket moves its words, and tells each block the new classes of those it asked for, one byte for each. The driver sees the
-class bigrams (at most 90 x 90, added up by the square root of the number of blocks) and the TOP words.
+class bigrams (at most 90 x 90, added up by the square root of the number of blocks), the TOP words, and how often these and the classes of
+counts follow one another (a million pairs at most).
 
 Within a round the words of a bucket move STEP at a time, those of different buckets at the same time; a
 round after which the class bigrams are less likely than before is taken back and is the last.
