@@ -305,7 +305,7 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, keep_space: bool = False,
     def ask1(key, t):
         return ask_seen(key[0].as_py(), Block(t, k).short(), blocks, 48)
 
-    seen_by_block = b.groupBy("m").applyInArrow(ask1, _ASK).groupBy("h").applyInArrow(answer_seen, _ANSWER)
+    seen_by_block = b.groupBy("m").applyInArrow(T.lean(ask1), _ASK).groupBy("h").applyInArrow(T.lean(answer_seen), _ANSWER)
 
     def ask2(key, left, right):
         block = Block(left, k)
@@ -313,8 +313,8 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, keep_space: bool = False,
 
     # What round 2 knows of repetition travels on to round 3 with the answers: a block's repeated edges are those asked for.
     first = (
-        b.groupBy("m").cogroup(seen_by_block.groupBy("m")).applyInArrow(ask2, "h int, m int, n int, base long, hash binary, id binary, row binary, start binary, count binary")
-        .groupBy("h").applyInArrow(answer_first, "m int, h int, n int, src_m binary, src_row binary, src_start binary, total binary")
+        b.groupBy("m").cogroup(seen_by_block.groupBy("m")).applyInArrow(T.lean(ask2), "h int, m int, n int, base long, hash binary, id binary, row binary, start binary, count binary")
+        .groupBy("h").applyInArrow(T.lean(answer_first), "m int, h int, n int, src_m binary, src_row binary, src_start binary, total binary")
     )
     both = first.select("m", "h", "n", "src_m", "src_row", "src_start", "total", F.lit(None).cast("binary").alias("blob")).unionByName(
         seen_by_block.select("m", "h", "n", *(F.lit(None).cast("binary").alias(c) for c in ("src_m", "src_row", "src_start", "total")), "blob")
@@ -331,13 +331,13 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, keep_space: bool = False,
         return ask_verify(m, block, compact(m, block, rep, right.filter(pc.invert(round1))))
 
     fields = "kind int, m int, src_m int, n int, row binary, start binary, edges binary, ask binary, digest binary"
-    spans = b.groupBy("m").cogroup(both.groupBy("m")).applyInArrow(ask3, fields)
+    spans = b.groupBy("m").cogroup(both.groupBy("m")).applyInArrow(T.lean(ask3), fields)
 
     def verify(left, right):
         return answer_verify(Block(left, k), right) if right.num_rows else _rows(SPANS, [])
 
     # A block's own spans have itself as src_m, so spans and questions go out by one exchange and are computed once.
-    told = b.groupBy("m").cogroup(spans.groupBy("src_m")).applyInArrow(verify, fields)
+    told = b.groupBy("m").cogroup(spans.groupBy("src_m")).applyInArrow(T.lean(verify), fields)
 
     def finish(left, right):
         block = Block(left, k)
@@ -349,7 +349,7 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW, keep_space: bool = False,
 
     types = {f.name: f.dataType.simpleString() for f in b.schema.fields}
     out = "doc_id long, text string, n_words long, n_removed long" + "".join(f", `{c}` {types[c]}" for c in extra)
-    return b.groupBy("m").cogroup(told.groupBy("m")).applyInArrow(finish, out)
+    return b.groupBy("m").cogroup(told.groupBy("m")).applyInArrow(T.lean(finish), out)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -294,7 +294,7 @@ def find_passages(docs: DataFrame, items: DataFrame, columns: tuple[str, ...] =
     schema = f"{fields}, item_id {kind}, start_word long, n_words long, distance long, item_words long"
     out, parts = None, _item_blocks(items)
     for index in _indexes(items, parts):
-        found = source.mapInArrow(_searcher(index, columns), schema)
+        found = source.mapInArrow(T.lean(_searcher(index, columns)), schema)
         found = stash(found, "passages") if parts > 1 else found
         out = found if out is None else out.unionByName(found)
     return out
@@ -318,7 +318,7 @@ def without_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     before, parts = (), _item_blocks(items)
     for index in _indexes(items, parts):
-        source = source.mapInArrow(drop(index), source.schema)
+        source = source.mapInArrow(T.lean(drop(index)), source.schema)
         if parts > 1:
             source = stash(source, "clean", drop=before)
             before = (source,)

@@ -272,7 +272,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
         packer.finish()
         yield out()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(T.lean(run), PIECES)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

@@ -283,7 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 yield pa.RecordBatch.from_arrays([part.column("bad").combine_chunks(), *(pa.array(x[:, j]) for j in range(len(names)))], names=["bad", *names])
 
     bad = (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("double")
-    got = rows.select("text", bad.alias("bad")).mapInArrow(measure, "bad double, " + ", ".join(f"{n} double" for n in names)).toPandas()
+    got = rows.select("text", bad.alias("bad")).mapInArrow(T.lean(measure), "bad double, " + ", ".join(f"{n} double" for n in names)).toPandas()
     got = got.sort_values(list(got.columns), kind="stable")
     return fit(got[names].to_numpy(float).reshape(-1, len(names)), got["bad"].to_numpy(float), flagged)
 
@@ -308,7 +308,7 @@ def judge(docs: DataFrame, forest: Forest, keep_columns: tuple[str, ...] = ("doc
                     names=[*keep_columns, *BASE, "base_failed", "reject_score", "kept"],
                 )
 
-    return source.mapInArrow(run, fields + ", " + ", ".join(f"{b} long" for b in BASE) + ", base_failed boolean, reject_score double, kept boolean")
+    return source.mapInArrow(T.lean(run), fields + ", " + ", ".join(f"{b} long" for b in BASE) + ", base_failed boolean, reject_score double, kept boolean")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -360,11 +360,11 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     empty table gives no rows; further columns are ignored.
     """
     b, blocks = blocked(docs)
-    asked = b.groupBy("m").applyInArrow(lambda key, t: _ask(key[0].as_py(), Sets(t, k), blocks), "h int, m int, n int, hash binary, count binary")
-    answers = asked.groupBy("h").applyInArrow(_answer, "m int, h int, n int, df binary")
-    found = b.groupBy("m").cogroup(answers.groupBy("m")).applyInArrow(lambda key, left, right: _find(key[0].as_py(), Sets(left, k), right, blocks, num, den), _FOUND)
+    asked = b.groupBy("m").applyInArrow(T.lean(lambda key, t: _ask(key[0].as_py(), Sets(t, k), blocks)), "h int, m int, n int, hash binary, count binary")
+    answers = asked.groupBy("h").applyInArrow(T.lean(_answer), "m int, h int, n int, df binary")
+    found = b.groupBy("m").cogroup(answers.groupBy("m")).applyInArrow(T.lean(lambda key, left, right: _find(key[0].as_py(), Sets(left, k), right, blocks, num, den)), _FOUND)
     found = stash(found, "sets")
-    met = found.filter("kind = 1").select("h", "rid", "n", "tokens", "lo", "hi").groupBy("h").applyInArrow(lambda t: _meet(t, num, den), "a long, b long")
+    met = found.filter("kind = 1").select("h", "rid", "n", "tokens", "lo", "hi").groupBy("h").applyInArrow(T.lean(lambda t: _meet(t, num, den)), "a long, b long")
 
     def unpack_edges(batches):
         for batch in batches:
@@ -411,7 +411,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, extra:
         rows = ordered(left).take(pa.array(np.sort(right.column("row").to_numpy()))) if right.num_rows else left.slice(0, 0)
         return rows.select(["doc_id", "text", *extra])
 
-    return b.groupBy("m").cogroup(chosen.groupBy("m")).applyInArrow(take, ", ".join(f"`{c}` {types[c]}" for c in ("doc_id", "text", *extra)))
+    return b.groupBy("m").cogroup(chosen.groupBy("m")).applyInArrow(T.lean(take), ", ".join(f"`{c}` {types[c]}" for c in ("doc_id", "text", *extra)))
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
