@@ -194,6 +194,22 @@ def gram_lists(rows: DataFrame, size: int, ignore: tuple[str, ...] = ()) -> Data
     return rows.select(F.col("ord").cast("long").alias("ord"), F.col("text").cast("string").alias("text")).mapInArrow(run, "ord long, grams array<string>")
 
 
+def least_grams(rows: DataFrame, size: int, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(ord, gram) of each row of (ord, text): the smallest window of so many words; null if there are fewer words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, lists, _ in _word_batches(batches, ignore):
+            # All windows that begin with a smaller word are smaller, whatever follows: a space sorts before any character of a word.
+            least = []
+            for w in lists:
+                n = len(w) - size + 1
+                head = min(w[:n]) if n > 0 else None
+                least.append(min(" ".join(w[i : i + size]) for i in range(n) if w[i] == head) if n > 0 else None)
+            yield pa.RecordBatch.from_arrays([part.column("ord").combine_chunks(), pa.array(least, pa.string())], names=["ord", "gram"])
+
+    return rows.select(F.col("ord").cast("long").alias("ord"), F.col("text").cast("string").alias("text")).mapInArrow(numtext.lean(run), "ord long, gram string")
+
+
 def term_counts(rows: DataFrame, dimensions: int = 512) -> DataFrame:
     """(ord, word, tf, bin) of each distinct word of each row of (ord, text); the bin as of hash_bin()."""
 
