@@ -5,8 +5,10 @@ Judgments: (id, seed, baseline, winner, order_disagreement, judge_sha256, order_
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,21 +81,50 @@ def preference(judgments: DataFrame) -> DataFrame:
 
 
 def bootstrap_interval(judgments: DataFrame, samples: int = 10_000, seed: int = 42) -> tuple[float, float, bool]:
-    """(lower, upper, lower > 0.5) of the 95% bootstrap over prompts, sorted by id; prompts are few, so this runs on the driver.
+    """(lower, upper, lower > 0.5) of the 95% bootstrap over prompts, sorted by id.
 
-    The generator and the order of draws are fixed, so results can be repeated.
+    The draws are those of random.Random(seed).choices(), one sample after another, and a sample's value is the rounded exact sum of what it drew, as sum()
+    gives it; so results can be repeated. A stream of one generator can't be dealt out, so the driver draws, on arrays: it holds one number for each prompt.
     """
     if samples < 100:
         raise ValueError("at least 100 bootstrap samples required")
-    means = [r["mean"] for r in prompt_means(judgments).orderBy(F.col("id").cast("string")).collect()]
-    if not means:
+    means = prompt_means(judgments).orderBy(F.col("id").cast("string")).select("mean").toArrow().column("mean").to_numpy()
+    if not len(means):
         raise ValueError("no judgments")
-    rng = random.Random(seed)
-    drawn = sorted(sum(rng.choices(means, k=len(means))) / len(means) for _ in range(samples))
-    lower, upper = drawn[int(0.025 * samples)], drawn[min(samples - 1, int(0.975 * samples))]
+    drawn = np.sort(_resampled(means, samples, seed))
+    lower, upper = float(drawn[int(0.025 * samples)]), float(drawn[min(samples - 1, int(0.975 * samples))])
     return lower, upper, lower > 0.5
 
 
+def _generator(seed: int) -> np.random.RandomState:
+    """numpy's generator in the state of random.Random(seed); both make the same numbers in [0, 1) of it."""
+    _, state, _ = random.Random(seed).getstate()
+    out = np.random.RandomState()
+    out.set_state(("MT19937", np.array(state[:-1], np.uint32), state[-1]))
+    return out
+
+
+def _resampled(means: np.ndarray, samples: int, seed: int) -> np.ndarray:
+    """Means of so many samples with replacement, drawn as random.Random(seed).choices() draws."""
+    rng, n = _generator(seed), len(means)
+    values, code = np.unique(means, return_inverse=True)
+    few = len(values) <= 1 << 12
+    if few:
+        # Floats are integers over a power of two, so counts of the few values give the exact sum.
+        code = code.astype(np.min_scalar_type(len(values)))
+        ratios = [float(v).as_integer_ratio() for v in values]
+        under = max(d for _, d in ratios)
+        exact = [a * (under // d) for a, d in ratios]
+    out = np.empty(samples)
+    for k in range(samples):
+        at = (rng.random_sample(n) * n).astype(np.int64)
+        if few:
+            out[k] = sum(a * c for a, c in zip(exact, np.bincount(code[at], minlength=len(values)).tolist(), strict=True)) / under
+        else:
+            out[k] = math.fsum(means[at])
+    return out / n
+
+
 def hashed_draw(*parts: Column) -> Column:
     """A number below 2**28 from an MD5 of parts joined by colons, the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)).cast("binary")), 1, 7), 16, 10).cast("long")

@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+
 from quern.operators import judge
 from quern.plans import catalog
 
@@ -6,3 +10,13 @@ def test_registered_query_draws_all_resamples(spark, data):
     got = catalog.bootstrap_95(spark, data).first()
     assert tuple(got) == judge.bootstrap_interval(catalog.judgments(spark, data), samples=10_000)
     assert tuple(got) != judge.bootstrap_interval(catalog.judgments(spark, data), samples=1000)
+
+
+def test_samples_are_those_of_pythons_generator():
+    """Drawn on arrays, bit by bit what choices() and sum() give, for few and for many different means."""
+    rnd = random.Random(3)
+    for means in ([rnd.choice([0.0, 0.5, 1.0, 1 / 6, 2 / 3]) for _ in range(1501)], [rnd.random() for _ in range(4999)], [0.25]):
+        rng = random.Random(42)
+        plain = [sum(rng.choices(means, k=len(means))) / len(means) for _ in range(120)]
+        assert judge._resampled(np.array(means), 120, 42).tolist() == plain
+
