@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,22 +132,118 @@ def hashed_draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)).cast("binary")), 1, 7), 16, 10).cast("long")
 
 
+class NumberedDraws:
+    """hashed_draw(prefix..., j) of all j in 0..n-1 at once: MD5 over arrays, as long as the text fits one block of 64 bytes."""
+
+    _SHIFT = [*(7, 12, 17, 22) * 4, *(5, 9, 14, 20) * 4, *(4, 11, 16, 23) * 4, *(6, 10, 15, 21) * 4]
+    _ADD = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+    _WORD = [i if i < 16 else (5 * i + 1) % 16 if i < 32 else (3 * i + 5) % 16 if i < 48 else 7 * i % 16 for i in range(64)]
+    #: Numbers hashed at once: all steps stay in the processor's cache.
+    STEP = 1 << 14
+
+    def __init__(self, n: int):
+        self.n = n
+        self._words: dict[int, list[tuple[int, int, list]]] = {}
+
+    def _blocks(self, prefix: int) -> list[tuple[int, int, list]]:
+        """(first, end, words) of runs of numbers with as many digits each: the 16 words of a block without its prefix of so many bytes."""
+        if prefix not in self._words:
+            out = []
+            for lo, hi in self._runs():
+                width = len(str(lo))
+                if prefix + width > 55:
+                    raise ValueError("the text of a draw is too long")
+                block = np.zeros((hi - lo, 64), np.uint8)
+                left = np.arange(lo, hi)
+                for k in range(width - 1, -1, -1):
+                    block[:, prefix + k] = 48 + left % 10
+                    left //= 10
+                block[:, prefix + width] = 0x80
+                block[:, 56:58] = [8 * (prefix + width) & 255, 8 * (prefix + width) >> 8]
+                words = block.view("<u4")
+                # Most words are alike in all rows, and those are numbers.
+                out.append((lo, hi, [int(words[0, i]) if (words[:, i] == words[0, i]).all() else np.ascontiguousarray(words[:, i]) for i in range(16)]))
+            self._words[prefix] = out
+        return self._words[prefix]
+
+    def _runs(self):
+        lo = 0
+        while lo < self.n:
+            hi = min(self.n, lo + self.STEP, 10 ** len(str(lo)))
+            yield lo, hi
+            lo = hi
+
+    def draws(self, *parts) -> np.ndarray:
+        head = "".join(f"{p}:" for p in parts).encode()
+        start = np.frombuffer(head.ljust(64, b"\0"), "<u4")
+        out = np.empty(self.n, np.int64)
+        for lo, hi, words in self._blocks(len(head)):
+            own = [w | int(h) if isinstance(w, int) else w | h for w, h in zip(words, start, strict=True)]
+            out[lo:hi] = self._first_bits(own, hi - lo)
+        return out
+
+    def _first_bits(self, words: list, n: int) -> np.ndarray:
+        """The first seven hexadecimal digits of MD5 as numbers."""
+        a, b, c, d = (np.full(n, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+        f, s = np.empty(n, np.uint32), np.empty(n, np.uint32)
+        for i in range(64):
+            if i < 16:
+                np.bitwise_xor(c, d, out=f)
+                f &= b
+                f ^= d
+            elif i < 32:
+                np.bitwise_xor(b, c, out=f)
+                f &= d
+                f ^= c
+            elif i < 48:
+                np.bitwise_xor(b, c, out=f)
+                f ^= d
+            else:
+                np.bitwise_not(d, out=f)
+                f |= b
+                f ^= c
+            word = words[self._WORD[i]]
+            f += a
+            if isinstance(word, int):
+                f += np.uint32(word + self._ADD[i] & 0xFFFFFFFF)
+            else:
+                f += word
+                f += np.uint32(self._ADD[i])
+            np.right_shift(f, np.uint32(32 - self._SHIFT[i]), out=s)
+            f <<= np.uint32(self._SHIFT[i])
+            f |= s
+            f += b
+            # The old a is free for the next step.
+            a, b, c, d, f = d, f, b, c, a
+        # The digest begins with a, its lowest byte first.
+        a += np.uint32(0x67452301)
+        return (a.byteswap() >> np.uint32(4)).astype(np.int64)
+
+
 def bootstrap_by_hash(judgments: DataFrame, samples: int = 10_000, seed: int = 42) -> DataFrame:
     """bootstrap_interval() with draws by hashed_draw(seed, sample, draw), as one row (lower, upper, criterion_met); the samples are drawn by the executors.
 
-    Prompts are numbered by their ids as text; draw j of a sample takes the prompt with the number of its draw modulo the prompts.
+    Prompts are numbered by their ids as text; draw j of a sample takes the prompt with the number of its draw modulo the prompts. A task gets
+    the means of all prompts (8 bytes each) and some of the samples, so no draw is ever a row.
     """
     if samples < 100:
         raise ValueError("at least 100 bootstrap samples required")
     spark = judgments.sparkSession
-    means = stash(global_rank(prompt_means(judgments).select(F.col("id").cast("string").alias("id"), "mean"), F.asc("id")), "means")
-    n = means.count()
+    means = prompt_means(judgments).select(F.col("id").cast("string").alias("id"), "mean").orderBy("id").select("mean").toArrow().column("mean").to_numpy()
+    n = len(means)
     if not n:
         raise ValueError("no judgments")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    draws = spark.range(samples, numPartitions=parts).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
-    taken = draws.select("sample", (F.pmod(hashed_draw(F.lit(seed), F.col("sample"), F.col("draw")), F.lit(n)) + 1).alias("rank"))
-    drawn = taken.join(means.select("rank", "mean"), "rank").groupBy("sample").agg((F.sum("mean") / n).alias("value"))
+    shared = spark.sparkContext.broadcast(means)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_draws, own = NumberedDraws(n), shared.value
+        for batch in batches:
+            asked = batch.column("sample").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("sample"), pa.array([float(own[all_draws.draws(seed, s) % n].sum()) / n for s in asked])], names=["sample", "value"])
+
+    # Many small tasks, so that none is left alone at the end.
+    parts = min(samples, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    drawn = stash(spark.range(samples, numPartitions=parts).select(F.col("id").alias("sample")).mapInArrow(run, "sample long, value double"), "drawn")
     ends = {"lower": int(0.025 * samples), "upper": min(samples - 1, int(0.975 * samples))}
     ranked = global_rank(drawn, F.asc("value"), F.asc("sample")).filter(F.col("rank").isin(*(k + 1 for k in ends.values())))
     cells = ranked.agg(*(F.max(F.when(F.col("rank") == k + 1, F.col("value"))).alias(name) for name, k in ends.items()))

@@ -1,6 +1,8 @@
+import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from quern.operators import judge
 from quern.plans import catalog
@@ -20,3 +22,18 @@ def test_samples_are_those_of_pythons_generator():
         plain = [sum(rng.choices(means, k=len(means))) / len(means) for _ in range(120)]
         assert judge._resampled(np.array(means), 120, 42).tolist() == plain
 
+
+def test_draws_of_a_sample_are_hashed_together():
+    for n in (1, 10, 11, 12_345, 110_000):
+        got = judge.NumberedDraws(n)
+        for parts in ((42, 0), (42, 9999), (7, 123), (123456789, "a")):
+            want = [int(hashlib.md5(":".join(map(str, (*parts, j))).encode()).hexdigest()[:7], 16) for j in range(n)]
+            assert got.draws(*parts).tolist() == want
+    with pytest.raises(ValueError, match="too long"):
+        judge.NumberedDraws(10).draws("x" * 60)
+
+
+def test_no_draw_is_a_row(spark, data, monkeypatch):
+    want = catalog.bootstrap_by_hash(spark, data).first()
+    monkeypatch.setattr(judge, "hashed_draw", None)
+    assert catalog.bootstrap_by_hash(spark, data).first() == want
