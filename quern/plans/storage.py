@@ -60,6 +60,45 @@ def unstash(*tables: DataFrame) -> None:
             remove_dir(df.sparkSession, path)
 
 
+def written_in_order(rows: DataFrame, *order: Column, name: str = "parts", end: str = "\n") -> str:
+    """A fresh folder with the column `value` as text files in the order of their numbers, written by the executors; each value is followed by end."""
+    path = new_dir(rows.sparkSession, name)
+    rows.orderBy(*order).select("value").write.option("compression", "none").option("lineSep", end).text(path)
+    return path
+
+
+def join_parts(spark, folder: str, out, without: int = 0) -> int:
+    """Write the text files of a folder into a Java stream, by the driver's JVM and as bytes, but for so many at the end; the number of bytes.
+
+    No row comes to the driver, which holds one buffer.
+    """
+    system, target = _hadoop(spark, folder)
+    found = [(s.getPath(), s.getLen()) for s in system.listStatus(target) if s.getPath().getName().startswith("part-")]
+    found.sort(key=lambda f: int(f[0].getName().split("-")[1].split(".")[0]))
+    left = total = max(0, sum(n for _, n in found) - without)
+    try:
+        for path, n in found:
+            if take := min(n, left):
+                source = system.open(path)
+                try:
+                    spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, take, False)
+                finally:
+                    source.close()
+                left -= take
+    finally:
+        out.close()
+    return total
+
+
+def one_file(rows: DataFrame, path: str, *order: Column) -> None:
+    """A file of the column `value`, a line each, where Spark can read it."""
+    spark = rows.sparkSession
+    folder = written_in_order(rows, *order)
+    system, target = _hadoop(spark, path)
+    join_parts(spark, folder, system.create(target, True))
+    remove_dir(spark, folder)
+
+
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Add the 1-based position in a total order, by range partitions and the number of rows before each.
 

@@ -239,3 +239,41 @@ def test_malformed_manifest(tmp_path):
     path.write_text("[]")
     with pytest.raises(ValueError):
         provenance.verify_manifest(path)
+
+
+def test_json_array_is_cut_anywhere(spark, tmp_path):
+    """Strings with brackets, quotes, commas and backslashes, nested values, space, and records longer than a split."""
+    texts = ['a, "b" [c] {d}', "\\", 'x\\"],[', "é" * 700, "", ",,,", '"', '\\\\"']
+    records = [{"messages": [{"role": "user", "content": texts[i % 8]}, {"role": "assistant", "content": f"{i}"}], "n": [i, {"k": [",", i]}]} for i in range(300)]
+    path = tmp_path / "array.json"
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size, rows, dump in (("3000", records, {"indent": 1}), ("200", records[:7], {"ensure_ascii": False}), (before, records[:1], {}), (before, [], {})):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            path.write_text(" \n" + json.dumps(rows, **dump) + "\n", encoding="utf-8")
+            got = jsonl.read_json_array(spark, str(path)).orderBy("ord").collect()
+            assert [json.loads(r["original"]) for r in got] == rows and [r["id"] for r in got] == [str(i) for i in range(len(rows))]
+        for wrong in ('[{"a": 1}', "[1] 2", '{"a": 1, "b": 2}'):
+            path.write_text(wrong)
+            with pytest.raises(Exception):
+                jsonl.read_json_array(spark, str(path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_json_array_keeps_the_order_of_many_parts(spark, tmp_path):
+    """The table's rows come in several partitions, and the last is ready first."""
+    from quern.plans import catalog
+
+    (tmp_path / "conversations.parquet").mkdir()
+    rows = spark.range(0, 6000, numPartitions=12).selectExpr("5999 - id AS conv_id", "0L AS turn", "'user' AS role", "repeat('x', 50) AS text")
+    rows.write.mode("overwrite").parquet(str(tmp_path / "conversations.parquet"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = catalog.json_array(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 6000 and all(r["id"] == r["conv_id"] and r["n_messages"] == 1 for r in got)
