@@ -81,7 +81,7 @@ def join_parts(spark, folder: str, out, without: int = 0) -> int:
             if take := min(n, left):
                 source = system.open(path)
                 try:
-                    spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, take, False)
+                    spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, take)
                 finally:
                     source.close()
                 left -= take

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.match import LEVELS, Report
+from quern.plans.storage import join_parts, remove_dir, written_in_order
 from quern.sources.jsonl import ANNOTATION
 
 
@@ -38,6 +39,23 @@ def replace_file(path: str | Path, lines) -> int:
     return count
 
 
+def replace_file_by_parts(path: str | Path, rows: DataFrame, *order: Column) -> int:
+    """replace_file() with the column `value` in order, a line each, written by the executors and joined as bytes by the driver's JVM; the number of lines."""
+    path, spark = Path(path), rows.sparkSession
+    path.parent.mkdir(parents=True, exist_ok=True)
+    folder = written_in_order(rows, *order)
+    count = spark.read.text(folder).count()
+    handle, temporary = tempfile.mkstemp(dir=path.parent)
+    os.close(handle)
+    try:
+        join_parts(spark, folder, spark.sparkContext._jvm.java.io.FileOutputStream(temporary))
+        os.replace(temporary, path)
+    finally:
+        Path(temporary).unlink(missing_ok=True)
+    remove_dir(spark, folder)
+    return count
+
+
 def annotated(rows: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     """(ord, value): each original record, keys sorted, with its annotation; records that have no original are written as messages."""
     if decisions is not None:
@@ -66,9 +84,8 @@ def annotated(rows: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
 
 
 def write_scored(path: str | Path, rows: DataFrame, decisions: DataFrame | None = None) -> int:
-    """One JSON Lines file in input order, fed row by row through the driver; its number of records."""
-    lines = annotated(rows, decisions).orderBy("ord").select("value").toLocalIterator(prefetchPartitions=True)
-    return replace_file(path, (r["value"] + "\n" for r in lines))
+    """One JSON Lines file in input order, written by the executors in parts; its number of records."""
+    return replace_file_by_parts(path, annotated(rows, decisions), F.asc("ord"))
 
 
 def write_scored_table(path: str, rows: DataFrame, decisions: DataFrame | None = None) -> None:

@@ -277,3 +277,27 @@ def test_json_array_keeps_the_order_of_many_parts(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(got) == 6000 and all(r["id"] == r["conv_id"] and r["n_messages"] == 1 for r in got)
+
+
+def test_no_record_comes_to_the_driver(spark, tmp_path, data, monkeypatch):
+    """Files of records are written by the executors and joined as bytes."""
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    from quern.plans import catalog
+
+    rows = spark.range(1000).repartition(7).select((999 - F.col("id")).alias("ord"), F.concat(F.lit("é"), 999 - F.col("id")).alias("value"))
+    assert writers.replace_file_by_parts(tmp_path / "a" / "f.txt", rows, F.asc("ord")) == 1000
+    assert (tmp_path / "a" / "f.txt").read_text(encoding="utf-8") == "".join(f"é{k}\n" for k in range(1000)) and len(list((tmp_path / "a").iterdir())) == 1
+    assert writers.replace_file_by_parts(tmp_path / "none.txt", rows.limit(0), F.asc("ord")) == 0 and (tmp_path / "none.txt").read_bytes() == b""
+    messages = [[("user", "é\n"), ("assistant", "a")], [("user", "b")], [("user", "c, "), ("assistant", "d"), ("user", "e")]]
+    asked = spark.createDataFrame([(2 - i, m) for i, m in enumerate(messages)], f"ord long, messages {jsonl.MESSAGES}")
+    for some in (asked, asked.limit(0)):
+        told = [[{"content": c, "role": r} for r, c in row["messages"][:-1]] for row in some.orderBy("ord").collect()]
+        assert provenance.context_hash(some) == hashlib.sha256(json.dumps(told).encode()).hexdigest()
+
+    def refuse(self, *args, **kwargs):
+        raise AssertionError("rows come to the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refuse)
+    assert catalog.folder_source(spark, data).count() > 0
