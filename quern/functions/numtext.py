@@ -209,6 +209,15 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str, most: int = 4 << 20) ->
         at = to
 
 
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of items of about so much in all, one item at least."""
+    upto, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + most, side="right")) - 1)
+        yield at, to
+        at = to
+
+
 @functools.cache
 def _trim() -> Callable[[int], int] | None:
     """glibc's malloc_trim; other C libraries have none."""

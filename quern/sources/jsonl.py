@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from quern.functions import numtext
 from quern.functions.text import message_text
 from quern.plans.storage import stash
 
@@ -30,6 +31,8 @@ SPEAKERS = {"human": "user", "gpt": "assistant"}
 ANNOTATION = "quern"
 #: Lines of one file, at most, that ord has room for.
 FILE_STEP = 1 << 40
+#: Characters of lines whose records are held at once.
+_CHARS = 2 << 20
 
 MESSAGES = "array<struct<role:string,content:string>>"
 _PARSED = S.StructType(
@@ -81,18 +84,21 @@ def normalise(record) -> tuple[list[dict], dict]:
 def parse(line: F.Column) -> F.Column:
     """struct(messages, metadata, error) of each line; error is null for a good one."""
 
-    @F.pandas_udf(_PARSED)
-    def parsed(batch: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in batch:
-            try:
-                messages, metadata = normalise(json.loads(text))
-                rows.append((messages, metadata, None))
-            except (ValueError, TypeError, RecursionError) as wrong:
-                rows.append((None, None, str(wrong)))
-        return pd.DataFrame(rows, columns=["messages", "metadata", "error"])
-
-    return parsed(line)
+    def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        # The records of some lines at a time, however many come at once.
+        for batch in batches:
+            for lo, hi in numtext.runs(batch.str.len().fillna(0).to_numpy(np.int64), _CHARS):
+                rows = []
+                for text in batch.iloc[lo:hi]:
+                    try:
+                        messages, metadata = normalise(json.loads(text))
+                        rows.append((messages, metadata, None))
+                    except (ValueError, TypeError, RecursionError) as wrong:
+                        rows.append((None, None, str(wrong)))
+                yield pd.DataFrame(rows, columns=["messages", "metadata", "error"])
+
+    parsed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(parsed, _PARSED)(line)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
