@@ -23,6 +23,8 @@ from quern.functions import numtext
 
 _WORD = re.compile(r"\w+")
 _UNIT = re.compile(r"\w+|[^\w\s]")
+#: Characters of text whose words a column function holds at once.
+_CHARS = 4 << 20
 
 
 def fold(text: str) -> str:
@@ -41,11 +43,26 @@ def word_list(text: str, ignore: tuple[str, ...] = ()) -> list[str]:
 def words(text: Column, ignore: tuple[str, ...] = ()) -> Column:
     """array<string> of word_list(); null stays null."""
 
-    @F.pandas_udf(S.ArrayType(S.StringType()))
-    def tokens(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: None if t is None else word_list(t, ignore))
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # The words of some texts at a time, however many rows come at once.
+        for batch in batches:
+            for lo, hi in numtext.runs(batch.str.len().fillna(0).to_numpy(np.int64), _CHARS):
+                yield batch.iloc[lo:hi].map(lambda t: None if t is None else word_list(t, ignore))
 
-    return tokens(text)
+    tokens.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(tokens, S.ArrayType(S.StringType()))(text)
+
+
+def word_counts(rows: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(ord, n) of each row of (ord, text): the size of words(), of which none leaves the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in numtext.slices(batch, "text", _BYTES):
+                n = [len(word_list(t or "", ignore)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("ord").combine_chunks(), pa.array(n, pa.int64())], names=["ord", "n"])
+
+    return rows.select(F.col("ord").cast("long").alias("ord"), F.col("text").cast("string").alias("text")).mapInArrow(numtext.lean(run), "ord long, n long")
 
 
 def shingles(tokens: Column, size: int) -> Column:

@@ -40,3 +40,8 @@ def test_lean_keeps_parameters_and_results():
         yield from batches
 
     assert list(T.lean(run)(iter([1, 2]))) == [1, 2]
+
+
+def test_runs_are_bounded():
+    assert list(T.runs(np.array([3, 1, 9, 0, 2]), 4)) == [(0, 2), (2, 3), (3, 5)]
+    assert list(T.runs(np.zeros(0, np.int64), 4)) == [] and list(T.runs(np.array([0, 0]), 4)) == [(0, 2)]
